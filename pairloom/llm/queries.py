@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pieces
+from . import packing, pieces, simhash
 from .common import table
 
 
@@ -23,5 +23,9 @@ def op2_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece_round_trip, op6_best_fit_packing)}
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sentencepiece_round_trip, op6_best_fit_packing, op7_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}
