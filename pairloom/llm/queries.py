@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pieces, simhash
+from . import packing, pieces, quality, simhash
 from .common import table
 
 
@@ -27,5 +27,9 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece_round_trip, op6_best_fit_packing, op7_simhash_near_dedup)}
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sentencepiece_round_trip, op4_quality_classifier, op6_best_fit_packing, op7_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}
