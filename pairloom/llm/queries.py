@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pieces, quality, simhash
+from . import packing, pieces, pii, quality, simhash
 from .common import table
 
 
@@ -31,5 +31,9 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece_round_trip, op4_quality_classifier, op6_best_fit_packing, op7_simhash_near_dedup)}
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.findings(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sentencepiece_round_trip, op4_quality_classifier, op6_best_fit_packing, op7_simhash_near_dedup, op10_pii_pseudonyms)}
 ORACLES: dict[str, str] = {}
