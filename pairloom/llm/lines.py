@@ -85,12 +85,12 @@ def within(a: str, b: str, threshold: int) -> bool:
     """Whether the edit distance of two strings is at most threshold: a bit-parallel band around the diagonal.
 
     Common ends are cut off first. The band has 2 * threshold + 1 bits; bit i of column j stands for row
-    j - threshold + i, and the score is followed along the band's last diagonal.
+    j - threshold + i. The score is followed along the band's lowest diagonal and then the last row.
     """
     if abs(len(a) - len(b)) > threshold:
         return False
-    if a == b:
-        return True
+    if a == b or not threshold:
+        return a == b
 
     def same(x: str, y: str) -> int:
         low, high = 0, min(len(x), len(y))
@@ -106,38 +106,34 @@ def within(a: str, b: str, threshold: int) -> bool:
     a, b = a[n:], b[n:]
     n = same(a[::-1], b[::-1])
     a, b = a[: len(a) - n], b[: len(b) - n]
-    if not a or not b:
-        return len(a) + len(b) <= threshold
-    if len(a) > len(b):
-        a, b = b, a
-    t, m, n = threshold, len(a), len(b)
+    m, n, t = len(a), len(b), threshold
+    if min(m, n) <= t:  # what is left is shorter than the band
+        row = list(range(n + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[n] <= t
     width = 2 * t + 1
-    mask, top = (1 << width) - 1, 1 << (2 * t)
-    at: dict[str, int] = {}  # for each character, the rows where it stands in a
+    mask = (1 << width) - 1
+    rows: dict[str, int] = {}  # for each character, the rows where it stands in a
     for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
-    # Vertical differences of column 0: rows above the first count -1 towards it, so that D(row, 0) = |row|.
-    vp, vn, score = mask & ~((1 << t) - 1) & ~(1 << t) if t else 0, (1 << t) - 1, t
-    vp, vn = mask & ~((1 << (t + 1)) - 1), (1 << (t + 1)) - 1 & ~0
-    # D at the band's bottom row (row t) of column 0 is t.
-    for j in range(1, n + 1):
-        shift = j - t - 1  # the row (from 0) of the band's lowest bit
-        eq = at.get(b[j - 1], 0)
-        eq = (eq >> shift if shift >= 0 else eq << -shift) & mask
-        d0 = (((eq & vp) + vp) ^ vp) | eq | vn
-        d0 &= mask
-        hp = vn | (mask & ~(d0 | vp))
-        hn = d0 & vp
-        score += 0 if d0 & top else 1
-        x = d0 >> 1
-        vp = hn | (mask & ~(x | hp))
-        vn = hp & x
-        if score > t + (t + n - m) + (n - j):
+        rows[c] = rows.get(c, 0) | 1 << i
+    up, down, score, along = mask & ~((1 << t) - 1), 0, t, 1 << (width - 2)
+    for j, c in enumerate(b):
+        first = j - t  # the row of the band's lowest bit
+        eq = rows.get(c, 0)
+        eq = (eq >> first if first >= 0 else eq << -first) & mask
+        same_diag = ((((eq & up) + up) ^ up) | eq | down) & mask
+        right_up, right_down = down | (mask & ~(same_diag | up)), same_diag & up
+        if j < m - t:  # down the band's lowest diagonal, then along the last row
+            score += not same_diag >> (width - 1)
+        else:
+            score += bool(right_up & along) - bool(right_down & along)
+            along >>= 1
+        if score > 2 * t + n - (m - t):
             return False
-    # The score stands at row n + t of column n; go up the column's differences to row m.
-    for k in range(n + t, m, -1):
-        bit = 1 << (2 * t - (n + t - k))
-        score += (1 if vn & bit else 0) - (1 if vp & bit else 0)
+        up, down = right_down | (mask & ~(same_diag >> 1 | right_up)), same_diag >> 1 & right_up
     return score <= t
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pieces, pii, quality, simhash
+from . import lines, packing, pieces, pii, quality, simhash
 from .common import table
 
 
@@ -27,6 +27,11 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.deduplicated(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,5 +40,5 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.findings(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece_round_trip, op4_quality_classifier, op6_best_fit_packing, op7_simhash_near_dedup, op10_pii_pseudonyms)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece_round_trip, op3_line_dedup, op4_quality_classifier, op6_best_fit_packing, op7_simhash_near_dedup, op10_pii_pseudonyms)}
 ORACLES: dict[str, str] = {}
