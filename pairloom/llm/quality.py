@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 SAMPLE = 4000
 BITS = 18
@@ -197,15 +198,17 @@ def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     rows = docs if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     at = rows.columns.index("text")
     out = rows if keep else rows.drop("text")
+    names = [*out.columns, "_score"]
+    shape = StructType([*out.schema.fields]).add("_score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, find = sent.value, Indicators()
         for b in batches:
             s = pa.array([m.score(find((t or "").encode())) for t in b.column(at).to_pylist()], pa.float64())
             cols = [c for i, c in enumerate(b.columns) if keep or i != at]
-            yield pa.RecordBatch.from_arrays([*cols, s], names=[*out.columns, "_score"])
+            yield pa.RecordBatch.from_arrays([*cols, s], names=names)
 
-    return rows.mapInArrow(run, out.schema.add("_score", "double"))
+    return rows.mapInArrow(run, shape)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
