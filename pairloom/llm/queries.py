@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import caps, lines, packing, pieces, pii, quality, simhash
+from . import caps, lines, multi_index, packing, pieces, pii, quality, simhash
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -44,5 +48,5 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.findings(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece_round_trip, op3_line_dedup, op4_quality_classifier, op6_best_fit_packing, op7_simhash_near_dedup, op9_embedding_near_dedup, op10_pii_pseudonyms)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece_round_trip, op3_line_dedup, op4_quality_classifier, op5_nearest_neighbours, op6_best_fit_packing, op7_simhash_near_dedup, op9_embedding_near_dedup, op10_pii_pseudonyms)}
 ORACLES: dict[str, str] = {}
