@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import caps, lines, multi_index, packing, pieces, pii, quality, simhash
+from . import caps, lines, multi_index, packing, pieces, pii, quality, secrets, simhash
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings()))
+
+
 def op2_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -48,5 +52,5 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.findings(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece_round_trip, op3_line_dedup, op4_quality_classifier, op5_nearest_neighbours, op6_best_fit_packing, op7_simhash_near_dedup, op9_embedding_near_dedup, op10_pii_pseudonyms)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece_round_trip, op3_line_dedup, op4_quality_classifier, op5_nearest_neighbours, op6_best_fit_packing, op7_simhash_near_dedup, op9_embedding_near_dedup, op10_pii_pseudonyms)}
 ORACLES: dict[str, str] = {}
