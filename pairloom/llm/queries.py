@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import caps, lines, multi_index, packing, pieces, pii, quality, secrets, simhash
+from . import caps, lines, multi_index, packing, pieces, pii, quality, secrets, simhash, toxicity
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(table(spark, sf_dir, "embeddings"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -52,5 +56,6 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.findings(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece_round_trip, op3_line_dedup, op4_quality_classifier, op5_nearest_neighbours, op6_best_fit_packing, op7_simhash_near_dedup, op9_embedding_near_dedup, op10_pii_pseudonyms)}
+QUERIES = {f.__name__: f for f in (
+    op1_secret_scan, op2_sentencepiece_round_trip, op3_line_dedup, op4_quality_classifier, op5_nearest_neighbours, op6_best_fit_packing, op7_simhash_near_dedup, op8_toxicity, op9_embedding_near_dedup, op10_pii_pseudonyms)}
 ORACLES: dict[str, str] = {}
