@@ -112,10 +112,15 @@ def _hinge(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, c: float, epoch
 
 
 def _platt(m: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, with the usual softened targets, by Newton steps."""
+    """Slope and shift of a logistic curve, with the usual softened targets, by damped Newton steps."""
     pos, neg = (y > 0).sum(), (y <= 0).sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     a, b = 1.0, 0.0
+
+    def loss(a: float, b: float) -> float:
+        x = a * m + b
+        return float((np.logaddexp(0, x) - t * x).sum() + 0.5e-3 * a * a)
+
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a * m + b, -500, 500)))
         d, h = p - t, p * (1 - p) + 1e-9
@@ -123,8 +128,11 @@ def _platt(m: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, floa
         haa, hab, hbb = (h * m) @ m + 1e-3, h @ m, h.sum()
         det = haa * hbb - hab * hab + 1e-12
         sa, sb = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        a, b = a - np.clip(sa, -5, 5), b - np.clip(sb, -5, 5)
-        if abs(sa) + abs(sb) < 1e-8:
+        step, now = 1.0, loss(a, b)
+        while step > 1e-6 and loss(a - step * sa, b - step * sb) > now:
+            step /= 2
+        a, b = a - step * sa, b - step * sb
+        if step <= 1e-6 or abs(sa) + abs(sb) < 1e-8:
             break
     return float(a), float(b)
 
