@@ -5,10 +5,10 @@ double-array trie of UTF-8 keys) and notes for each normalised byte the source b
 Segmentation then runs on the normalised text, and each piece is projected back through that
 alignment to the byte span of the original text.
 
-A BPE model whose pieces have the space mark only at their front (or consist of it) never merges over
-the start of a run of marks. So segmentation is done for each such chunk on its own and kept in a bounded
-cache. Chunks that are not in the cache go to the library, or, for models with a character map, whose
-normalisation must not run twice, to the merge loop below.
+Models that normalise nothing but spaces are segmented by the library, whole texts at a time. For the
+others, whose normalisation must not run twice, the merge loop below segments the normalised text: a BPE
+model whose pieces have the space mark only at their front (or consist of it) never merges over the
+start of a run of marks, so each such chunk is merged on its own and kept in a bounded cache.
 
 Nulls: a null text is an empty one (the end id alone; it decodes to an empty text). Ids of repeated
 rows are repeated. An empty table gives an empty result. Other columns are not read.
@@ -123,7 +123,7 @@ class Pieces:
         self.unk, self.end = self.lib.unk_id(), self.lib.eos_id()
         self.cache: dict[str, tuple] = {}
         self.byte_of = {i: x for x, i in self.byte.items()}
-        self.size = [len(x.encode()) for x in self.strings]
+        self.size = np.array([-1 if k == BYTE else len(x.encode()) for k, x in zip(self.kind, self.strings, strict=True)])
 
     # Normalisation ---------------------------------------------------------------------------------
 
@@ -220,28 +220,26 @@ class Pieces:
                     sizes.append(len(raw))
         return self._cached(ids, sizes)
 
-    def _library(self, chunks: list[str]) -> list[tuple]:
-        """The same through the library, whose own normalising only turns the spaces into marks again."""
-        out = []
-        for ids in self.lib.encode([c[1:].replace(MARK, " ") or " " for c in chunks]):
-            sizes, run = [], 0
-            for i in ids:
-                if i not in self.byte_of:
-                    sizes.append(self.size[i])
-                    continue
-                x = self.byte_of[i]
-                if not run:
-                    need = run = 1 if x < 0x80 else 2 if x < 0xE0 else 3 if x < 0xF0 else 4
-                run -= 1
-                sizes.append(0 if run else need)
-            out.append(self._cached(ids, sizes))
-        if MARK in chunks:  # the library makes no piece of an empty text
-            one = self._merged(MARK)
-            out = [one if c == MARK else x for c, x in zip(chunks, out, strict=True)]
-        return out
-
-    def segment(self, normal: str) -> list[tuple]:
-        """(ids, normalised bytes of each, ids as text) for each chunk."""
+    def _library(self, text: str) -> list[tuple]:
+        """The ids of a whole text by the library, for models that normalise nothing but the spaces.
+
+        Pieces cover the normalised text without gaps, so their sizes are those of their strings; of a
+        character's byte pieces the last one takes the whole character.
+        """
+        ids = self.lib.encode(text)
+        a = np.asarray(ids, dtype=np.int64)
+        sizes = self.size[a]
+        for k in np.flatnonzero(sizes < 0):
+            if sizes[k] < 0:
+                x = self.byte_of[ids[k]]
+                n = 1 if x < 0x80 else 2 if x < 0xE0 else 3 if x < 0xF0 else 4
+                sizes[k : k + n] = [0] * (n - 1) + [n]
+        return [(ids, sizes, " ".join(map(str, ids)))]
+
+    def segment(self, text: str, normal: str) -> list[tuple]:
+        """(ids, normalised bytes of each, ids as text) for each chunk; a plain model's text is one chunk."""
+        if self.plain:
+            return self._library(text) if text else []
         if not self.free:
             return [self._merged(normal)] if normal else []
         cache = self.cache
@@ -252,21 +250,21 @@ class Pieces:
         if None not in out:
             return out
         new = list(dict.fromkeys([c for c, got in zip(chunks, out, strict=True) if got is None]))
-        found = dict(zip(new, self._library(new) if self.plain else map(self._merged, new), strict=True))
+        found = dict(zip(new, map(self._merged, new), strict=True))
         cache.update([(c, x) for c, x in found.items() if len(c) <= CACHE_CHARS])
         return [got or found[c] for c, got in zip(chunks, out, strict=True)]
 
     def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
         """Ids with the end id, and the first and past-the-last source byte of each piece."""
         normal, at = self.normalise(text)
-        parts = self.segment(normal)
+        parts = self.segment(text, normal)
         ids = list(itertools.chain.from_iterable([p[0] for p in parts]))
         starts, ends = self.spans(parts, at)
         ids.append(self.end)
         return ids, starts, ends
 
     def spans(self, parts: list[tuple], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.fromiter(itertools.chain.from_iterable([p[1] for p in parts]), dtype=np.int64)
+        sizes = np.concatenate([np.asarray(p[1], dtype=np.int64) for p in parts] or [np.zeros(0, dtype=np.int64)])
         stop = np.cumsum(sizes)
         last = at[-1:]
         return np.concatenate([at[stop - sizes], last]), np.concatenate([at[stop], last])
@@ -326,9 +324,8 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
             n, a, d, s = [], [], [], []
             for t in b.column(1).to_pylist():
                 normal, at = m.normalise(t or "")
-                parts = m.segment(normal)
-                ids = list(itertools.chain.from_iterable([p[0] for p in parts]))
-                ids.append(m.end)
+                parts = m.segment(t or "", normal)
+                ids = [*itertools.chain.from_iterable([p[0] for p in parts]), m.end]
                 n.append(len(ids))
                 a.append(hashlib.sha256(" ".join([*[p[2] for p in parts], tail]).encode()).hexdigest())
                 d.append(hashlib.sha256(m.decode(ids).encode()).hexdigest())
