@@ -20,11 +20,11 @@ def fixed_bins(chromosomes: DataFrame, size: int) -> DataFrame:
 
 def cut_sites(sequences: DataFrame, site: str, offset: int = 0) -> DataFrame:
     """(name, position): 0-based starts of a site (N stands for any letter), overlapping ones included, plus an offset."""
-    cut = "(?=" + site.upper().replace("N", "[ACGTN]") + ")"
-    rows = sequences.select("name", F.posexplode(F.split(F.upper("sequence"), cut, -1)).alias("_i", "_part"))
+    cut = "(?i)(?=" + site.upper().replace("N", "[ACGTN]") + ")"
+    rows = sequences.select("name", F.posexplode(F.split("sequence", cut, -1)).alias("_i", "_part"))
     w = Window.partitionBy("name").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("position", F.coalesce(F.sum(F.length("_part")).over(w), F.lit(0)))
-    begins = sequences.select("name", F.upper("sequence").rlike("^" + cut).alias("_begins"))
+    begins = sequences.select("name", F.col("sequence").rlike("(?i)^" + cut.removeprefix("(?i)")).alias("_begins"))
     rows = rows.join(begins, "name").where("_i > 0 or _begins")
     return rows.select("name", (F.col("position") + offset).cast("long").alias("position"))
 

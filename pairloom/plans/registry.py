@@ -520,7 +520,7 @@ def virtual_4c(spark: SparkSession, sf: str) -> DataFrame:
     return aggregate.virtual_4c(edges(spark, sf), 4, 6).select("ix", r6("score", "score"))
 
 
-@query("tracks", "SELECT o AS \"offset\", round(avg(score), 6) AS score, count(score) AS n FROM (SELECT ix AS at, chromosome AS c FROM regions WHERE ix % 9 = 4), (SELECT unnest(range(-5, 6)) AS o) JOIN tracks t ON t.ix = at + o AND t.chromosome = c GROUP BY o")
+@query("tracks", "SELECT o AS \"offset\", round(avg(score), 6) AS score, count(score) AS n FROM (SELECT ix AS spot, chromosome AS c FROM regions WHERE ix % 9 = 4), (SELECT unnest(range(-5, 6)) AS o) JOIN tracks t ON t.ix = spot + o AND t.chromosome = c GROUP BY o")
 def meta_profile(spark: SparkSession, sf: str) -> DataFrame:
     out = aggregate.meta_profile(view.tracks(spark, sf), regions(spark, sf).where("ix % 9 = 4"), 5)
     return out.select(F.col("offset").cast("long").alias("offset"), r6("score", "score"), "n")
