@@ -116,7 +116,7 @@ def features(text: str, start: int, end: int) -> list[float]:
         float(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s) is not None),
         float((kind[1:] != kind[:-1]).mean()),
         float(pair.mean()),
-        covered(s if n <= 4096 else s[:2048] + s[-2048:]),
+        covered(s),
         s.count("/") / n,
         s.count(".") / n,
         float(re.search(r"\.[a-z]{2,5}$", s) is not None),

@@ -1,0 +1,328 @@
+"""Operators on texts against brute force, the libraries, and planted cases."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings, strategies as st
+
+from pairloom.llm import lines, packing, pieces, pii, queries, secrets, simhash
+from pairloom.llm.common import components
+
+SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "alder birch cedar dogwood elm fir ginkgo hazel ivy juniper kapok larch maple nutmeg oak pine quince rowan spruce teak".split()
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(d, t, "en", "web", len(t or "")) for d, t in rows], SHAPE)
+
+
+def prose(r, n):
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+EDGES = [(1, None), (2, ""), (3, "one"), (3, "one"), (None, "two words"), (4, "one"), (5, "Ünïcode ß 漢字 \t\n x"), (6, "word " * 20_000)]
+
+
+# Pieces --------------------------------------------------------------------------------------------
+def test_pieces_equal_the_library_and_spans_cover_the_text(spark):
+    import sentencepiece
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = EDGES + [(7, "  two  spaces "), (8, "emoji 🙂 and\ttabs"), (9, prose(random.Random(1), 300))]
+    got = {(r.doc_id, r.ids_sha256, r.decoded_sha256, r.n_tokens) for r in pieces.digests(table(spark, rows), path).collect()}
+    want = set()
+    for d, t in rows:
+        ids = [*lib.encode(t or ""), lib.eos_id()]
+        want.add((d, hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest(), len(ids)))
+    assert got == want
+    for r in pieces.encode(table(spark, rows).where("text is not null and doc_id is not null").dropDuplicates(), path).collect():
+        raw = dict(rows)[r.doc_id].encode()
+        assert r.ends[-1] == len(raw) and r.starts[0] == 0
+        assert all(a <= b for a, b in zip(r.starts, r.ends, strict=True)) and all(a == b for a, b in zip(r.ends[:-2], r.starts[1:-1], strict=True))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(max_size=60))
+def test_merge_loop_equals_the_library(text):
+    m = pieces._model(queries.tokenizer_path("piece_bpe_32k.model"))
+    text = text.encode("utf-8", "ignore").decode()
+    if "\0" in text:
+        return
+    normal, _ = m.normalise(text)
+    own = [i for c in pieces.CHUNKS.findall(normal) for i in m._merged(c)[0]]
+    assert own == m.lib.encode(text)
+    assert m.decode(own) == m.lib.decode(m.lib.encode(text))
+
+
+def test_character_map_takes_the_longest_prefix():
+    # A double array by hand: keys "a" -> "x" and "ab" -> "yz".
+    units = [0] * 1024
+
+    def put(node_offset, label, has_leaf, child_offset, at):
+        units[at] = child_offset << 10 | has_leaf << 8 | label
+
+    units[0] = 256 << 10  # root: children at 256 ^ label
+    a = 256 ^ ord("a")
+    put(0, ord("a"), 1, 256, a)  # its leaf at a ^ 256, children at a ^ 256 ^ label
+    leaf = a ^ 256
+    units[leaf] = 0x80000000 | 0
+    b = leaf ^ ord("b")
+    put(0, ord("b"), 1, 512, b)
+    units[b ^ 512] = 0x80000000 | 2
+    import struct
+
+    blob = struct.pack("<I", 4096) + struct.pack("<1024I", *units) + b"x\0yz\0"
+    m = pieces.CharMap(blob)
+    assert m.longest(b"abc", 0) == (b"yz", 2) and m.longest(b"ac", 0) == (b"x", 1) and m.longest(b"c", 0) == (b"", 0)
+
+
+# Packing -------------------------------------------------------------------------------------------
+def test_packing_keeps_every_token_and_fills_well(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    r = random.Random(2)
+    rows = EDGES + [(100 + i, prose(r, r.choice((1, 30, 400, 1500, 5000)))) for i in range(60)] + [(200, "<|endoftext|> é 漢"), (201, "it's 12 o'clock -- WE'LL see")]
+    got = packing.pack_documents(table(spark, rows), path).collect()
+    by = {}
+    for x in got:
+        by.setdefault(x.doc_id, []).append(x)
+    for d, t in rows:
+        ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        want = {(k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes())) for k in range(0, len(ids), 2048)}
+        assert want == {(x.piece, x.start, x.length, x.ids_crc32) for x in by[d]}
+    assert len(got) == sum(-(-(len(lib.encode(t or "", add_special_tokens=False).ids) + 1) // 2048) for _, t in rows)
+    bins = {}
+    for x in got:
+        bins.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for b in bins.values():
+        b.sort()
+        assert b[0][0] == 0 and all(p[0] + p[1] == q[0] for p, q in zip(b, b[1:], strict=False)) and sum(n for _, n in b) <= 2048
+    assert len(bins) <= -(-sum(x.length for x in got) // 2048) + 2
+    assert packing.pack_documents(table(spark, []), path).count() == 0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=60))
+def test_plan_uses_each_length_as_often_as_it_is_there(sizes):
+    counts = {k: sizes.count(k) for k in set(sizes)}
+    used = {}
+    for pattern, times in packing.plan(counts, 50):
+        assert sum(pattern) <= 50
+        for k in pattern:
+            used[k] = used.get(k, 0) + times
+    assert used == counts
+
+
+def test_two_pieces_replace_the_smallest_where_they_fit_more_tightly():
+    # Greedy: 6 + 3 leaves 1; taking 3 out, 2 + 2 fill the gap of 4.
+    assert packing.plan({6: 1, 3: 1, 2: 2}, 10)[0][0] == [6, 2, 2]
+
+
+# SimHash -------------------------------------------------------------------------------------------
+def slow_fingerprint(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not w:
+        return 0
+    s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)]
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def reach(n, linked):
+    root = list(range(n))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("group", [1024, 3])
+def test_simhash_equals_brute_force(spark, group):
+    r = random.Random(3)
+    base = [prose(r, 200) for _ in range(6)]
+    rows = [(i, " ".join(w if r.random() > 0.004 else "zinnia" for w in r.choice(base).split())) for i in range(10, 90)]
+    rows += [(5, None), (6, ""), (7, " \t\x1f"), (8, "Á b"), (9, "á b")]
+    got = {x.doc_id: x for x in simhash.near_duplicates(table(spark, rows), group=group).collect()}
+    rows.sort()
+    fps = [slow_fingerprint(t or "") for _, t in rows]
+    assert [got[d].fingerprint for d, _ in rows] == [f"{f:016x}" for f in fps]
+    want = reach(len(rows), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2)
+    assert [got[d].component_id for d, _ in rows] == [rows[k][0] for k in want]
+    kept = {x.doc_id for x in simhash.one_of_each(table(spark, rows)).collect()}
+    assert kept == {rows[k][0] for k in set(want)}
+
+
+@pytest.mark.parametrize("group", [1024, 2])
+def test_simhash_links_random_fingerprints(spark, group):
+    rng = np.random.default_rng(4)
+    fp = rng.integers(0, 1 << 64, 40, dtype=np.uint64)
+    for _ in range(3):
+        flip = np.uint64(1) << rng.integers(0, 64, len(fp)).astype(np.uint64)
+        fp = np.unique(np.r_[fp, fp ^ flip])
+    fp = fp[:300]
+    nodes = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    part = {r.u: r.component for r in components(simhash.links(nodes, 2, group)).collect()}
+    own = fp.view(np.int64).tolist()
+    want = reach(len(own), lambda i, j: int(fp[i] ^ fp[j]).bit_count() <= 2)
+    groups, mine = {}, {}
+    for i, x in enumerate(own):
+        groups.setdefault(want[i], set()).add(x)
+        mine.setdefault(part.get(x, x), set()).add(x)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
+
+
+# Lines ---------------------------------------------------------------------------------------------
+def edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", max_size=18), st.text("abc", max_size=18), st.integers(0, 4))
+def test_banded_distance_is_exact(a, b, t):
+    assert lines.within(a, b, t) == (edit(a, b) <= t)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab", min_size=9, max_size=14), st.integers(1, 3), st.randoms(use_true_random=False))
+def test_lines_within_the_threshold_share_a_segment(a, t, r):
+    b = list(a)
+    for _ in range(t):
+        k = r.randrange(3)
+        at = r.randrange(len(b) + (k == 0))
+        if k == 0:
+            b.insert(at, r.choice("ab"))
+        elif k == 1:
+            b[at] = r.choice("ab")
+        elif len(b) > 5:
+            del b[at]
+    b = "".join(b)
+    long, short = (a, b) if len(a) >= len(b) else (b, a)
+    assert set(lines.keys(long, t, 4)[1]) & set(lines.keys(short, t, 4)[0])
+
+
+@pytest.mark.parametrize("hot", [64, 1])
+@pytest.mark.parametrize("threshold", [1, 2])
+def test_line_dedup_equals_brute_force(spark, hot, threshold):
+    r = random.Random(5)
+    base = [prose(r, 6) for _ in range(12)]
+
+    def line():
+        s = list(r.choice(base))
+        for _ in range(r.choice((0, 0, 1, 1, 2))):
+            k, at = r.randrange(3), r.randrange(len(s))
+            if k == 0:
+                s.insert(at, "q")
+            elif k == 1:
+                s[at] = "z"
+            else:
+                del s[at]
+        return "".join(s)
+
+    rows = [(i, "\n".join([line() if r.random() < 0.7 else "short" for _ in range(r.randint(1, 4))])) for i in range(40)] + [(50, None), (51, ""), (52, "\n\n")]
+    every = [(d, i, lines.normal(x)) for d, t in rows for i, x in enumerate((t or "").split("\n")) if len(lines.normal(x)) >= 24]
+    root = reach(len(every), lambda i, j: edit(every[i][2], every[j][2]) <= threshold)
+    gone = {every[i][:2] for i in range(len(every)) if root[i] != i}
+    got = {x.doc_id: x for x in lines.deduplicated(table(spark, rows), threshold=threshold, hot=hot).collect()}
+    for d, t in rows:
+        keep = None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone)
+        assert got[d].text == keep, d
+        assert got[d].n_dropped == sum(x == d for x, _ in gone)
+
+
+def test_line_dedup_keeps_the_other_columns_and_repeated_rows(spark):
+    rows = [(1, "a line that is long enough to count"), (1, "a line that is long enough to count"), (2, "A  line that is long enough to count\nrest"), (None, "a line that is long enough to count")]
+    docs = table(spark, rows).selectExpr("*", "doc_id AS key", "1 AS h1", "2 AS component", "3 AS k1", "4 AS line", "5 AS fp", "6 AS count")
+    got = sorted(((x.doc_id or 0, x.text) for x in lines.deduplicated(docs).collect()))
+    assert got == [(0, ""), (1, rows[0][1]), (1, rows[0][1]), (2, "rest")]
+    assert lines.without_copies(docs).columns == docs.columns
+    assert [x.doc_id for x in lines.without_copies(docs).collect()] == [1, 1]  # the others lost every long line
+    assert simhash.one_of_each(docs).columns == pii.pseudonymise(docs).columns == docs.columns
+    assert simhash.one_of_each(docs).count() == 2
+    assert lines.deduplicated(table(spark, [])).count() == 0
+
+
+# Personal data -------------------------------------------------------------------------------------
+def luhn(s):
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return sum(x if i % 2 == 0 else 2 * x - 9 * (2 * x > 9) for i, x in enumerate(d)) % 10 == 0
+
+
+def test_pseudonyms_keep_formats_and_links_and_go_back(spark):
+    found = ["4539 1488 0343 6467", "4539148803436467", "2021-03-05", "05.03.2021", "192.168.17.4", "123-45-6789", "DE89 3704 0044 0532 0130 00", "+49 170 1234567", "(212) 555-0147", "212-555-0147"]
+    text = "; ".join(found) + "; 4539 1488 0343 6468; 2021-02-31; 999.1.1.1; 000-12-3456; DE88 3704 0044 0532 0130 00; ann.b@example.org"
+    docs = table(spark, [(1, text), (2, f"again {found[0]} on {found[2]}, ann.b@example.org"), (3, None), (4, ""), (5, "none")])
+    hidden = pii.pseudonymise(docs)
+    got = {x.doc_id: x.text for x in hidden.collect()}
+    new = got[1].split("; ")
+    for a, b in zip(found, new, strict=False):
+        assert a != b and (a.count(".") == 3 or re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b))
+    assert [int(x) <= 255 for x in new[4].split(".")] == [True] * 4
+    assert luhn(new[0]) and luhn(new[1]) and re.sub(r"\D", "", new[0]) == new[1]
+    iban = new[6].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert new[10:15] == ["4539 1488 0343 6468", "2021-02-31", "999.1.1.1", "000-12-3456", "DE88 3704 0044 0532 0130 00"]
+    assert new[0] in got[2] and new[2] in got[2] and new[15] in got[2] and new[15].endswith("@example.org") and "ann" not in new[15]
+    assert (got[3], got[4], got[5]) == (None, "", "none")
+    back = {x.doc_id: x.text for x in hidden.select("doc_id", pii.pseudonymised("text", back=True).alias("text")).collect()}
+    assert back[1].split("; ")[:10] == found
+    assert pii.findings(docs).where("doc_id = 1").first().n_found == 11
+
+
+def test_feistel_is_a_permutation(spark):
+    rows = spark.range(35).selectExpr(f"{pii.feistel('id', '5', '7', chr(39) + 't' + chr(39), 'k')} AS v").collect()
+    assert sorted(r.v for r in rows) == list(range(35))
+    rows = spark.range(1000).selectExpr("lpad(cast(id as string), 3, '0') AS n").selectExpr(f"{pii.digits('n', chr(39) + 't' + chr(39), 'k')} AS v").collect()
+    assert sorted(r.v for r in rows) == [f"{i:03d}" for i in range(1000)]
+
+
+def test_pii_plan_is_native(spark):
+    plan = pii.pseudonymise(table(spark, EDGES).where("doc_id > 0"))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas|Exchange", plan)
+
+
+# Secrets -------------------------------------------------------------------------------------------
+def test_secret_scan_keeps_keys_and_drops_lookalikes(spark):
+    forest = secrets.train(secrets.labelled_findings())
+    held = secrets.labelled_findings(1500, seed=99)
+    score = forest.score(np.array([secrets.features(t, a, b) for t, a, b, _ in held]))
+    y = np.array([r[3] for r in held])
+    assert ((score >= secrets.THRESHOLD) == y).mean() > 0.95
+    key = "9fK2mQ8vLx4TzR7wYb3NcD6hJp1Ga5Se"
+    rows = [(1, f'api_key = "{key}"'), (2, "see src/components/navigation/header.html"), (3, "commit 3f786850e387550fdab836ed7e6dc881de23001b fixed it"), (4, None), (5, ""), (None, f"token: {key}")]
+    got = secrets.scan(table(spark, rows), forest).collect()
+    assert {x.doc_id for x in got} == {1, None}
+    assert {x.secret_sha256 for x in got} == {hashlib.sha256(key.encode()).hexdigest()}
+    assert rows[0][1][[x for x in got if x.doc_id == 1][0].start :].startswith(key)
+    assert secrets.scan(table(spark, []), forest).count() == 0
+
+
+# Components ----------------------------------------------------------------------------------------
+def test_components_of_chains_stars_and_cycles(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + k) for k in range(1, 40)] + [(200, 201), (201, 202), (202, 200), (300, 300)]
+    got = {r.u: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(61)}, **{100 + k: 100 for k in range(40)}, **{k: 200 for k in (200, 201, 202)}}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
