@@ -20,7 +20,6 @@ give empty results; without labels of both classes every score is the share of t
 from __future__ import annotations
 
 import itertools
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,6 +35,7 @@ HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 8, 8
 VOCABULARY, GRAMS = 2048, 8192
 CACHE_WORDS = 200_000
 BATCH = 4096
+STEPS = 400
 
 
 def words(text: str) -> list[str]:
@@ -47,12 +47,35 @@ def letters(token: str) -> str:
     return token if token.isalpha() else "".join([c for c in token if c.isalpha()])
 
 
-def grams(word: str) -> list[int]:
-    """Hashes of a word's character trigrams and of its beginnings of 4 to 8 characters."""
-    w = word if len(word) <= 64 else word[:32] + word[-32:]
-    s = f"<{w}>"
-    found = [s[i : i + 3] for i in range(max(1, len(s) - 2))] + ["^" + w[:n] for n in range(4, min(8, len(w)) + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % GRAMS for g in found]
+def grams(own: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words' character trigrams and of their beginnings of 4 to 8 characters, word after word, and where each word's begin."""
+    size = np.array([max(1, len(w)) for w in own], dtype=np.int64)
+    text = "".join([f"<{w or ' '}>" for w in own])
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    more = np.clip(size - 3, 0, 5)
+    start = np.cumsum(np.r_[0, size + more])
+    out = np.zeros(start[-1], dtype=np.int64)
+    word = np.repeat(np.arange(len(own)), size)
+    nth = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+    at = nth + (np.cumsum(size + 2) - size - 2)[word]
+    out[start[word] + nth] = _hashed((c[at] * _MIX[0] ^ c[at + 1]) * _MIX[1] ^ c[at + 2])
+    first = np.cumsum(size + 2) - size - 1
+    h = np.full(len(own), 94, dtype=np.uint64)
+    for n in range(8):
+        use = np.flatnonzero(size > n)
+        h[use] = (h[use] ^ c[first[use] + n]) * _MIX[2]
+        h[use] ^= h[use] >> np.uint64(29)
+        if n >= 3:
+            out[start[use] + size[use] + n - 3] = _hashed(h[use])
+    return out, start[:-1]
+
+
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
+
+
+def _hashed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(31)) * _MIX[1]
+    return ((x ^ x >> np.uint64(27)) * _MIX[2] >> np.uint64(40)).astype(np.int64) % GRAMS
 
 
 def windows(n: int) -> np.ndarray:
@@ -60,6 +83,14 @@ def windows(n: int) -> np.ndarray:
     return np.arange(max(1, -(-(n - WINDOW) // STRIDE) + 1 if n > WINDOW else 1)) * STRIDE
 
 
+def _add_rows(to: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
+    """Adds rows to the places of ``to`` that index names, repeats included."""
+    order = np.argsort(index, kind="stable")
+    at = index[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    to[at[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -80,19 +111,18 @@ class Network:
         self.p |= {"A": some(2 * h, ATTEND), "a": np.zeros(ATTEND, np.float32), "v": some(ATTEND), "w": some(2 * h), "c": np.zeros(1, np.float32)}
         self.slope, self.shift = 1.0, 0.0
 
-    def embed(self, tokens: list[str]) -> np.ndarray:
-        """The input vectors of tokens: word embedding, then the mean of the character embeddings."""
-        own = [letters(t) for t in tokens]
-        ids = [self.vocabulary.get(w, 0) for w in own]
-        flat = [grams(w) for w in own]
-        at = np.cumsum([0, *map(len, flat[:-1])])
-        c = np.add.reduceat(self.p["char"][list(itertools.chain.from_iterable(flat))], at, axis=0) if flat else np.zeros((0, CHAR_DIM), np.float32)
-        return np.c_[self.p["word"][ids], c / np.array([len(f) for f in flat], dtype=np.float32).reshape(-1, 1)]
+    def embed(self, own: list[str]) -> np.ndarray:
+        """The input vectors of words (letters alone): word embedding, then the mean of the character embeddings."""
+        if not own:
+            return np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
+        every, start = grams(own)
+        c = np.add.reduceat(self.p["char"][every], start, axis=0) / np.diff(np.r_[start, len(every)])[:, None]
+        return np.c_[self.p["word"][[self.vocabulary.get(w, 0) for w in own]], c].astype(np.float32)
 
     def _layer(self, gx: np.ndarray, mask: np.ndarray, k: str, keep: list | None) -> np.ndarray:
         """States of one direction. gx: batch x window x 3h input gates; keep collects what gradients need."""
         p, h = self.p, HIDDEN
-        state, out = np.zeros((len(gx), h), np.float32), np.zeros((*gx.shape[:2], h), np.float32)
+        state, out = np.zeros((len(gx), h), np.float32), np.zeros((gx.shape[1], len(gx), h), np.float32).transpose(1, 0, 2)
         order = range(gx.shape[1]) if k == "f" else range(gx.shape[1] - 1, -1, -1)
         for t in order:
             u, g, m = state @ p[f"U{k}"], gx[:, t], mask[:, t, None]
@@ -151,18 +181,19 @@ class Network:
             dx += dg @ p[f"W{k}"].T
         return g, dx
 
-    def fit(self, texts: list[list[str]], y: np.ndarray, epochs: int = 8, rate: float = 0.01, batch: int = 128, seed: int = 2) -> None:
-        """Adam on the logistic loss of windows (lists of words)."""
+    def fit(self, texts: list[list[str]], y: np.ndarray, epochs: int = 5, steps: int = STEPS, rate: float = 0.01, batch: int = 128, seed: int = 2) -> None:
+        """Adam on the logistic loss of windows (lists of words): so many epochs, or more until there are ``steps`` steps."""
         table = {w: i for i, w in enumerate(dict.fromkeys(itertools.chain.from_iterable(texts)))}
         own = [letters(t) for t in table]
-        ids, flat = np.array([self.vocabulary.get(w, 0) for w in own], dtype=np.int64), [np.array(grams(w)) for w in own]
+        ids = np.array([self.vocabulary.get(w, 0) for w in own], dtype=np.int64)
+        flat = np.split(*(lambda every, start: (every, start[1:]))(*grams(own)))
         x_ids = np.zeros((len(texts), WINDOW), dtype=np.int64)
         mask = np.zeros((len(texts), WINDOW), dtype=bool)
         for i, t in enumerate(texts):
             x_ids[i, : len(t)], mask[i, : len(t)] = [table[w] for w in t], True
         r = np.random.default_rng(seed)
         mean, var, step = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-steps // -(-len(texts) // batch)))):
             order = r.permutation(len(texts))
             for at in range(0, len(order), batch):
                 use = order[at : at + batch]
@@ -177,10 +208,10 @@ class Network:
                 d = ((_sigmoid(logit) - y[use]) / len(use)).astype(np.float32)
                 g, dx = self.backward(d, x, m, keep)
                 de = np.zeros_like(emb)
-                np.add.at(de, where.ravel(), (dx * m[:, :, None]).reshape(-1, emb.shape[1]))
+                _add_rows(de, where.ravel(), (dx * m[:, :, None]).reshape(-1, emb.shape[1]))
                 g["word"], g["char"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["char"])
-                np.add.at(g["word"], ids[kinds], de[:, :WORD_DIM])
-                np.add.at(g["char"], every, np.repeat(de[:, WORD_DIM:] / sizes[:, None], sizes, axis=0))
+                _add_rows(g["word"], ids[kinds], de[:, :WORD_DIM])
+                _add_rows(g["char"], every, np.repeat(de[:, WORD_DIM:] / sizes[:, None], sizes, axis=0))
                 step += 1
                 for k, v in g.items():
                     mean[k] += 0.1 * (v - mean[k])
@@ -192,24 +223,31 @@ class Scorer:
     """Largest window logits of whole texts, with a bounded cache of the words' input gates."""
 
     def __init__(self, network: Network):
-        self.net, self.ids = network, {}
-        self.gates = np.zeros((1, 6 * HIDDEN), np.float32)  # row 0 pads
+        self.net, self.ids, self.own = network, {}, {}
+        self.gates, self.used = np.zeros((4096, 6 * HIDDEN), np.float32), 1  # row 0 pads; grows by doubling
 
     def _rows(self, tokens: list[str]) -> list[int]:
         ids = self.ids
-        out = [ids.get(t) for t in tokens]
+        out = list(map(ids.get, tokens))
         if None not in out:
             return out
         if len(ids) > CACHE_WORDS:
             ids.clear()
-            self.gates = self.gates[:1]
+            self.own.clear()
+            self.used = 1
         new = [t for t in dict.fromkeys(tokens) if t not in ids]
+        plain = [letters(t) for t in new]
+        fresh = [w for w in dict.fromkeys(plain) if w not in self.own]  # many tokens are the same letters
         p = self.net.p
-        x = self.net.embed(new).astype(np.float32)
-        rows = np.c_[x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"]]
-        ids.update(zip(new, range(len(self.gates), len(self.gates) + len(new)), strict=True))
-        self.gates = np.concatenate([self.gates, rows])
-        return [ids[t] for t in tokens]
+        x = self.net.embed(fresh)
+        end = self.used + len(fresh)
+        if end > len(self.gates):
+            self.gates = np.concatenate([self.gates, np.zeros((max(end, len(self.gates)), 6 * HIDDEN), np.float32)])
+        self.gates[self.used : end] = np.c_[x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"]]
+        self.own.update(zip(fresh, range(self.used, end), strict=True))
+        self.used = end
+        ids.update(zip(new, [self.own[w] for w in plain], strict=True))
+        return list(map(ids.__getitem__, tokens))
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(largest logit, first word of its window) of each text."""
@@ -235,11 +273,14 @@ class Scorer:
                 s, e, t = starts[k : k + BATCH], stops[k : k + BATCH], text[k : k + BATCH]
                 place = s[:, None] + np.arange(WINDOW)
                 mask = place < e[:, None]
-                g = self.gates[np.where(mask, rows[np.minimum(place, len(rows) - 1)], 0)]
+                g = self.gates[np.where(mask, rows[np.minimum(place, len(rows) - 1)], 0).T].transpose(1, 0, 2)  # a step's gates stand together
                 logit = self.net.forward(g[:, :, : 3 * HIDDEN], g[:, :, 3 * HIDDEN :], mask)
-                for i in np.argsort(logit, kind="stable"):
-                    if logit[i] > best[t[i]]:
-                        best[t[i]], where[t[i]] = logit[i], s[i]
+                first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])  # a text's windows stand together
+                most = np.maximum.reduceat(logit, first)
+                top = np.flatnonzero(logit == np.repeat(most, np.diff(np.r_[first, len(t)])))
+                top = top[np.r_[True, t[top][1:] != t[top][:-1]]]
+                top = top[logit[top] > best[t[top]]]
+                best[t[top]], where[t[top]] = logit[top], s[top]
             offset = np.cumsum([0, *map(len, split[at:end])])[:-1]
             where[at:end] -= offset
             at = end
@@ -250,11 +291,11 @@ class Scorer:
         return _sigmoid(np.clip(self.net.slope * best + self.net.shift, -500, 500))
 
 
-def evidence(split: list[list[str]], y: np.ndarray) -> dict[str, float]:
-    """z of the difference between a word's document frequencies in toxic and other texts, for the VOCABULARY most telling words."""
+def evidence(split: list[list[str]], y: np.ndarray, plain: dict[str, str]) -> dict[str, float]:
+    """z of the difference between a word's document frequencies in toxic and other texts, for the VOCABULARY most telling words; plain has the letters of each token."""
     pos, neg = Counter(), Counter()
     for w, label in zip(split, y, strict=True):
-        (pos if label else neg).update({letters(t) for t in w})
+        (pos if label else neg).update({plain[t] for t in set(w)})
     p, q = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     z = {}
     for w in {**pos, **neg}:
@@ -274,10 +315,11 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Network:
         return net
     kept: dict[str, str] = {}  # one object for each word
     split = [[kept.setdefault(w, w) for w in words(t)] for t in texts]
+    plain = {w: letters(w) for w in kept}
 
     def one(use: np.ndarray) -> Network:
         r = np.random.default_rng(seed)
-        z = evidence([split[i] for i in use], y[use])
+        z = evidence([split[i] for i in use], y[use], plain)
         net = Network(z, seed)
         clean = []
         for i in use[y[use] == 0]:
@@ -285,14 +327,16 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Network:
             clean += [split[i][k : k + WINDOW] for k in (s if len(s) <= 2 else r.choice(s, 2, replace=False)).tolist()]
         chosen = []
         for i in use[y[use] == 1]:
-            each = [(max((z.get(letters(t), 0.0) for t in split[i][k : k + WINDOW]), default=0.0), k) for k in windows(len(split[i])).tolist()]
+            each = [(max((z.get(plain[t], 0.0) for t in split[i][k : k + WINDOW]), default=0.0), k) for k in windows(len(split[i])).tolist()]
             top = max(each)
             if top[0] > 4:
                 chosen += [split[i][k : k + WINDOW] for v, k in each if v >= 0.6 * top[0]][:4]
-        for _ in range(2):
+        for last in (False, True):
             if not chosen:
                 break
-            net.fit(clean + chosen, np.r_[np.zeros(len(clean)), np.ones(len(chosen))].astype(np.float32), epochs=5)
+            net.fit(clean + chosen, np.r_[np.zeros(len(clean)), np.ones(len(chosen))].astype(np.float32))
+            if last:
+                break
             best, at = Scorer(net).logits([texts[i] for i in use])
             hard = [split[i][k : k + WINDOW] for i, v, k in zip(use, best, at, strict=True) if y[i] == 0 and v > -2]
             clean += hard
