@@ -127,3 +127,37 @@ def tad_strength(domains: DataFrame, edges: DataFrame, value: str = "oe", defaul
 def rank_of(table: DataFrame, *order: str) -> DataFrame:
     """Adds id: the rank of a row in the given order, from 0."""
     return table.withColumn("id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+
+
+def rescaled(cells: DataFrame, bin_size: int) -> DataFrame:
+    """Pile-up cells (i, j, value) weighed by the fourth root of their distance in bases, inverted."""
+    return cells.withColumn("value", F.col("value") * F.pow(F.abs(F.col("i") - F.col("j")) * bin_size + bin_size, F.lit(-0.25)))
+
+
+def pile_up_domains(domains: DataFrame, edges: DataFrame, pixels: int, flank: float = 1.0, value: str = "oe", default: float = 1.0) -> DataFrame:
+    """(i, j, value, n): mean of windows (id, first, last), each with ``flank`` times its length on either side, brought to pixels x pixels.
+
+    A pixel takes the nearest cell of its window; cells without an edge have the default.
+    """
+    more = F.floor((F.col("last") - F.col("first") + 1) * flank)
+    w = domains.select("id", (F.col("first") - more).alias("_a"), (F.col("last") + more).alias("_b"))
+    rows = w.select("*", F.explode(F.sequence("_a", "_b")).alias("source"))
+    hit = rows.join(edges.select("source", "sink", F.col(value).cast("double").alias("_v")), "source").where("sink <= _b and sink >= source")
+    hit = hit.groupBy("id").agg(F.collect_list(F.struct("source", "sink", "_v")).alias("cells"))  # a window's cells
+    hit = w.join(hit, "id", "left").select(F.col("_a").alias("a"), F.col("_b").alias("b"), "cells")
+
+    def resample(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                n = int(r.b - r.a + 1)
+                m = np.full((n, n), default)
+                for c in r.cells if r.cells is not None else ():
+                    i, j = c["source"] - r.a, c["sink"] - r.a
+                    m[i, j] = m[j, i] = c["_v"] if c["_v"] is not None else default
+                at = ((np.arange(pixels) + 0.5) * n / pixels).astype(int)
+                i, j = np.indices((pixels, pixels)).reshape(2, -1)
+                out.append(pd.DataFrame({"i": i, "j": j, "v": m[np.ix_(at, at)].ravel()}))
+            yield pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "v": []})
+
+    return hit.mapInPandas(resample, "i long, j long, v double").groupBy("i", "j").agg(F.avg("v").alias("value"), F.count("*").alias("n"))

@@ -60,3 +60,11 @@ def eigenvector(oe: DataFrame, regions: DataFrame, k: int = 0, guide: str | None
 def compartments(track: DataFrame) -> DataFrame:
     """Adds compartment: A where the score is not negative, else B."""
     return track.withColumn("compartment", F.when(F.col("score") >= 0, "A").otherwise("B"))
+
+
+def strength(saddle: DataFrame, groups: int) -> DataFrame:
+    """(strength): ln(AA * BB / AB ** 2) from a saddle's corners."""
+    corner = lambda a, b: F.max(F.when((F.col("a") == a) & (F.col("b") == b), F.col("value")))
+    s = saddle.agg(corner(groups - 1, groups - 1).alias("_aa"), corner(0, 0).alias("_bb"), corner(groups - 1, 0).alias("_ab"))
+    ratio = F.col("_aa") * F.col("_bb") / F.nullif(F.col("_ab") * F.col("_ab"), F.lit(0.0))
+    return s.select(F.when(ratio > 0, F.ln(ratio)).alias("strength"))

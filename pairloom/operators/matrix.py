@@ -183,3 +183,24 @@ def chromosome_range(regions: DataFrame) -> DataFrame:
     """Adds _first (the chromosome's first ix) and _size (its number of bins)."""
     w = Window.partitionBy("chromosome")
     return regions.withColumn("_first", F.min("ix").over(w)).withColumn("_size", F.count("*").over(w))
+
+
+def regions_identical(one: DataFrame, other: DataFrame) -> bool:
+    """Whether two region tables hold the same (ix, chromosome, start, end)."""
+    a, b = (r.select("ix", "chromosome", "start", "end") for r in (one, other))
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def zoom_levels(edges: DataFrame, levels: int) -> DataFrame:
+    """(level, source, sink, weight): the matrix at bins of 1, 2, 4, .. old ones, each level from the one below."""
+    at = edges.select("source", "sink", "weight")
+    out = at.select(F.lit(0).cast("long").alias("level"), "*")
+    for k in range(1, levels):
+        at = rebin_nested(at, 2)
+        out = out.unionByName(at.select(F.lit(k).cast("long").alias("level"), "*"))
+    return out
+
+
+def above_background(edges: DataFrame, regions: DataFrame, fold: float) -> DataFrame:
+    """Edges with at least ``fold`` times the mean contact between chromosomes, which stands for random ligation."""
+    return edges.crossJoin(expected_inter(edges, regions).select((F.col("expected") * fold).alias("_cut"))).where("weight >= _cut").drop("_cut")  # one row

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.sequences import cigar_matched
+
 SAME, INWARD, OUTWARD = 0, 1, 2
 
 
@@ -142,3 +144,14 @@ def resolve_chimeric(alignments: DataFrame, most: int = 500) -> DataFrame:
     pair = F.when(near(a[0], a[1]), F.array(longer(a[0], a[1]), a[2])).when(near(a[0], a[2]), F.array(longer(a[0], a[2]), a[1])).when(near(a[1], a[2]), F.array(a[0], longer(a[1], a[2])))
     rows = alignments.withColumn("pair", F.when(F.size("alignments") == 2, F.col("alignments")).when(F.size("alignments") == 3, pair))
     return rows.where("pair is not null").drop("alignments")
+
+
+def alignments_by_name(reads: DataFrame, name: str = "qname") -> DataFrame:
+    """(name, alignments) of one file that holds both mates; names with other than two or three alignments go. For resolve_chimeric."""
+    one = F.struct(F.col("rname").alias("chromosome"), F.col("pos").alias("position"), "strand", cigar_matched(F.col("cigar")).alias("matched"))
+    return reads.groupBy(name).agg(F.array_sort(F.collect_list(one)).alias("alignments")).where("size(alignments) in (2, 3)")
+
+
+def nth(pairs: DataFrame, n: int, *order: str) -> DataFrame:
+    """The n-th pair (from 0) in an order: the first n + 1 rows are found by top-k, not by a global sort."""
+    return pairs.orderBy(*order).limit(n + 1).orderBy(*[F.desc(c) for c in order]).limit(1)

@@ -19,9 +19,11 @@ def log2_or_null(x: Column) -> Column:
     return F.when(x > 0, F.log2(x))
 
 
-def insulation(edges: DataFrame, regions: DataFrame, w: int, offset: int = 0, normalise: bool = True, log: bool = True) -> DataFrame:
+def insulation(edges: DataFrame, regions: DataFrame, w: int, offset: int = 0, normalise: bool = True, log: bool = True, sliding: int | None = None, subtract: bool = False, geometric: bool = False) -> DataFrame:
     """(ix, score): the mean weight of the w x w square that spans each bin, over the chromosome's mean, log2.
 
+    The mean may be that of ``sliding`` bins on either side, and geometric (zeros left out); it is divided by or subtracted.
+
     An edge (s, t) is in the squares of bins k with s <= k - off, t >= k + off, s > k - off - w, t < k + off + w,
     off = offset + 1. Cells with an invalid bin don't count; null near the ends or with over half the square invalid.
     """
@@ -41,8 +43,9 @@ def insulation(edges: DataFrame, regions: DataFrame, w: int, offset: int = 0, no
     rows = rows.withColumn("score", F.when(~ends & (na <= 0.5 * w * w) & (na < w * w), F.coalesce("_sum", F.lit(0)) / (w * w - na)))
     score = F.col("score")
     if normalise:
-        mean = F.avg("score").over(Window.partitionBy("chromosome"))
-        score = score / F.nullif(mean, F.lit(0.0))
+        frame = Window.partitionBy("chromosome") if sliding is None else by.rowsBetween(-sliding, sliding)
+        mean = F.exp(F.avg(F.when(score > 0, F.ln(score))).over(frame)) if geometric else F.avg(score).over(frame)
+        score = score - mean if subtract else score / F.nullif(mean, F.lit(0.0))
     return rows.select("ix", (log2_or_null(score) if log else score).alias("score"))
 
 
@@ -153,3 +156,45 @@ def boundaries(scores: DataFrame, w: int = 3, maxima: bool = False, *by: str) ->
         return out
 
     return scores.groupBy(*(by or [F.lit(0)])).applyInPandas(call, f"{names}ix long, prominence double")
+
+
+def trimmed_mean(rows: DataFrame, column: str, share: float, *by: str) -> DataFrame:
+    """(.., mean): the mean without the int(n * share) smallest and largest values of each group."""
+    n, r = F.count(column).over(Window.partitionBy(*by)), F.row_number().over(Window.partitionBy(*by).orderBy(column))
+    cut = F.floor(F.col("_n") * share)
+    kept = rows.where(F.col(column).isNotNull()).withColumn("_n", n).withColumn("_r", r).where((F.col("_r") > cut) & (F.col("_r") <= F.col("_n") - cut))
+    return kept.groupBy(*by).agg(F.avg(column).alias("mean"))
+
+
+def contact_average(edges: DataFrame, regions: DataFrame, w: int) -> DataFrame:
+    """(ix, left, right): mean contact of each bin with the w bins before and after it, as far as they are in its chromosome."""
+    rows = chromosome_range(regions.select("ix", "chromosome"))
+    cis = with_ends(edges, rows, "chromosome").where(f"source_chromosome = sink_chromosome and source < sink and sink - source <= {w}")
+    left = cis.groupBy(F.col("sink").alias("ix")).agg(F.sum("weight").alias("_l"))
+    right = cis.groupBy(F.col("source").alias("ix")).agg(F.sum("weight").alias("_r"))
+    k = F.col("ix") - F.col("_first")
+    before, after = F.least(k, F.lit(w)), F.least(F.col("_size") - 1 - k, F.lit(w))
+    rows = rows.join(left, "ix", "left").join(right, "ix", "left")
+    mean = lambda s, n: F.coalesce(s, F.lit(0)) / F.nullif(n, F.lit(0))
+    return rows.select("ix", mean(F.col("_l"), before).alias("left"), mean(F.col("_r"), after).alias("right"))
+
+
+def smoothed_expected(expected: DataFrame, least: float) -> DataFrame:
+    """Expected values whose window grows on both sides until it holds ``least`` contacts; a vector has one number per distance."""
+    kind = expected.schema["chromosome"].dataType.simpleString()
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("distance", ignore_index=True)
+        total, possible = (np.r_[0.0, np.cumsum(pdf[c].to_numpy(dtype=float))] for c in ("total", "possible"))
+        n, out = len(pdf), []
+        for i in range(n):
+            k = 0
+            while True:
+                a, b = max(0, i - k), min(n, i + k + 1)
+                if total[b] - total[a] >= least or (a == 0 and b == n):
+                    break
+                k += 1
+            out.append((total[b] - total[a]) / (possible[b] - possible[a]) if possible[b] > possible[a] else None)
+        return pd.DataFrame({"chromosome": pdf.chromosome, "distance": pdf.distance, "expected": np.array(out, dtype=float)})
+
+    return expected.groupBy("chromosome").applyInPandas(grow, f"chromosome {kind}, distance long, expected double")

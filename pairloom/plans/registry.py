@@ -579,6 +579,68 @@ def overlap_peaks(spark: SparkSession, sf: str) -> DataFrame:
     return loops.overlap_peaks(p, 2)
 
 
+# Further variants ----------------------------------------------------------------------------------
+@query("extent cis", """, w AS (SELECT e.ix, least(e.ix - e.first_, 3) AS l, least(e.first_ + e.size_ - 1 - e.ix, 3) AS r FROM extent e), a AS (SELECT sink AS ix, sum(weight) AS s FROM cis WHERE distance BETWEEN 1 AND 3 GROUP BY sink), b AS (SELECT source AS ix, sum(weight) AS s FROM cis WHERE distance BETWEEN 1 AND 3 GROUP BY source)
+    SELECT w.ix, round(coalesce(a.s, 0) / nullif(l, 0), 6) AS "left", round(coalesce(b.s, 0) / nullif(r, 0), 6) AS "right" FROM w LEFT JOIN a ON a.ix = w.ix LEFT JOIN b ON b.ix = w.ix""")
+def contact_average(spark: SparkSession, sf: str) -> DataFrame:
+    return tracks.contact_average(edges(spark, sf), regions(spark, sf), 3).select("ix", r6("left", "left"), r6("right", "right"))
+
+
+@query("tracks", ", r AS (SELECT chromosome, score, row_number() OVER (PARTITION BY chromosome ORDER BY score) AS r, count(*) OVER (PARTITION BY chromosome) AS n FROM tracks WHERE score IS NOT NULL) SELECT chromosome, round(avg(score), 6) AS mean FROM r WHERE r > floor(n * 0.1) AND r <= n - floor(n * 0.1) GROUP BY chromosome")
+def trimmed_mean(spark: SparkSession, sf: str) -> DataFrame:
+    return tracks.trimmed_mean(view.tracks(spark, sf), "score", 0.1, "chromosome").select("chromosome", r6("mean", "mean"))
+
+
+@query("extent cis", _SQUARE.replace("CASE WHEN x > 0 THEN log2(x / avg(x) OVER (PARTITION BY chromosome)) END", "x - avg(x) OVER (PARTITION BY chromosome ORDER BY ix ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"))
+def insulation_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    return tracks.insulation(edges(spark, sf), view.valid(spark, sf), 3, sliding=5, subtract=True, log=False).select("ix", r6("score", "score"))
+
+
+@query("extent cis", _SQUARE.replace("log2(x / avg(x) OVER (PARTITION BY chromosome))", "log2(x / exp(avg(CASE WHEN x > 0 THEN ln(x) END) OVER (PARTITION BY chromosome)))"))
+def insulation_geometric(spark: SparkSession, sf: str) -> DataFrame:
+    return tracks.insulation(edges(spark, sf), view.valid(spark, sf), 3, geometric=True).select("ix", r6("score", "score"))
+
+
+@query()
+def smoothed_expected(spark: SparkSession, sf: str) -> DataFrame:
+    return tracks.smoothed_expected(matrix.expected(edges(spark, sf), view.valid(spark, sf)).where("chromosome is not null"), 400)
+
+
+@query("edges", "SELECT 0 AS level, source, sink, weight FROM edges UNION ALL SELECT 1, source // 2, sink // 2, CAST(sum(weight) AS BIGINT) FROM edges GROUP BY ALL UNION ALL SELECT 2, source // 4, sink // 4, CAST(sum(weight) AS BIGINT) FROM edges GROUP BY ALL")
+def zoom_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix.zoom_levels(edges(spark, sf), 3)
+
+
+@query("edges valid", """, n AS (SELECT chromosome, count(*) AS n FROM valid WHERE valid GROUP BY chromosome), c AS (SELECT 1.5 * (SELECT sum(weight) FROM edges WHERE source // 50 <> sink // 50) / (SELECT sum(a.n * b.n) FROM n a JOIN n b ON a.chromosome < b.chromosome) AS cut) SELECT source, sink, weight FROM edges, c WHERE weight >= cut""")
+def background_ligation_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix.above_background(edges(spark, sf), view.valid(spark, sf), 1.5)
+
+
+@query("extent ends", f", q AS (SELECT ix AS id, ix AS a, ix AS b FROM regions WHERE ix % 5 = 0), w AS (SELECT q.* FROM q {_INSIDE}) " + _PILE.replace("round(avg(v), 6)", "round(avg(v) * pow(abs(i - j) * 1000 + 1000, -0.25), 6)"))
+def aggregate_rescaled(spark: SparkSession, sf: str) -> DataFrame:
+    w = regions(spark, sf).where("ix % 5 = 0").select(F.col("ix").alias("id"), F.col("ix").alias("row"), F.col("ix").alias("column"))
+    out = aggregate.rescaled(aggregate.pile_up(w, edges(spark, sf), view.valid(spark, sf), 3), 1000)
+    return out.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6("value", "value"), "n")
+
+
+@query()
+def aggregate_domains(spark: SparkSession, sf: str) -> DataFrame:
+    d = regions(spark, sf).where("ix % 50 in (12, 27)").select(F.col("ix").alias("id"), F.col("ix").alias("first"), (F.col("ix") + 4 + F.col("ix") % 4).alias("last"))
+    return aggregate.pile_up_domains(d, matrix.observed_expected(edges(spark, sf), view.valid(spark, sf)), 15)
+
+
+@query("oe tracks valid", ORACLES["saddle"][ORACLES["saddle"].index(", cut AS"):].replace("SELECT greatest(x.g", ", s AS (SELECT greatest(x.g").replace("round(avg(coalesce(oe, 1.0)), 6)", "avg(coalesce(oe, 1.0))").replace("    , s AS", ", s AS") + """) SELECT round(ln(max(value) FILTER (a = 4 AND b = 4) * max(value) FILTER (a = 0 AND b = 0) / pow(max(value) FILTER (a = 4 AND b = 0), 2)), 6) AS strength FROM s""")
+def compartment_strength(spark: SparkSession, sf: str) -> DataFrame:
+    v = view.valid(spark, sf)
+    out = aggregate.saddle(matrix.observed_expected(edges(spark, sf), v), v, view.tracks(spark, sf).select("ix", "score"), 5)
+    return compartments.strength(out, 5).select(r6("strength", "strength"))
+
+
+@query("pairs", f"SELECT {PAIR} FROM pairs ORDER BY {PAIR} LIMIT 1 OFFSET 1000")
+def nth_pair(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.nth(view.pairs(spark, sf).select(*PAIR.split(", ")), 1000, *PAIR.split(", "))
+
+
 # Ordering, statistics, streaming -------------------------------------------------------------------
 @query("", "SELECT p_name, row_number() OVER (ORDER BY p_partkey) AS n FROM part WHERE p_partkey <= 200")
 def natural_sort(spark: SparkSession, sf: str) -> DataFrame:
