@@ -18,14 +18,14 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(name, sequence, quality) of four-line records, split at record ends."""
     rows = spark.read.option("lineSep", "\n@").text(path)
     f = F.split("value", "\r?\n")
-    return rows.where(F.size(f) >= 4).select(F.regexp_extract(F.regexp_replace(f[0], "^@", ""), r"^(\S+)", 1).alias("name"), f[1].alias("sequence"), f[3].alias("quality"))
+    return rows.where(F.size(f) >= 4).select(F.regexp_extract(F.regexp_replace(F.get(f, 0), "^@", ""), r"^(\S+)", 1).alias("name"), F.get(f, 1).alias("sequence"), F.get(f, 3).alias("quality"))
 
 
 def read_sam(spark: SparkSession, path: str, unmapped: bool = False) -> DataFrame:
     """Alignments with a map of their tags; header lines and (unless asked for) unmapped reads are left out."""
     c = F.split("value", "\t")
     kinds = {"flag": "int", "pos": "long", "mapq": "int", "pnext": "long", "tlen": "long"}
-    cols = [c[i].cast(kinds.get(n, "string")).alias(n) for i, n in enumerate(SAM)]
+    cols = [F.get(c, i).cast(kinds.get(n, "string")).alias(n) for i, n in enumerate(SAM)]
     tags = F.transform(F.slice(c, 12, 1 << 20), lambda t: F.struct(F.substr(t, F.lit(1), F.lit(2)), F.substr(t, F.lit(6))))
     rows = spark.read.text(path).where("not value like '@%' and value <> ''").select(*cols, F.map_from_entries(tags).alias("tags"))
     rows = rows.withColumn("strand", F.when(F.col("flag").bitwiseAND(F.lit(16)) != 0, -1).otherwise(1).cast("byte"))
@@ -55,7 +55,7 @@ def read_pairs(spark: SparkSession, path: str, sep: str = "\t", fields: dict[str
     fields = fields or VALID_PAIRS
     c = F.split("value", sep)
     kinds = {"position": "long", "strand": "string"}
-    cols = [c[i].cast(kinds.get(n, "string")).alias(f"{side}_{n}") for n, both in fields.items() for side, i in zip(("left", "right"), both, strict=True)]
+    cols = [F.get(c, i).cast(kinds.get(n, "string")).alias(f"{side}_{n}") for n, both in fields.items() for side, i in zip(("left", "right"), both, strict=True)]
     rows = spark.read.text(path).where("not value like '#%' and value <> ''").select(*cols)
     for side in ("left", "right"):
         if f"{side}_strand" in rows.columns:
@@ -86,13 +86,13 @@ def read_bed(spark: SparkSession, path: str, zero_based: bool = True) -> DataFra
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
     c = F.split("value", "\t")
     rows = spark.read.text(path).where("value <> '' and not value like '#%'")
-    return rows.select(c[0].alias("chromosome"), c[3].cast("long").alias("start"), c[4].cast("long").alias("end"), c[2].alias("feature"), F.expr("try_cast(nullif(split(value, '\t')[5], '.') as double)").alias("score"), F.when(c[6] == "-", -1).when(c[6] == "+", 1).cast("byte").alias("strand"), c[8].alias("attributes"))
+    return rows.select(F.get(c, 0).alias("chromosome"), F.get(c, 3).cast("long").alias("start"), F.get(c, 4).cast("long").alias("end"), F.get(c, 2).alias("feature"), F.expr("try_cast(nullif(get(split(value, '\t'), 5), '.') as double)").alias("score"), F.when(F.get(c, 6) == "-", -1).when(F.get(c, 6) == "+", 1).cast("byte").alias("strand"), F.get(c, 8).alias("attributes"))
 
 
 def read_bedpe(spark: SparkSession, path: str) -> DataFrame:
     c = F.split("value", "\t")
     rows = spark.read.text(path).where("value <> '' and not value like '#%'")
-    cols = [c[i].cast("string" if i in (0, 3) else "long").alias(n) for i, n in enumerate(("chromosome1", "start1", "end1", "chromosome2", "start2", "end2"))]
+    cols = [F.get(c, i).cast("string" if i in (0, 3) else "long").alias(n) for i, n in enumerate(("chromosome1", "start1", "end1", "chromosome2", "start2", "end2"))]
     return rows.select(*cols, F.try_element_at(c, F.lit(7)).alias("name"), F.expr("try_cast(try_element_at(split(value, '\t'), 8) as double)").alias("score"))
 
 
