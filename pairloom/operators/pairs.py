@@ -112,19 +112,20 @@ def pcr_duplicates(pairs: DataFrame, threshold: int, *order: str) -> DataFrame:
     rows = pairs.withColumn("_run", F.sum(F.when(far, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("_order", F.row_number().over(w))
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_order")
-        left, right, out = pdf.left_position.to_numpy(), pdf.right_position.to_numpy(), []
-        a = b = None
-        for x, y in zip(left, right, strict=True):
-            same = a is not None and abs(x - a) <= threshold and abs(y - b) <= threshold
-            out.append(same)
-            if not same:
-                a, b = x, y
-        return pdf.assign(duplicate=out).drop(columns=["_run", "_order"])
-
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = a = b = None
+        for pdf in batches:
+            out = []
+            for *key, x, y in zip(*(pdf[c].tolist() for c in ("left_chromosome", "right_chromosome", "_run", "left_position", "right_position")), strict=True):
+                same = key == last and abs(x - a) <= threshold and abs(y - b) <= threshold
+                out.append(same)
+                if not same:
+                    last, a, b = key, x, y
+            yield pdf.drop(columns=["_run", "_order"]).assign(duplicate=out)
+
+    run = ["left_chromosome", "right_chromosome", "_run"]
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
-    return rows.groupBy("left_chromosome", "right_chromosome", "_run").applyInPandas(scan, f"{names}, duplicate boolean")
+    return rows.repartition(*run).sortWithinPartitions(*run, "_order").mapInPandas(scan, f"{names}, duplicate boolean")
 
 
 def exact_duplicates(pairs: DataFrame, *keys: str) -> Iterator[DataFrame]:
