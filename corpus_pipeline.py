@@ -24,8 +24,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates stays: the one with the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies stays, the one with the smallest doc_id: 2 bits or five-word Jaccard 0.8."""
+    return simhash.one_of_each(docs, simhash.near_copies)
 
 
 def hide_people(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

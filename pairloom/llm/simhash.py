@@ -15,6 +15,15 @@ linked to each other. That is linear in the group and exact.
 Links leave a task as stars (to the smallest member of each local component), so a clique of copies
 makes no more rows than it has members.
 
+near_copies() is the wider setting of the pipeline's stage. At a Jaccard similarity of 0.8 two fingerprints
+differ in some ten bits, and no root of the index is both selective and safe at such a distance. Documents
+link there as above or if their sets of five-word shingles have a similarity of at least 0.8, by an exact
+set join: of a set of n shingle hashes the first n - ceil(0.8 n) + 1 are its keys, and two similar sets
+share one, whatever the order, if it is the same for all. Shingles that are common in a sample come last in
+it; the sample sets the work and not the result. Equal sets are one node. First all sets of a key meet its smallest one; then those that share a
+key, have sizes and ranks that allow the similarity and are not connected yet meet each other. All of
+them are verified on the whole sets.
+
 Nulls: a null text is an empty one, with fingerprint zero, which links like any other. A row with a null
 doc_id gets its fingerprint and its component's smallest known doc_id (null if there is none). Repeated
 rows come back repeated. An empty table gives an empty result. Other columns are not read.
@@ -22,7 +31,7 @@ rows come back repeated. An empty table gives an empty result. Other columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +41,17 @@ from .common import components, staged
 
 WORDS, SEED, DISTANCE, GROUP = 3, 42, 2, 1024
 CHUNK = 1 << 15
+#: Of near_copies: words of a shingle, and the least Jaccard similarity as a fraction.
+SHINGLE, SIMILAR = 5, (4, 5)
+#: The order of its shingles: documents that are counted, how many of them make a shingle common, most shingles that are put last.
+COUNTED, COMMON, LAST = 20_000, 3, 200_000
 PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
 
 
+def _shingles(w: list[bytes], words: int) -> list[bytes]:
+    return list(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))) if len(w) >= words else [b" ".join(w)]
+
+
 def fingerprint(raw: bytes, words: int = WORDS, seed: int = SEED) -> int:
     """The fingerprint of a UTF-8 text, as an unsigned number."""
     from xxhash import xxh64_intdigest
@@ -42,7 +59,7 @@ def fingerprint(raw: bytes, words: int = WORDS, seed: int = SEED) -> int:
     w = raw.lower().split()  # on bytes: A-Z only, and white space is x20 and x09 to x0D
     if not w:
         return 0
-    shingles = list(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))) if len(w) >= words else [b" ".join(w)]
+    shingles = _shingles(w, words)
     count = np.zeros(64, dtype=np.int64)
     for k in range(0, len(shingles), CHUNK):
         h = np.array([xxh64_intdigest(s, seed) for s in shingles[k : k + CHUNK]], dtype="<u8")
@@ -62,6 +79,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
+def shingle_set(raw: bytes, words: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The hashes of the shingles of a UTF-8 text, sorted, each once."""
+    from xxhash import xxh64_intdigest
+
+    w = raw.lower().split()
+    return np.unique(np.array([xxh64_intdigest(s, seed) for s in set(_shingles(w, words))] if w else [], dtype=np.uint64))
+
+
+def set_id(s: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    x = xxh64_intdigest(s.tobytes(), 1)
+    return x - (1 << 64) if x >> 63 else x
+
+
 class GrayIndex:
     """Fingerprints sorted by group and, within it, by Gray rank; levels of nodes over them.
 
@@ -168,6 +200,106 @@ def links(nodes: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> Dat
     return stars.unionByName(near.select("u", "v"))
 
 
+def _common(docs: DataFrame) -> np.ndarray:
+    """Shingles that stand in several of at most about COUNTED documents, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t).view(np.int64))], names=["key"])
+
+    every = max(1, docs.count() // COUNTED)
+    rows = docs.where("length(text) > 0").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select(F.col("text").cast("string").cast("binary"))
+    top = rows.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(LAST)
+    return np.sort(np.array([x.key for x in top.select("key").collect()], dtype=np.int64).view(np.uint64))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, at, fp, id, n, keys): the fingerprint, and of the set of shingles its id, size and keys."""
+    num, den = SIMILAR
+    common = _common(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp, ids, sizes, keys = [], [], [], []
+            for t in b.column(2).to_pylist():
+                s = shingle_set(t or b"")
+                n = len(s)
+                fp.append(fingerprint(t) if t else 0)
+                ids.append(set_id(s))
+                sizes.append(n)
+                late = np.isin(s, common)
+                keys.append(np.r_[s[~late], s[late]][: n + num * n // -den + 1 if n else 0].view(np.int64))
+            cols = [b.column(0), b.column(1), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "at", "fp", "id", "n", "keys"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), _place(), F.col("text").cast("string").cast("binary").alias("t"))
+    return rows.mapInArrow(run, "doc_id long, at long, fp long, id long, n int, keys array<long>")
+
+
+def _verified(docs: DataFrame, seen: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) of set ids whose sets are similar."""
+    num, den = SIMILAR
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    wanted = seen.groupBy("id").agg(F.min("at").alias("at")).join(ids, "id").select("at")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = [shingle_set(t or b"") for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], names=["id", "s"])
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                a, c = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(a) + len(c) - len(np.unique(np.concatenate([a, c])))
+                ok.append(den * both >= num * (len(a) + len(c) - both))
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["u", "v"])
+
+    rows = docs.select(_place(), F.col("text").cast("string").cast("binary").alias("t")).join(wanted, "at").select("t")
+    of = staged(rows.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]), "simhash-sets")
+    both = pairs.join(of.select(F.col("id").alias("u"), "s"), "u").join(of.select(F.col("id").alias("v"), F.col("s").alias("r")), "v")
+    return staged(both.select("u", "v", "s", "r").mapInArrow(similar, "u long, v long"), "simhash-similar")
+
+
+def _place() -> Column:
+    """What tells texts apart: a hash of doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("at")
+
+
+def similar_sets(docs: DataFrame, seen: DataFrame) -> DataFrame:
+    """Links (u, v) of set ids that connect exactly what similar sets connect."""
+    num, den = SIMILAR
+    kinds = seen.groupBy("id").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    rows = kinds.select("id", "n", F.posexplode("keys").alias("rank", "key"))
+    least = rows.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("count")).where("count > 1").select("key", "low")
+    rows = staged(rows.join(least, "key"), "simhash-keys")  # most keys belong to one set and go here
+    stars = staged(rows.where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct(), "simhash-stars")
+    found = _verified(docs, seen, stars)
+    part = components(found, "simhash-near").withColumnRenamed("u", "id")
+    rows = rows.join(part, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component", "low")
+    mixed = rows.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key")
+    rows = staged(rows.join(mixed, "key"), "simhash-mixed")
+    other = rows.select("key", F.col("id").alias("v"), F.col("n").alias("m"), F.col("rank").alias("place"), F.col("part").alias("other"))
+    pairs = rows.join(other, "key").where("id < v and part <> other")
+    # The first key that two sets share leaves at most the rest of each to share.
+    pairs = pairs.where(f"{num + den} * least(n - rank, m - place) >= {num} * (n + m)").select(F.col("id").alias("u"), "v").distinct()
+    return found.unionByName(_verified(docs, seen, staged(pairs, "simhash-rest")))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of each document, of links by fingerprints and by similar sets."""
+    seen = staged(_keyed(docs), "simhash-seen")
+    nodes = seen.select("fp").distinct()
+    edges = links(nodes).unionByName(similar_sets(docs, seen)).unionByName(seen.select(F.col("fp").alias("u"), F.col("id").alias("v")))
+    part = components(edges, "simhash-cc").withColumnRenamed("u", "fp")
+    out = seen.select("doc_id", "fp").join(part, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = out.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return out.join(least, "component").select("doc_id", "component_id")
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each document."""
     fps = staged(fingerprints(docs), "simhash")
@@ -180,13 +312,13 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, group: int = GROU
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, near: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The documents whose doc_id is the smallest of their component, with all their columns, once each.
 
-    A row without a doc_id stands in with a hash of its text, after all doc_ids.
+    A row without a doc_id stands in with a hash of its text, after all doc_ids. ``near`` finds the components.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62))
     rows = docs.withColumn("_simhash_key", key)
-    near = near_duplicates(rows.select(F.col("_simhash_key").alias("doc_id"), "text"))
-    kept = near.where("doc_id = component_id").select(F.col("doc_id").alias("_simhash_key")).distinct()
+    parts = near(rows.select(F.col("_simhash_key").alias("doc_id"), "text"))
+    kept = parts.where("doc_id = component_id").select(F.col("doc_id").alias("_simhash_key")).distinct()
     return rows.join(kept, "_simhash_key").dropDuplicates(["_simhash_key"]).select(*docs.columns)

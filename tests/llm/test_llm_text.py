@@ -190,6 +190,31 @@ def test_simhash_links_random_fingerprints(spark, group):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_near_copies_are_all_documents_with_similar_shingles(spark):
+    r = random.Random(8)
+    rows = [(1000, None), (1001, ""), (1002, "one two"), (1003, "one  two"), (None, "one two")]
+    for k in range(12):
+        w = prose(r, r.choice((30, 120, 400))).split()
+        rows.append((20 * k, " ".join(w)))
+        for i in range(1, 14):
+            v = list(w)
+            for _ in range(r.choice((1, 1, 2, 4, 6))):
+                v[r.randrange(len(v))] = f"zinnia{r.randrange(5)}"
+            rows.append((20 * k + i, " ".join(v)))
+    known = [(d, t or "") for d, t in rows if d is not None]
+    sets = []
+    for _, t in known:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    alike = lambda a, b: a == b or len(a & b) / len(a | b) >= 0.8
+    fps = [slow_fingerprint(t) for _, t in known]
+    by_bits = reach(len(known), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2)
+    both = reach(len(known), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2 or alike(sets[i], sets[j]))
+    want = {known[i][0] for i in range(len(known)) if both[i] == i}
+    kept = sorted(x.doc_id for x in simhash.one_of_each(table(spark, rows), simhash.near_copies).collect())
+    assert kept == sorted(want) and len(want) < len(set(by_bits))
+
+
 # Lines ---------------------------------------------------------------------------------------------
 def edit(a, b):
     row = list(range(len(b) + 1))
