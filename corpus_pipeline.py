@@ -19,8 +19,8 @@ def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; so do documents all of whose lines of 24 characters or more were repeats."""
-    return lines.without_copies(docs)
+    """Repeated lines go; so do documents that keep nothing but blank lines without them."""
+    return lines.without_copies(docs, left=1)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -276,6 +276,11 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_C
     )
 
 
-def without_copies(docs: DataFrame, **how: int) -> DataFrame:
-    """The documents with their columns and without their dropped lines; those that lost every long line go."""
-    return deduplicated(docs, **how).where("n_dropped = 0 or n_long_kept > 0").select(*docs.columns)
+def without_copies(docs: DataFrame, left: int = MIN_CHARS, **how: int) -> DataFrame:
+    """The documents with their columns and without their dropped lines.
+
+    Of those that lost lines, the ones that keep no line of MIN_CHARS or more go; with left=1, only those
+    that keep nothing but blank lines.
+    """
+    stays = F.col("text").rlike(r"(?U)\S") if left == 1 else F.col("n_long_kept") > 0
+    return deduplicated(docs, **how).where((F.col("n_dropped") == 0) | stays).select(*docs.columns)

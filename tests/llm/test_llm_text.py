@@ -290,6 +290,12 @@ def test_line_dedup_keeps_the_other_columns_and_repeated_rows(spark):
     assert lines.deduplicated(table(spark, [])).count() == 0
 
 
+def test_documents_keep_their_unique_short_lines(spark):
+    line = "a line that is long enough to count"
+    rows = [(1, line), (2, f"{line}\nrest"), (3, f" \n{line}\n"), (4, f"{line}\nflour\nsalt")]
+    assert [(x.doc_id, x.text) for x in lines.without_copies(table(spark, rows), left=1).orderBy("doc_id").collect()] == [(1, line), (2, "rest"), (4, "flour\nsalt")]
+
+
 # Personal data -------------------------------------------------------------------------------------
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()][::-1]
