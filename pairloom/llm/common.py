@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship
 
@@ -15,14 +16,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, made from these, that no column of docs has (in any case of letters)."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column's name as SQL has it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(docs: DataFrame, skip: str = "") -> list[Column]:
+    """All columns of docs by their names, without the one called skip."""
+    return [F.col(quoted(c)) for c in docs.columns if c != skip]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (a local test) a temporary folder is made, and kept in the
-    session so that later calls use the same one.
+    Only where the session names none and is a local one (a test) a temporary folder is made, and kept in
+    the session so that later calls use the same one. On a cluster each machine would have its own: an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="pairloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
