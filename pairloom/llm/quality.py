@@ -1,8 +1,8 @@
 """Quality classifier: naive Bayes support vectors over n-gram indicators.
 
-A text's features are indicators of n-grams over the whole text, hashed into 2**18 places: of its bytes (1
-to 3), of its shape (3 to 5; letters, capitals and digits stand for their kind, runs of small letters for
-one letter) and of the row of signs that tell whether a word repeats the one before it (1 to 3). Each indicator is scaled by its class log-count ratio, r = log((p / |p|) / (q / |q|)) with
+A text's features are indicators of n-grams over the whole text, hashed into 2**BITS places: of its words (1
+and 2), of which words equal the one before (1 to 3 signs), of its bytes (1 to 3) and of its shape (3 to 5; letters, capitals and digits stand for their kind, runs
+of small letters for one letter). Each indicator is scaled by its class log-count ratio, r = log((p / |p|) / (q / |q|)) with
 add-alpha counts over the training rows, and the vector is brought to unit length in the indicators. A
 linear model with hinge loss is then fitted by dual coordinate descent. A logistic curve, fitted on a
 third of the training rows that a first fit did not see, turns margins into scores from 0 to 1.
@@ -12,13 +12,13 @@ indices of features; scoring covers every row. Labels, lang, source and doc_id a
 
 Nulls: a null text is an empty one and gets the score of no feature at all; a null doc_id is scored and
 is not held out; null labels and contradicting labels of a doc_id do not train. Repeated rows come back
-repeated. Empty tables give empty results; without labels of both classes every score is the share of
+repeated and train once; equal texts get equal scores. A very long text has more indicators and is brought to the same
+length. Other columns are kept by accepted() and are otherwise not read. Empty tables give empty results; without labels of both classes every score is the share of
 good labels (1 without any label).
 """
 
 from __future__ import annotations
 
-import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from .common import columns, staged, unused
+
 SAMPLE = 4000
-BITS = 18
-ORDERS, SHAPES, REPEATS = (1, 2, 3), (3, 4, 5), (1, 2, 3)
+BITS = 20
+WORDS, REPEATS, BYTES, SHAPES = (1, 2), (1, 2, 3), (1, 2, 3), (3, 4, 5)
 THRESHOLD = 0.7
 _MULTIPLIERS = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917), np.uint32(668265263), np.uint32(374761393))
 
@@ -38,12 +40,18 @@ _KIND = np.arange(256, dtype=np.uint8)
 _KIND[97:123], _KIND[65:91], _KIND[128:], _KIND[48:58] = 97, 65, 97, 48
 
 
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+
+
 class Indicators:
     """The distinct hashed n-grams of a text, found without sorting them."""
 
     def __init__(self, bits: int = BITS):
         self.bits = bits
         self.stamp = np.zeros(1 << bits, dtype=np.int32)
+        self.power = self.inverse = np.zeros(0, dtype=np.uint64)
 
     def _grams(self, a: np.ndarray, orders: tuple[int, ...], salt: int) -> Iterator[np.ndarray]:
         a = a.astype(np.uint32)
@@ -56,14 +64,27 @@ class Indicators:
                     h ^= h >> np.uint32(15)
                 yield (h * _MULTIPLIERS[-1]) >> np.uint32(32 - self.bits)
 
+    def _words(self, a: np.ndarray) -> np.ndarray:
+        """A 32-bit hash of each word: differences of prefix sums of a polynomial, moved to the front."""
+        if len(self.power) <= len(a):
+            n = 2 * len(a) + 64
+            self.power = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE, np.uint64)], dtype=np.uint64)
+            self.inverse = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)], dtype=np.uint64)
+        space = _SPACE[a]
+        edge = np.flatnonzero(np.diff(np.r_[True, space, True]))
+        start, end = edge[::2], edge[1::2]
+        total = np.r_[np.uint64(0), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * self.power[: len(a)], dtype=np.uint64)]
+        h = (total[end] - total[start]) * self.inverse[start]
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h >> np.uint64(32)).astype(np.uint32)
+
     def __call__(self, raw: bytes) -> np.ndarray:
         a = np.frombuffer(raw, dtype=np.uint8)
         kind = _KIND[a]
         if len(kind):
             kind = kind[np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] != 97)]]
-        words = raw.split()
-        same = np.fromiter(map(operator.eq, words[1:], words), dtype=np.uint8)
-        parts = [*self._grams(a, ORDERS, 0), *self._grams(kind, SHAPES, 100), *self._grams(same, REPEATS, 200)]
+        own = self._words(a)
+        parts = [*self._grams(own, WORDS, 200), *self._grams(own[1:] == own[:-1], REPEATS, 300), *self._grams(a, BYTES, 0), *self._grams(kind, SHAPES, 100)]
         if not parts:
             return np.zeros(0, dtype=np.uint32)
         h = np.concatenate(parts)
@@ -179,40 +200,47 @@ def training_ids(labels: DataFrame, label: str, parts: int, part: int, sample: i
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, sample: int) -> DataFrame:
+    """(doc_id, label, text): at most ``sample`` different labelled texts that are not held out, each once; staged."""
+    ids = training_ids(labels, label, parts, part, sample)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(ids), "doc_id").withColumn("h", F.xxhash64("text", "doc_id"))  # ids: ``sample`` rows at most
+    rows = staged(rows.dropDuplicates(["doc_id", "h"]), "labelled")
+    keys = rows.select("doc_id", "h").orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample)
+    rows = rows.join(F.broadcast(keys), ["doc_id", "h"]).select("doc_id", "label", "text")
+    return staged(rows.repartition(16), "labelled-sample")
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, part: int = 2, sample: int = SAMPLE) -> Model:
     """Collects the sample's feature indices (its bound is ``sample`` rows of at most 2**BITS each) and fits."""
-    ids = training_ids(labels, label, parts, part, sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("t"))
-    rows = rows.join(F.broadcast(ids), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Indicators()
         for b in batches:
             x = [np.sort(find(t or b"")).astype("<u4").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.binary())], names=["doc_id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], names=["label", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, label int, x binary").toArrow()
-    found = {}
-    for d, y, x in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True):
-        found[d, x] = y  # repeated rows train once
-    order = sorted(found)
-    return fit([np.frombuffer(x, dtype="<u4").astype(np.int64) for _, x in order], np.array([found[k] for k in order]))
+    rows = labelled(docs, labels, label, parts, part, sample).select("label", F.col("text").cast("binary").alias("t"))
+    got = rows.mapInArrow(run, "label int, x binary").distinct().toArrow()
+    order = sorted(zip(got.column(1).to_pylist(), got.column(0).to_pylist(), strict=True))
+    return fit([np.frombuffer(x, dtype="<u4").astype(np.int64) for x, _ in order], np.array([y for _, y in order]))
 
 
 def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
-    """Adds score to (doc_id[, other columns of docs]); every whole text is scored."""
+    """Adds a last column, the score, to doc_id or, with keep, to all columns of docs; every whole text is scored."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # 2**BITS floats, whatever the data
     rows = docs if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    at = rows.columns.index("text")
+    at = [c.lower() for c in rows.columns].index("text")
     out = rows if keep else rows.drop("text")
-    names = [*out.columns, "_score"]
-    shape = StructType([*out.schema.fields]).add("_score", "double")
+    [name] = unused(out, "score")
+    names = [*out.columns, name]
+    shape = StructType([*out.schema.fields]).add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, find = sent.value, Indicators()
         for b in batches:
-            s = pa.array([m.score(find((t or "").encode())) for t in b.column(at).to_pylist()], pa.float64())
+            s = pa.array([m.score(find((t or "").encode("utf-8", "surrogatepass"))) for t in b.column(at).to_pylist()], pa.float64())
             cols = [c for i, c in enumerate(b.columns) if keep or i != at]
             yield pa.RecordBatch.from_arrays([*cols, s], names=names)
 
@@ -222,9 +250,10 @@ def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     rows = score(docs, train(docs, labels))
-    return rows.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    return rows.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with a score of at least threshold, with all their columns."""
-    return score(docs, train(docs, labels), keep=True).where(F.col("_score") >= threshold).drop("_score")
+    rows = score(docs, train(docs, labels), keep=True)
+    return rows.where(F.col(rows.columns[-1]) >= threshold).select(*columns(docs))

@@ -3,23 +3,28 @@
 A word enters as its own embedding (for the VOCABULARY words whose document frequencies differ most
 between the classes; one more row stands for all others) beside the mean embedding of its hashed character
 trigrams and beginnings. Two gated recurrent layers read a window of WINDOW words from both ends, attention weighs the
-positions, and a linear layer gives the window's logit. A text is scored through all its overlapping windows (every STRIDE
-words, to the last word); its score is the largest logit, put through a logistic curve fitted on training
-texts that a first fit did not see.
-
-Labels belong to whole texts, so training picks windows: of a toxic text those with the strongest words by
-the class statistics, and after a first fit those that the network itself ranks highest; a toxic text
-without any such window does not train. At most SAMPLE labelled texts are read (smallest hashes of
-doc_id); scoring covers every row. Labels, lang, source and doc_id are never inputs.
+positions, and a linear layer gives the window's logit. A text is scored through all its overlapping windows (one begins at
+every STRIDE-th word, and the last one reaches the last word); its score is the largest logit, put through a logistic curve
+fitted on training texts that a first fit did not see.
+
+Labels belong to whole texts, so training picks windows: every labelled text of the sample trains with at least one
+and at most PICKED of its windows. Of a toxic text these are the ones with the strongest words by the class statistics, and
+after a first fit the one that the network ranks highest; of a clean text one that a hash picks and the one with the strongest
+words, and after the first fit also the one that the network ranks highest. The sample has at most SAMPLE different
+labelled texts (smallest hashes of doc_id, then text). Word statistics, windows and logits are found in the tasks: only
+VOCABULARY words, SAMPLE * PICKED windows and SAMPLE logits come to the driver. Scoring covers every row. Labels, lang,
+source and doc_id are never inputs.
 
 Nulls: a null text is an empty one, scored as one empty window; a null doc_id is scored and is not held
-out; null labels and contradicting labels of a doc_id do not train. Repeated rows come back repeated. Empty tables
+out; null labels and contradicting labels of a doc_id do not train. Repeated rows come back repeated and train once. Words
+of over LONG characters count as several, so a very long text without spaces has windows too. Other columns are not read. Empty tables
 give empty results; without labels of both classes every score is the share of toxic labels (0 without any).
 """
 
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,9 +32,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .quality import _platt, held_out, training_ids
+from .quality import _platt, held_out, labelled
 
 SAMPLE, THRESHOLD = 6000, 0.5
+PICKED, LONG, FOLDS, EPOCHS = 4, 64, 3, 8
 WINDOW, STRIDE = 24, 12
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 8, 8
 VOCABULARY, GRAMS = 2048, 8192
@@ -39,7 +45,11 @@ STEPS = 400
 
 
 def words(text: str) -> list[str]:
-    return text.lower().split()
+    """Lower-case words; each LONG characters of a longer one are a word."""
+    out = text.lower().split()
+    if max(map(len, out), default=0) > LONG:
+        out = [w[k : k + LONG] for w in out for k in range(0, len(w), LONG)]
+    return out
 
 
 def letters(token: str) -> str:
@@ -78,9 +88,9 @@ def _hashed(x: np.ndarray) -> np.ndarray:
     return ((x ^ x >> np.uint64(27)) * _MIX[2] >> np.uint64(40)).astype(np.int64) % GRAMS
 
 
-def windows(n: int) -> np.ndarray:
+def windows(n: int, stride: int = STRIDE) -> np.ndarray:
     """First words of all windows over n words; the last one reaches the last word."""
-    return np.arange(max(1, -(-(n - WINDOW) // STRIDE) + 1 if n > WINDOW else 1)) * STRIDE
+    return np.arange(max(1, -(-(n - WINDOW) // stride) + 1 if n > WINDOW else 1)) * stride
 
 
 def _add_rows(to: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
@@ -181,7 +191,7 @@ class Network:
             dx += dg @ p[f"W{k}"].T
         return g, dx
 
-    def fit(self, texts: list[list[str]], y: np.ndarray, epochs: int = 5, steps: int = STEPS, rate: float = 0.01, batch: int = 128, seed: int = 2) -> None:
+    def fit(self, texts: list[list[str]], y: np.ndarray, epochs: int = EPOCHS, steps: int = STEPS, rate: float = 0.01, batch: int = 128, seed: int = 2) -> None:
         """Adam on the logistic loss of windows (lists of words): so many epochs, or more until there are ``steps`` steps."""
         table = {w: i for i, w in enumerate(dict.fromkeys(itertools.chain.from_iterable(texts)))}
         own = [letters(t) for t in table]
@@ -222,8 +232,8 @@ class Network:
 class Scorer:
     """Largest window logits of whole texts, with a bounded cache of the words' input gates."""
 
-    def __init__(self, network: Network):
-        self.net, self.ids, self.own = network, {}, {}
+    def __init__(self, network: Network, stride: int = STRIDE):
+        self.net, self.stride, self.ids, self.own = network, stride, {}, {}
         self.gates, self.used = np.zeros((4096, 6 * HIDDEN), np.float32), 1  # row 0 pads; grows by doubling
 
     def _rows(self, tokens: list[str]) -> list[int]:
@@ -256,14 +266,14 @@ class Scorer:
         at = 0
         while at < len(split):  # enough texts for a large batch of words, at least one
             end, n = at, 0
-            while end < len(split) and (end == at or n + len(split[end]) <= BATCH * STRIDE):
+            while end < len(split) and (end == at or n + len(split[end]) <= BATCH * self.stride):
                 n += len(split[end])
                 end += 1
             rows = self._rows(list(itertools.chain.from_iterable(split[at:end])))
             rows = np.array([*rows, *[0] * WINDOW], dtype=np.int64)
             base, starts, stops, text = 0, [], [], []
             for k in range(at, end):
-                s = windows(len(split[k]))
+                s = windows(len(split[k]), self.stride)
                 starts.append(s + base)
                 stops.append(np.minimum(s + WINDOW, len(split[k])) + base)
                 text.append(np.full(len(s), k))
@@ -291,81 +301,114 @@ class Scorer:
         return _sigmoid(np.clip(self.net.slope * best + self.net.shift, -500, 500))
 
 
-def evidence(split: list[list[str]], y: np.ndarray, plain: dict[str, str]) -> dict[str, float]:
-    """z of the difference between a word's document frequencies in toxic and other texts, for the VOCABULARY most telling words; plain has the letters of each token."""
-    pos, neg = Counter(), Counter()
-    for w, label in zip(split, y, strict=True):
-        (pos if label else neg).update({plain[t] for t in set(w)})
-    p, q = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    z = {}
-    for w in {**pos, **neg}:
-        n = pos[w] + neg[w]
-        if n >= 6 and w:
-            z[w] = (pos[w] / p - neg[w] / q) / np.sqrt((n + 1) / (p + q) * (1 / p + 1 / q))
-    return dict(sorted(z.items(), key=lambda t: (-abs(t[1]), t[0]))[:VOCABULARY])
-
-
-def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Network:
-    """A calibrated network from whole texts and labels 0 or 1."""
-    y = np.asarray(labels).astype(np.float32)
-    if len(y) == 0 or y.min() == y.max():
+def _tallied(sample: DataFrame) -> DataFrame:
+    """(word, pos, neg): in how many toxic and other texts a word (its letters) stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count: tuple[Counter, Counter] = (Counter(), Counter())
+            for y, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                count[y].update({letters(w) for w in set(words(t))} - {""})
+            kinds = list({**count[0], **count[1]})
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), *(pa.array([count[y][w] for w in kinds], pa.int64()) for y in (1, 0))], names=["word", "pos", "neg"])
+
+    return sample.select("label", "text").mapInArrow(run, "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def evidence(sample: DataFrame) -> dict[str, float]:
+    """z of the difference between a word's document frequencies in toxic and other texts, for the VOCABULARY most telling words."""
+    size = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+    p, q = max(1, size.get(1, 0)), max(1, size.get(0, 0))
+    z = (F.col("pos") / p - F.col("neg") / q) / F.sqrt((F.col("pos") + F.col("neg") + 1) / (p + q) * (1 / p + 1 / q))
+    return {r.word: r.z for r in _tallied(sample).select("word", z.alias("z")).orderBy(F.desc(F.abs("z")), "word").limit(VOCABULARY).collect()}
+
+
+def _strongest(split: list[str], z: dict[str, float], toxic: bool) -> list[int]:
+    """First words of the windows that a text trains with at first."""
+    at = windows(len(split)).tolist()
+    value = [z.get(letters(w), 0.0) for w in split]
+    each = sorted(((-max(value[k : k + WINDOW], default=0.0), k) for k in at))
+    if toxic:
+        return [k for v, k in each if v <= 0.6 * each[0][0]][:PICKED] or [each[0][1]]
+    return list(dict.fromkeys([each[0][1], at[zlib.crc32(" ".join(split[:WINDOW]).encode("utf-8", "surrogatepass")) % len(at)]]))
+
+
+def _picked(sample: DataFrame, z: dict[str, float] | None, net: Network | None) -> list[tuple[int, list[str]]]:
+    """(label, words) of training windows, by the evidence z or by a network; at most PICKED rows of WINDOW words a text."""
+    sent = sample.sparkSession.sparkContext.broadcast((z, net))  # bounded by VOCABULARY and GRAMS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, net = sent.value
+        scorer = Scorer(net) if net else None
+        for b in batches:
+            labels, own = b.column(0).to_pylist(), [words(t) for t in b.column(1).to_pylist()]
+            if scorer:
+                best, at = scorer.logits(b.column(1).to_pylist())
+                places = [[int(k)] if y or v > -2 else [] for y, v, k in zip(labels, best, at, strict=True)]
+            else:
+                places = [_strongest(w, z, y == 1) for y, w in zip(labels, own, strict=True)]
+            rows = [(y, w[k : k + WINDOW]) for y, w, ks in zip(labels, own, places, strict=True) for k in ks]
+            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows], pa.int32()), pa.array([w for _, w in rows], pa.list_(pa.string()))], names=["label", "words"])
+
+    got = sample.select("label", "text").mapInArrow(run, "label int, words array<string>").toArrow()
+    return sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+
+
+def _logits(sample: DataFrame, net: Network) -> tuple[np.ndarray, np.ndarray]:
+    """Largest logits and labels of the sample's texts."""
+    sent = sample.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer.logits(b.column(1).to_pylist())[0].astype(np.float64))], names=["label", "logit"])
+
+    got = sample.select("label", "text").mapInArrow(run, "label int, logit double").toArrow()
+    y, v = (got.column(k).to_numpy() for k in range(2))
+    order = np.lexsort((y, v))
+    return v[order], y[order]
+
+
+def train(sample: DataFrame, seed: int = 1) -> Network:
+    """A calibrated network from (label, text, fold): whole texts, labels 0 or 1, and a number below FOLDS."""
+    size = {(r.fold, r.label): r["count"] for r in sample.groupBy("fold", "label").count().collect()}
+    n = [sum(v for (_, y), v in size.items() if y == label) for label in (0, 1)]
+    if not all(n):
         net = Network({}, seed)
-        share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
+        share = float(np.clip(n[1] / max(1, sum(n)), 1e-6, 1 - 1e-6))
         net.slope, net.shift = 0.0, float(np.log(share / (1 - share)))
         return net
-    kept: dict[str, str] = {}  # one object for each word
-    split = [[kept.setdefault(w, w) for w in words(t)] for t in texts]
-    plain = {w: letters(w) for w in kept}
 
-    def one(use: np.ndarray) -> Network:
-        r = np.random.default_rng(seed)
-        z = evidence([split[i] for i in use], y[use], plain)
+    def one(use: DataFrame) -> Network:
+        z = evidence(use)
         net = Network(z, seed)
-        clean = []
-        for i in use[y[use] == 0]:
-            s = windows(len(split[i]))
-            clean += [split[i][k : k + WINDOW] for k in (s if len(s) <= 2 else r.choice(s, 2, replace=False)).tolist()]
-        chosen = []
-        for i in use[y[use] == 1]:
-            each = [(max((z.get(plain[t], 0.0) for t in split[i][k : k + WINDOW]), default=0.0), k) for k in windows(len(split[i])).tolist()]
-            top = max(each)
-            if top[0] > 4:
-                chosen += [split[i][k : k + WINDOW] for v, k in each if v >= 0.6 * top[0]][:4]
+        clean, toxic = [], []
+        for y, w in _picked(use, z, None):
+            (toxic if y else clean).append(w)
         for last in (False, True):
-            if not chosen:
-                break
-            net.fit(clean + chosen, np.r_[np.zeros(len(clean)), np.ones(len(chosen))].astype(np.float32))
-            if last:
-                break
-            best, at = Scorer(net).logits([texts[i] for i in use])
-            hard = [split[i][k : k + WINDOW] for i, v, k in zip(use, best, at, strict=True) if y[i] == 0 and v > -2]
-            clean += hard
-            chosen = [split[i][k : k + WINDOW] for i, v, k in zip(use, best, at, strict=True) if y[i] == 1 and v > 0]
+            net.fit(clean + toxic, np.r_[np.zeros(len(clean)), np.ones(len(toxic))].astype(np.float32))
+            if not last:
+                again = _picked(use, None, net)
+                clean += [w for y, w in again if not y]
+                toxic = [w for y, w in again if y]
         return net
 
-    part = np.arange(len(y)) % 3
-    seen, rest = np.flatnonzero(part == 0), np.flatnonzero(part != 0)
-    net = one(np.arange(len(y)))
-    if y[seen].min() < y[seen].max() and y[rest].min() < y[rest].max():
-        best, _ = Scorer(one(rest)).logits([texts[i] for i in seen])
-    else:
-        best, seen = Scorer(net).logits(texts)[0], np.arange(len(y))
-    net.slope, net.shift = _platt(best, np.where(y[seen] > 0, 1, -1))
+    net = one(sample)
+    apart = all(size.get((0, y)) and any(size.get((k, y)) for k in range(1, FOLDS)) for y in (0, 1))
+    seen = _logits(sample.where("fold = 0"), one(sample.where("fold <> 0"))) if apart else _logits(sample, net)
+    net.slope, net.shift = _platt(seen[0], np.where(seen[1] > 0, 1, -1))
     return net
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document; the sample's texts are at most ``sample`` rows."""
-    ids = training_ids(labels, "toxic", 5, 0, sample)
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, stride: int = STRIDE) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text").toArrow()
-    found = {(d, t or ""): y for d, y, t in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True)}
-    order = sorted(found)
-    net = train([t for _, t in order], np.array([found[k] for k in order]))
+    seen = labelled(rows, labels, "toxic", 5, 0, sample)
+    net = train(seen.select("label", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(FOLDS)).cast("int").alias("fold")))
     sent = docs.sparkSession.sparkContext.broadcast(net)  # bounded by VOCABULARY and GRAMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = Scorer(sent.value, stride)
         for b in batches:
             s = scorer.scores([t or "" for t in b.column(1).to_pylist()]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["doc_id", "score"])
