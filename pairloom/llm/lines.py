@@ -1,44 +1,58 @@
 """Line dedup by a segment-partition edit join.
 
-Lines are compared in a normal form (lower case, white space squeezed); those of at least ``min_chars``
-characters take part. Equal lines are one line. A line of length l is cut into threshold + 1 even
-segments, indexed under (l, number, segment); two lines within the threshold share a segment, so each line
-probes, for every shorter or equal length, the substrings at the positions that such a match can have.
-Candidates are verified with banded bit-parallel edit distance. Linked lines form components, and of
-each component only the first line in the corpus stays (by doc_id, then line), with the document
-around it.
-
-A segment that more than ``hot`` different lines share (near copies of one page) is not joined with
-itself. At threshold 1 its lines are joined exactly by the strings that deleting one character leaves: two
-lines are one substitution apart if they agree after deleting at the same place, and one insertion apart
-if the one is the other after a deletion. These groups are stars, so the work is linear in the lines.
-At higher thresholds hot segments are joined like any other, which is exact too but grows with the
-square of the lines that share one.
+Lines are compared in a normal form (lower case, white space squeezed). Equal lines of at least SHORTEST
+characters are one line. Lines of at least MIN_CHARS also link within an edit distance that grows with the
+shorter one's length: one edit, two from the first of STEPS on, three from the second on. A line of length l
+that allows t edits is cut into t + 1 even segments, indexed under (l, number, segment); two lines within t
+share a segment, so each line probes, for every shorter or equal length, the substrings at the positions that
+such a match can have. The keys of all segments and substrings come from prefix sums of a polynomial, for many lines at
+once. They travel packed, by buckets of keys; each bucket is matched by sorting. Candidates are verified with banded
+bit-parallel edit distance. Linked lines form components, and of each component only the first line in the
+corpus stays (by doc_id, then line), with the document around it.
+
+A key that more than HOT different lines share (near copies of one page) does not make all pairs. All its lines meet
+its smallest one first; after the components of these links, lines of different components of a key meet in
+blocks of BLOCK, where lengths and the parity of hashed character pairs (an edit changes four bits at most) leave
+almost only true pairs. Work is linear but for lines that share a segment and are not linked.
 
 Results: the documents with their other columns; the text without the dropped lines; and, from
-``deduplicated``, n_lines, n_dropped and n_long_kept (lines of min_chars or more that stay). Nulls: a null text stays null
+``deduplicated``, n_lines and n_dropped (with an underscore where docs has such columns). Nulls: a null text stays null
 and has no lines; null doc_ids come after all others. Repeated rows are one document and lose the same
-lines. Lines that differ in case or white space count as equal. An empty table stays empty.
+lines. Lines that differ in case or white space count as equal, and the first of equals stays. A very long text or line is
+worked on whole. An empty table stays empty.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, staged
+from .common import columns, components, quoted, staged, unused
 
-THRESHOLD, MIN_CHARS, HOT = 1, 24, 64
+SHORTEST, MIN_CHARS, STEPS = 8, 24, (64, 128)
+HOT, BLOCK = 32, 1024
+#: Characters and keys that a task holds at a time, lines that it remembers, keys of a bucket.
+CHARS, KEYS, KNOWN, BUCKET = 1 << 20, 1 << 21, 1 << 20, 1 << 19
+MOST = 1 + len(STEPS)
+KEY_BYTES = 5
 _M64 = (1 << 64) - 1
+_BASE = 0x9E3779B97F4A7C15
+_MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
 def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def allowed(size: int) -> int:
+    """How many edits a line of this length allows."""
+    return 0 if size < MIN_CHARS else 1 + sum(size >= x for x in STEPS)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -51,34 +65,46 @@ def line_id(text: str) -> tuple[int, int]:
     return _signed(h >> 64), _signed(h & _M64)
 
 
-def segments(size: int, parts: int) -> list[tuple[int, int]]:
-    """(start, length) of even parts of a string; the last ones are longer by one."""
-    short, more = size // parts, size % parts
-    out, at = [], 0
-    for i in range(parts):
-        n = short + (i >= parts - more)
-        out.append((at, n))
-        at += n
-    return out
-
-
-def keys(text: str, threshold: int, least: int) -> tuple[list[int], list[int]]:
-    """Hashes of the line's own segments, and of the substrings with which it probes other lines'."""
-    from xxhash import xxh3_64_intdigest
-
-    size = len(text)
-
-    def key(length: int, i: int, s: str) -> int:
-        return _signed(xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"), seed=length * 64 + i))
-
-    own = [key(size, i, text[p : p + n]) for i, (p, n) in enumerate(segments(size, threshold + 1))]
-    probe = []
-    for length in range(max(least, size - threshold), size + 1):
-        more = size - length
-        for i, (p, n) in enumerate(segments(length, threshold + 1)):
-            low, high = max(p - i, p + more - (threshold - i), 0), min(p + i, p + more + (threshold - i), size - n)
-            probe += [key(length, i, text[q : q + n]) for q in range(low, high + 1)]
-    return own, probe
+class Keys:
+    """Hashes of lines' own segments and of the substrings with which they probe other lines'."""
+
+    def __init__(self) -> None:
+        self.power = self.inverse = np.zeros(0, dtype=np.uint64)
+
+    def __call__(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(key, line) of own segments, then of probes; all lines have MIN_CHARS or more."""
+        c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        if len(self.power) <= len(c):
+            n = len(c) + 64
+            self.power = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE, np.uint64)], dtype=np.uint64)
+            self.inverse = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)], dtype=np.uint64)
+        total = np.r_[np.uint64(0), np.cumsum((c + np.uint64(1)) * self.power[: len(c)], dtype=np.uint64)]
+        size = np.array([len(x) for x in lines], dtype=np.int64)
+        start = np.cumsum(size) - size
+        own_key, own_line, probe_key, probe_line = [], [], [], []
+        for t in range(1, MOST + 1):
+            for more in range(t + 1):  # the probing line is so much longer
+                length = size - more
+                fits = (length >= MIN_CHARS) & (1 + sum((length >= x).astype(np.int64) for x in STEPS) == t)
+                use = np.flatnonzero(fits)
+                if not len(use):
+                    continue
+                l, s, at = length[use], size[use], start[use]
+                short, long = l // (t + 1), l % (t + 1)
+                for i in range(t + 1):
+                    p, n = short * i + np.maximum(0, i - (t + 1 - long)), short + (i >= t + 1 - long)
+                    salt = (l * 8 + i).astype(np.uint64) * _MIX[2]
+                    for shift in range(max(-i, more - t + i), min(i, more + t - i) + 1):
+                        ok = np.flatnonzero((p + shift >= 0) & (p + shift + n <= s))
+                        q = at[ok] + p[ok] + shift
+                        h = ((total[q + n[ok]] - total[q]) * self.inverse[q] ^ salt[ok]) * _MIX[0]
+                        h = (h ^ h >> np.uint64(31)) * _MIX[1]
+                        h ^= h >> np.uint64(29)
+                        mine = not more and not shift
+                        (own_key if mine else probe_key).append(h)
+                        (own_line if mine else probe_line).append(use[ok])
+        empty = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        return tuple(np.concatenate(x + y) for x, y in zip((own_key, own_line, probe_key, probe_line), (*empty, *empty), strict=True))
 
 
 def within(a: str, b: str, threshold: int) -> bool:
@@ -137,17 +163,16 @@ def within(a: str, b: str, threshold: int) -> bool:
     return score <= t
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
+def _with_key(docs: DataFrame, k1: str, k2: str) -> DataFrame:
     """Two hashes of (doc_id, text): what repeated rows have in common."""
     d, t = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    return docs.withColumn("_k1", F.xxhash64(d, t)).withColumn("_k2", F.xxhash64(t, d, F.lit("line")))
+    return docs.withColumn(k1, F.xxhash64(d, t)).withColumn(k2, F.xxhash64(t, d, F.lit("line")))
 
 
-def occurrences(docs: DataFrame, threshold: int, least: int) -> DataFrame:
-    """(h1, h2, at, own, probe) of each line that takes part; at says where it stands."""
-    rows = _with_key(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), "_k1", "_k2", F.col("text").cast("string").alias("t"))
-    names = ["h1", "h2", "d", "k1", "k2", "line", "own", "probe"]
-    types = [*[pa.int64()] * 5, pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(h1, h2, at) of each line that takes part; at says where it stands."""
+    rows = _with_key(docs.select("doc_id", "text"), "k1", "k2").select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), "k1", "k2", F.col("text").cast("string").alias("t"))
+    names = ["h1", "h2", "d", "k1", "k2", "line"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,132 +180,272 @@ def occurrences(docs: DataFrame, threshold: int, least: int) -> DataFrame:
             for d, k1, k2, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for i, line in enumerate(t.split("\n") if t else ()):
                     s = normal(line)
-                    if len(s) >= least:
-                        for c, v in zip(cols, (*line_id(s), d, k1, k2, i, *keys(s, threshold, least)), strict=True):
+                    if len(s) >= SHORTEST:
+                        for c, v in zip(cols, (*line_id(s), d, k1, k2, i), strict=True):
                             c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "line" else pa.int64()) for c, n in zip(cols, names, strict=True)], names=names)
+
+    out = rows.mapInArrow(run, "h1 long, h2 long, d long, k1 long, k2 long, line int")
+    return out.select("h1", "h2", F.struct("d", "k1", "k2", "line").alias("at"))
+
+
+def _packed(docs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, own_keys, own_ids, probe_keys, probe_ids): the keys of all lines, packed by bucket; an id is h1 of a line."""
+    names = ["bucket", "own_keys", "own_ids", "probe_keys", "probe_ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, known, held, waiting, chars = Keys(), set(), [], [], 0
+
+        def hashed() -> None:
+            nonlocal waiting, chars
+            if waiting:
+                ids = np.array([i for i, _ in waiting], dtype=np.int64)
+                k, at, pk, pat = keys([s for _, s in waiting])
+                held.append((k, ids[at], pk, ids[pat]))
+            waiting, chars = [], 0
+
+        def flushed() -> pa.RecordBatch:
+            hashed()
+            kind = [np.concatenate([h[j] for h in held]) if held else np.zeros(0, np.int64) for j in range(4)]
+            held.clear()
+            blobs, present = [], []
+            for key, ids in (kind[:2], kind[2:]):
+                key = key.astype(np.uint64)
+                bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                which, first = np.unique(bucket[order], return_index=True)
+                edges = dict(zip(which.tolist(), itertools.pairwise([*first.tolist(), len(order)]), strict=True)) if len(order) else {}
+                raw = np.ascontiguousarray(key[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
+                blobs.append((raw, ids[order].astype("<i8"), edges))
+                present.append(edges)
+            every = sorted(set(present[0]) | set(present[1]))
+            cols = [pa.array(every, pa.int32())]
+            for raw, ids, edges in blobs:
+                span = [edges.get(k, (0, 0)) for k in every]
+                cols += [pa.array([raw[i:j].tobytes() for i, j in span], pa.binary()), pa.array([ids[i:j].tobytes() for i, j in span], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=names)
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                for line in t.split("\n") if t else ():
+                    if len(line) < MIN_CHARS:
+                        continue
+                    s = normal(line)
+                    if len(s) >= MIN_CHARS:
+                        i = line_id(s)[0]
+                        if i in known:
+                            continue
+                        if len(known) > KNOWN:
+                            known.clear()
+                        known.add(i)
+                        waiting.append((i, s))
+                        chars += len(s)
+                        if chars > CHARS:
+                            hashed()
+                            if sum(len(h[2]) for h in held) > KEYS:
+                                yield flushed()
+        yield flushed()
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, own_keys binary, own_ids binary, probe_keys binary, probe_ids binary")
+
+
+def _matched(own: tuple[np.ndarray, np.ndarray], probe: tuple[np.ndarray, np.ndarray], bucket: int, hot: int) -> list[np.ndarray]:
+    """[role, key, a, b] of a bucket: pairs of ids (role 0), and members of hot keys (1 own, 2 probing; b is a)."""
+
+    def sorted_pairs(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((ids, key))
+        key, ids = key[order], ids[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])] if len(key) else np.zeros(0, bool)
+        return key[new], ids[new]
+
+    k, a = sorted_pairs(*own)
+    at = np.searchsorted(k, probe[0]) if len(k) else np.zeros(len(probe[0]), np.int64)
+    hit = k[np.minimum(at, len(k) - 1)] == probe[0] if len(k) else np.zeros(len(probe[0]), bool)
+    pk, pa_ = sorted_pairs(probe[0][hit], probe[1][hit])
+    new = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[new, len(k)])
+    low, high = np.searchsorted(pk, k[new], "left"), np.searchsorted(pk, k[new], "right")
+    live = np.flatnonzero((count > 1) | (high > low))
+    roles, keys, left, right = [], [], [], []
+    for g in live.tolist():
+        mine, other = a[new[g] : new[g] + count[g]], pa_[low[g] : high[g]]
+        name = int(k[new[g]]) | bucket << 40
+        if len(mine) + len(other) <= hot:
+            i, j = np.triu_indices(len(mine), 1)
+            x, y = np.r_[mine[i], np.repeat(mine, len(other))], np.r_[mine[j], np.tile(other, len(mine))]
+            roles.append(np.zeros(len(x), np.int8))
+        else:
+            hub = np.full(len(mine) + len(other), mine[0])
+            x, y = np.r_[hub, mine, other], np.r_[mine, other, mine, other]
+            roles.append(np.r_[np.zeros(len(hub), np.int8), np.ones(len(mine), np.int8), np.full(len(other), 2, np.int8)])
+        keys.append(np.full(len(x), name))
+        left.append(x)
+        right.append(y)
+    out = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((roles, np.int8), (keys, np.int64), (left, np.int64), (right, np.int64))]
+    use = (out[0] > 0) | (out[2] != out[3])
+    return [x[use] for x in out]
+
 
-    out = rows.mapInArrow(run, "h1 long, h2 long, d long, k1 long, k2 long, line int, own array<long>, probe array<long>")
-    return out.select("h1", "h2", F.struct("d", "k1", "k2", "line").alias("at"), "own", "probe")
+def candidates(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
+    """(role, key, a, b) of all buckets, see _matched()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
+            sides = []
+            for k in (0, 2):
+                raw = np.frombuffer(b"".join([r[k] for r in rows]), dtype=np.uint8).reshape(-1, KEY_BYTES)
+                key = np.zeros((len(raw), 8), dtype=np.uint8)
+                key[:, :KEY_BYTES] = raw
+                sides.append((key.view("<i8").ravel(), np.frombuffer(b"".join([r[k + 1] for r in rows]), dtype="<i8")))
+            role, key, a, b = _matched(*sides, bucket, hot)
+            return pa.RecordBatch.from_arrays([pa.array(role, pa.int8()), pa.array(key), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["role", "key", "a", "b"])
+
+        now, rows = None, []
+        for b in batches:
+            for bucket, *blobs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != now and rows:
+                    yield found(now, rows)
+                    rows = []
+                now = bucket
+                rows.append(blobs)
+        if rows:
+            yield found(now, rows)
+
+    return _packed(docs, buckets).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "role byte, key long, a long, b long")
+
+
+def signature(text: str) -> tuple[int, int]:
+    """128 bits: the parity of the character pairs that hash to each. One edit changes four of them at most."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    h = (c[:-1] * _MIX[0] ^ c[1:]) * _MIX[1]
+    bits = np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=128) & 1
+    low, high = np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8").tolist()
+    return low, high
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h1, h2, s): the normal form of the lines that wanted (k1, k2, lines) names."""
+    """(num, h1, s, size, p1, p2): normal form, length and signature of the lines that wanted (k1, k2, lines: line, num) names."""
+    names = ["num", "h1", "s", "size", "p1", "p2"]
+    types = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h1, h2, out = [], [], []
+            rows = []
             for t, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 every = t.split("\n")
-                for i in lines:
-                    s = normal(every[i])
-                    x, y = line_id(s)
-                    h1.append(x)
-                    h2.append(y)
-                    out.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(out, pa.string())], names=["h1", "h2", "s"])
-
-    rows = _with_key(docs.select("doc_id", "text")).select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col("text").cast("string").alias("t"))
+                for x in lines:
+                    s = normal(every[x["line"]])
+                    rows.append((x["num"], line_id(s)[0], s, len(s), *signature(s)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[k]) for k in range(6)], names=names)
+
+    rows = _with_key(docs.select("doc_id", "text"), "k1", "k2").select("k1", "k2", F.col("text").cast("string").alias("t"))
     rows = rows.join(wanted, ["k1", "k2"]).select("t", "lines")
-    return rows.mapInArrow(run, "h1 long, h2 long, s string").dropDuplicates(["h1", "h2"])
+    return rows.mapInArrow(run, "num long, h1 long, s string, size int, p1 long, p2 long").dropDuplicates(["num"])
 
 
-_RANDOM = np.random.default_rng(11).integers(1, 1 << 63, size=2, dtype=np.uint64) | np.uint64(1)
+def _verified(pairs: DataFrame, texts: DataFrame, by: str) -> DataFrame:
+    """(u, v): numbers of the lines that pairs (a, b) names by the column ``by`` and that are near enough."""
 
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = pa.array([within(x, y, allowed(min(len(x), len(y)))) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["u", "v"])
 
-def deletions(text: str) -> np.ndarray:
-    """64-bit hashes of the string without its i-th character, for each i, and of the string itself (last)."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    c = (c + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-    c = (c ^ c >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
-    c ^= c >> np.uint64(32)
-    power = np.cumprod(np.r_[np.uint64(1), np.full(len(c), _RANDOM[0])], dtype=np.uint64)
-    before = np.r_[np.uint64(0), np.cumsum(c * power[:-1], dtype=np.uint64)]
-    after = np.r_[np.uint64(0), np.cumsum(c[1:] * power[: len(c) - 1], dtype=np.uint64)]  # each one place to the left
-    return np.r_[before[:-1] + (after[-1] - after), before[-1:]] if len(c) else before
+    one = texts.select(F.col(by).alias("a"), F.col("num").alias("u"), F.col("s").alias("x"))
+    two = texts.select(F.col(by).alias("b"), F.col("num").alias("v"), F.col("s").alias("y"))
+    both = pairs.join(one, "a").join(two, "b").select("u", "v", "x", "y")
+    return staged(both.mapInArrow(verify, "u long, v long"), "line-links")
 
 
-def _hot_pairs(texts: DataFrame) -> DataFrame:
-    """Star pairs (a1, a2, b1, b2) that connect lines one edit apart, through their deletions."""
+def _rest(members: DataFrame, texts: DataFrame, part: DataFrame, block: int) -> DataFrame:
+    """(a, b): numbers of lines that share a hot key, are not linked yet, and may be near by length and signature."""
+    nodes = texts.join(part.withColumnRenamed("u", "num"), "num", "left").withColumn("part", F.coalesce("component", "num"))
+    rows = members.join(nodes.select(F.col("h1").alias("a"), "num", "part", "size", "p1", "p2"), "a")
+    rows = rows.groupBy("key", "num").agg(F.min("role").alias("role"), *(F.first(c).alias(c) for c in ("part", "size", "p1", "p2")))
+    mixed = rows.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
+    rows = rows.join(mixed, "key")
+    parts = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("num"), parts).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.struct(F.least(own, x).alias("p"), F.greatest(own, x).alias("q")))
+    rows = rows.withColumn("o", own).withColumn("x", F.explode(pair)).select("key", "x.p", "x.q", "o", "num", "part", "role", "size", "p1", "p2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(g: np.ndarray) -> pa.RecordBatch:
+            _, p, q, o, num, part, role, size, p1, p2 = g
+            left, right = [], []
+            for i in range(0, len(num), 256):  # of two blocks only pairs across, of one block all
+                x = slice(i, i + 256)
+                fine = (part[x, None] != part) & (num[x, None] < num) & ((role[x, None] == 1) | (role == 1))
+                fine &= (o[x, None] != o) | (p[x, None] == q)
+                low = np.minimum(size[x, None], size)
+                edits = 1 + sum((low >= s).astype(np.int64) for s in STEPS)
+                fine &= np.abs(size[x, None] - size) <= edits
+                fine &= np.bitwise_count(p1[x, None] ^ p1) + np.bitwise_count(p2[x, None] ^ p2).astype(np.int64) <= 4 * edits
+                a, b = np.nonzero(fine)
+                left.append(num[x][a])
+                right.append(num[b])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+        rest: np.ndarray | None = None
         for b in batches:
-            for x, y, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h = deletions(s)
-                n = len(h) - 1
-                place = (h[:-1] ^ np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * _RANDOM[1]
-                kind = np.r_[np.zeros(n, np.int8), np.ones(n, np.int8), np.full(1, 2, np.int8)]
-                key = np.r_[place, h].view(np.int64)
-                cols = [pa.array(key), pa.array(kind), pa.array(np.full(len(key), x)), pa.array(np.full(len(key), y))]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "kind", "h1", "h2"])
-
-    rows = texts.mapInArrow(run, "key long, kind byte, h1 long, h2 long").distinct()
-    # Substitutions: all of a group are one apart. Insertions: all are one apart from the whole string, if it is there.
-    group = (F.when(F.col("kind") == 0, "s").otherwise("i")).alias("g")
-    rows = rows.select(group, "key", "kind", F.struct("h1", "h2").alias("id"))
-    centre = rows.groupBy("g", "key").agg(F.min(F.expr("if(kind <> 1, id, null)")).alias("c"), F.count("*").alias("n")).where("c is not null and n > 1")
-    pairs = rows.join(centre, ["g", "key"]).where("id <> c and kind <> 2")
-    return pairs.select(F.col("id.h1").alias("a1"), F.col("id.h2").alias("a2"), F.col("c.h1").alias("b1"), F.col("c.h2").alias("b2")).distinct()
-
-
-def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
+            g = np.array([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
+            g = g if rest is None else np.concatenate([rest, g], axis=1)
+            if not g.shape[1]:
+                continue
+            same = (g[:3] == g[:3, -1:]).all(axis=0)
+            cut = int(np.flatnonzero(same)[0])  # the last group may go on in the next batch
+            rest, done = g[:, cut:], g[:, :cut]
+            if cut:
+                edge = np.flatnonzero(np.r_[True, (done[:3, 1:] != done[:3, :-1]).any(axis=0)])
+                for i, j in zip(edge, [*edge[1:], cut], strict=True):
+                    yield found(done[:, i:j])
+        if rest is not None and rest.shape[1]:
+            yield found(rest)
+
+    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long").distinct()
+
+
+def dropped_lines(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """(k1, k2, drop): for each document that loses lines, the numbers of these lines."""
-    seen = staged(occurrences(docs, threshold, least), "lines")
-    kinds = seen.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.first("own").alias("own"), F.first("probe").alias("probe"))
-    kinds = staged(kinds, "line-kinds")
-    index = kinds.select(F.explode("own").alias("key"), "h1", "h2")
-    probe = kinds.select(F.explode("probe").alias("key"), F.col("h1").alias("p1"), F.col("h2").alias("p2")).distinct()
-    many = index.groupBy("key").count().where(F.col("count") > (hot if threshold == 1 else 1 << 62)).select("key")
-    many = staged(many, "line-hot")
-    pairs = index.join(many, "key", "left_anti").join(probe, "key").where("h1 <> p1 or h2 <> p2")
-    one, two = F.struct("h1", "h2"), F.struct(F.col("p1").alias("h1"), F.col("p2").alias("h2"))
-    pairs = pairs.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
-    pairs = staged(pairs.select(F.col("a.h1").alias("a1"), F.col("a.h2").alias("a2"), F.col("b.h1").alias("b1"), F.col("b.h2").alias("b2")), "line-pairs")
-    hot_ids = index.unionByName(probe.select("key", F.col("p1").alias("h1"), F.col("p2").alias("h2"))).join(many, "key", "left_semi").select("h1", "h2").distinct()
-    hot_ids = staged(hot_ids, "line-hot-ids")
-    ids = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).union(hot_ids).distinct()
-    places = kinds.select("h1", "h2", "first").join(ids, ["h1", "h2"])
-    wanted = places.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_list("first.line").alias("lines"))
+    seen = staged(occurrences(docs), "lines")
+    kinds = seen.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    kinds = staged(kinds.withColumn("num", F.monotonically_increasing_id()), "line-kinds")  # fixed once written
+    buckets = min(max(64, kinds.count() * 24 // BUCKET), 1 << 22)
+    found = staged(candidates(docs, buckets, hot), "line-candidates")
+    pairs = found.where("role = 0").select("a", "b").distinct()
+    members = found.where("role > 0").select("key", "a", "role")
+    ids = found.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+    places = kinds.select("h1", "num", "first").join(ids, "h1")
+    wanted = places.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_list(F.struct("first.line", "num")).alias("lines"))
     texts = staged(_texts(docs, wanted), "line-texts")
-    if not hot_ids.isEmpty():
-        pairs = pairs.unionByName(_hot_pairs(texts.join(hot_ids, ["h1", "h2"], "left_semi"))).distinct()
-    both = pairs.join(texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("s").alias("s")), ["a1", "a2"])
-    both = both.join(texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("s").alias("r")), ["b1", "b2"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = pa.array([within(x, y, threshold) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["u", "v"])
-
-    links = both.select("a1", "b1", "s", "r").mapInArrow(verify, "u long, v long")
-    part = components(links, "line-cc").withColumnRenamed("u", "h1")
-    linked = kinds.select("h1", "h2", "first", "n").join(part, "h1", "left").withColumn("component", F.coalesce("component", "h1"))
+    links = _verified(pairs, texts, "h1")
+    part = components(links, "line-cc")
+    if not members.isEmpty():
+        rest = _rest(members, texts, part, block)
+        links = links.unionByName(_verified(rest, texts, "num"))
+        part = components(links, "line-cc")
+    linked = kinds.join(part.withColumnRenamed("u", "num"), "num", "left").withColumn("component", F.coalesce("component", "num"))
     first = linked.groupBy("component").agg(F.min("first").alias("stays"))
     again = linked.join(first, "component").where("n > 1 or first <> stays").select("h1", "h2", "stays")
     gone = seen.select("h1", "h2", "at").join(again, ["h1", "h2"]).where("at <> stays")
     return gone.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(F.collect_set("at.line").alias("drop"))
 
 
-def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
-    """The rows of docs without their dropped lines, with n_lines, n_dropped and n_long_kept."""
-    gone = dropped_lines(docs, threshold, least, hot)
-    rows = _with_key(docs).join(gone.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("drop").alias("_drop")), ["_k1", "_k2"], "left")
-    rows = rows.withColumn("_lines", F.split(F.col("text").cast("string"), "\n", -1))
-    rows = rows.withColumn("_keep", F.expr("if(_drop is null, _lines, transform(array_except(sequence(0, size(_lines) - 1), _drop), i -> _lines[i]))"))
-    long = F.expr(f"size(filter(_keep, x -> length(trim(regexp_replace(x, '\\\\s+', ' '))) >= {least}))")
+def deduplicated(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """The rows of docs without their dropped lines, with two more columns, last: n_lines and n_dropped."""
+    k1, k2, drop, lines, total, less = unused(docs, "k1", "k2", "drop", "lines", "n_lines", "n_dropped")
+    gone = dropped_lines(docs, hot, block).toDF(k1, k2, drop)
+    rows = _with_key(docs, k1, k2).join(gone, [k1, k2], "left")
+    rows = rows.withColumn(lines, F.split(F.col("text").cast("string"), "\n", -1))
+    kept = f"array_join(transform(array_except(sequence(0, size({lines}) - 1), {drop}), i -> {lines}[i]), '\n')"
     return rows.select(
-        *[F.expr("if(_drop is null, text, array_join(_keep, '\n'))").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.expr("coalesce(size(_lines), 0)").alias("n_lines"),
-        F.expr("coalesce(size(_drop), 0)").alias("n_dropped"),
-        F.when(F.col("_drop").isNull(), F.lit(None).cast("int")).otherwise(long).alias("n_long_kept"),
+        *[F.expr(f"if({drop} is null, {quoted(c)}, {kept})").alias(c) if c.lower() == "text" else F.col(quoted(c)) for c in docs.columns],
+        F.expr(f"if({lines} is null, 0, size({lines}))").alias(total),
+        F.expr(f"if({drop} is null, 0, size({drop}))").alias(less),
     )
 
 
-def without_copies(docs: DataFrame, left: int = MIN_CHARS, **how: int) -> DataFrame:
-    """The documents with their columns and without their dropped lines.
-
-    Of those that lost lines, the ones that keep no line of MIN_CHARS or more go; with left=1, only those
-    that keep nothing but blank lines.
-    """
-    stays = F.col("text").rlike(r"(?U)\S") if left == 1 else F.col("n_long_kept") > 0
-    return deduplicated(docs, **how).where((F.col("n_dropped") == 0) | stays).select(*docs.columns)
+def without_copies(docs: DataFrame, **how: int) -> DataFrame:
+    """The documents with their columns and without their dropped lines; those that lost lines and keep nothing but blank ones go."""
+    rows = deduplicated(docs, **how)
+    return rows.where((F.col(rows.columns[-1]) == 0) | F.col("text").rlike(r"(?U)\S")).select(*columns(docs))

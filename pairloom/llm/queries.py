@@ -32,7 +32,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines.deduplicated(table(spark, sf_dir, "documents"))
+    rows = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", "text")
 
 
