@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship
@@ -70,6 +71,32 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+
+
+class WordHashes:
+    """64-bit hashes of the words of UTF-8 texts: differences of prefix sums of a polynomial, moved to the front and mixed.
+
+    Words are runs of bytes without space and the five controls from tab on. Powers are kept for the longest text so far.
+    """
+
+    def __init__(self) -> None:
+        self.power = self.inverse = np.zeros(0, dtype=np.uint64)
+
+    def __call__(self, a: np.ndarray) -> np.ndarray:
+        if len(self.power) <= len(a):
+            n = len(a) + len(a) // 4 + 64
+            self.power = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE, np.uint64)], dtype=np.uint64)
+            self.inverse = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)], dtype=np.uint64)
+        edge = np.flatnonzero(np.diff(np.r_[True, _SPACE[a], True]))
+        start, end = edge[::2], edge[1::2]
+        total = np.r_[np.uint64(0), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * self.power[: len(a)], dtype=np.uint64)]
+        h = ((total[end] - total[start]) * self.inverse[start] ^ (end - start).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ h >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of edges (u long, v long) by alternating large-star and small-star.
 

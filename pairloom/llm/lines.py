@@ -24,21 +24,20 @@ worked on whole. An empty table stays empty.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import postings
 from .common import columns, components, quoted, staged, unused
 
 SHORTEST, MIN_CHARS, STEPS = 8, 24, (64, 128)
 HOT, BLOCK = 32, 1024
-#: Characters and keys that a task holds at a time, lines that it remembers, keys of a bucket.
-CHARS, KEYS, KNOWN, BUCKET = 1 << 20, 1 << 21, 1 << 20, 1 << 19
+#: Characters that a task hashes at a time, lines that it remembers.
+CHARS, KNOWN = 1 << 20, 1 << 20
 MOST = 1 + len(STEPS)
-KEY_BYTES = 5
 _M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -189,129 +188,29 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return out.select("h1", "h2", F.struct("d", "k1", "k2", "line").alias("at"))
 
 
-def _packed(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, own_keys, own_ids, probe_keys, probe_ids): the keys of all lines, packed by bucket; an id is h1 of a line."""
-    names = ["bucket", "own_keys", "own_ids", "probe_keys", "probe_ids"]
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[postings.Entries, postings.Entries]]:
+    """Own and probing keys of all lines; an id is h1 of a line. A task sends a line once while it remembers it."""
+    keys, known, waiting, chars = Keys(), set(), [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, known, held, waiting, chars = Keys(), set(), [], [], 0
-
-        def hashed() -> None:
-            nonlocal waiting, chars
-            if waiting:
-                ids = np.array([i for i, _ in waiting], dtype=np.int64)
-                k, at, pk, pat = keys([s for _, s in waiting])
-                held.append((k, ids[at], pk, ids[pat]))
-            waiting, chars = [], 0
-
-        def flushed() -> pa.RecordBatch:
-            hashed()
-            kind = [np.concatenate([h[j] for h in held]) if held else np.zeros(0, np.int64) for j in range(4)]
-            held.clear()
-            blobs, present = [], []
-            for key, ids in (kind[:2], kind[2:]):
-                key = key.astype(np.uint64)
-                bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                which, first = np.unique(bucket[order], return_index=True)
-                edges = dict(zip(which.tolist(), itertools.pairwise([*first.tolist(), len(order)]), strict=True)) if len(order) else {}
-                raw = np.ascontiguousarray(key[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
-                blobs.append((raw, ids[order].astype("<i8"), edges))
-                present.append(edges)
-            every = sorted(set(present[0]) | set(present[1]))
-            cols = [pa.array(every, pa.int32())]
-            for raw, ids, edges in blobs:
-                span = [edges.get(k, (0, 0)) for k in every]
-                cols += [pa.array([raw[i:j].tobytes() for i, j in span], pa.binary()), pa.array([ids[i:j].tobytes() for i, j in span], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, names=names)
+    def hashed() -> tuple[postings.Entries, postings.Entries]:
+        ids = np.array([i for i, _ in waiting], dtype=np.int64)
+        k, at, pk, pat = keys([s for _, s in waiting])
+        return (k, ids[at]), (pk, ids[pat])
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                for line in t.split("\n") if t else ():
-                    if len(line) < MIN_CHARS:
-                        continue
-                    s = normal(line)
-                    if len(s) >= MIN_CHARS:
-                        i = line_id(s)[0]
-                        if i in known:
-                            continue
-                        if len(known) > KNOWN:
-                            known.clear()
-                        known.add(i)
-                        waiting.append((i, s))
-                        chars += len(s)
-                        if chars > CHARS:
-                            hashed()
-                            if sum(len(h[2]) for h in held) > KEYS:
-                                yield flushed()
-        yield flushed()
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, own_keys binary, own_ids binary, probe_keys binary, probe_ids binary")
-
-
-def _matched(own: tuple[np.ndarray, np.ndarray], probe: tuple[np.ndarray, np.ndarray], bucket: int, hot: int) -> list[np.ndarray]:
-    """[role, key, a, b] of a bucket: pairs of ids (role 0), and members of hot keys (1 own, 2 probing; b is a)."""
-
-    def sorted_pairs(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((ids, key))
-        key, ids = key[order], ids[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])] if len(key) else np.zeros(0, bool)
-        return key[new], ids[new]
-
-    k, a = sorted_pairs(*own)
-    at = np.searchsorted(k, probe[0]) if len(k) else np.zeros(len(probe[0]), np.int64)
-    hit = k[np.minimum(at, len(k) - 1)] == probe[0] if len(k) else np.zeros(len(probe[0]), bool)
-    pk, pa_ = sorted_pairs(probe[0][hit], probe[1][hit])
-    new = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-    count = np.diff(np.r_[new, len(k)])
-    low, high = np.searchsorted(pk, k[new], "left"), np.searchsorted(pk, k[new], "right")
-    live = np.flatnonzero((count > 1) | (high > low))
-    roles, keys, left, right = [], [], [], []
-    for g in live.tolist():
-        mine, other = a[new[g] : new[g] + count[g]], pa_[low[g] : high[g]]
-        name = int(k[new[g]]) | bucket << 40
-        if len(mine) + len(other) <= hot:
-            i, j = np.triu_indices(len(mine), 1)
-            x, y = np.r_[mine[i], np.repeat(mine, len(other))], np.r_[mine[j], np.tile(other, len(mine))]
-            roles.append(np.zeros(len(x), np.int8))
-        else:
-            hub = np.full(len(mine) + len(other), mine[0])
-            x, y = np.r_[hub, mine, other], np.r_[mine, other, mine, other]
-            roles.append(np.r_[np.zeros(len(hub), np.int8), np.ones(len(mine), np.int8), np.full(len(other), 2, np.int8)])
-        keys.append(np.full(len(x), name))
-        left.append(x)
-        right.append(y)
-    out = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((roles, np.int8), (keys, np.int64), (left, np.int64), (right, np.int64))]
-    use = (out[0] > 0) | (out[2] != out[3])
-    return [x[use] for x in out]
-
-
-def candidates(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
-    """(role, key, a, b) of all buckets, see _matched()."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
-            sides = []
-            for k in (0, 2):
-                raw = np.frombuffer(b"".join([r[k] for r in rows]), dtype=np.uint8).reshape(-1, KEY_BYTES)
-                key = np.zeros((len(raw), 8), dtype=np.uint8)
-                key[:, :KEY_BYTES] = raw
-                sides.append((key.view("<i8").ravel(), np.frombuffer(b"".join([r[k + 1] for r in rows]), dtype="<i8")))
-            role, key, a, b = _matched(*sides, bucket, hot)
-            return pa.RecordBatch.from_arrays([pa.array(role, pa.int8()), pa.array(key), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["role", "key", "a", "b"])
-
-        now, rows = None, []
-        for b in batches:
-            for bucket, *blobs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if bucket != now and rows:
-                    yield found(now, rows)
-                    rows = []
-                now = bucket
-                rows.append(blobs)
-        if rows:
-            yield found(now, rows)
-
-    return _packed(docs, buckets).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "role byte, key long, a long, b long")
+    for b in batches:
+        for t in b.column(0).to_pylist():
+            for line in t.split("\n") if t else ():
+                if len(line) >= MIN_CHARS and len(s := normal(line)) >= MIN_CHARS and (i := line_id(s)[0]) not in known:
+                    if len(known) > KNOWN:
+                        known.clear()
+                    known.add(i)
+                    waiting.append((i, s))
+                    chars += len(s)
+                    if chars > CHARS:
+                        yield hashed()
+                        waiting, chars = [], 0
+    if waiting:
+        yield hashed()
 
 
 def signature(text: str) -> tuple[int, int]:
@@ -357,52 +256,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, by: str) -> DataFrame:
     return staged(both.mapInArrow(verify, "u long, v long"), "line-links")
 
 
-def _rest(members: DataFrame, texts: DataFrame, part: DataFrame, block: int) -> DataFrame:
-    """(a, b): numbers of lines that share a hot key, are not linked yet, and may be near by length and signature."""
-    nodes = texts.join(part.withColumnRenamed("u", "num"), "num", "left").withColumn("part", F.coalesce("component", "num"))
-    rows = members.join(nodes.select(F.col("h1").alias("a"), "num", "part", "size", "p1", "p2"), "a")
-    rows = rows.groupBy("key", "num").agg(F.min("role").alias("role"), *(F.first(c).alias(c) for c in ("part", "size", "p1", "p2")))
-    mixed = rows.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
-    rows = rows.join(mixed, "key")
-    parts = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("num"), parts).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.struct(F.least(own, x).alias("p"), F.greatest(own, x).alias("q")))
-    rows = rows.withColumn("o", own).withColumn("x", F.explode(pair)).select("key", "x.p", "x.q", "o", "num", "part", "role", "size", "p1", "p2")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(g: np.ndarray) -> pa.RecordBatch:
-            _, p, q, o, num, part, role, size, p1, p2 = g
-            left, right = [], []
-            for i in range(0, len(num), 256):  # of two blocks only pairs across, of one block all
-                x = slice(i, i + 256)
-                fine = (part[x, None] != part) & (num[x, None] < num) & ((role[x, None] == 1) | (role == 1))
-                fine &= (o[x, None] != o) | (p[x, None] == q)
-                low = np.minimum(size[x, None], size)
-                edits = 1 + sum((low >= s).astype(np.int64) for s in STEPS)
-                fine &= np.abs(size[x, None] - size) <= edits
-                fine &= np.bitwise_count(p1[x, None] ^ p1) + np.bitwise_count(p2[x, None] ^ p2).astype(np.int64) <= 4 * edits
-                a, b = np.nonzero(fine)
-                left.append(num[x][a])
-                right.append(num[b])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
-
-        rest: np.ndarray | None = None
-        for b in batches:
-            g = np.array([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
-            g = g if rest is None else np.concatenate([rest, g], axis=1)
-            if not g.shape[1]:
-                continue
-            same = (g[:3] == g[:3, -1:]).all(axis=0)
-            cut = int(np.flatnonzero(same)[0])  # the last group may go on in the next batch
-            rest, done = g[:, cut:], g[:, :cut]
-            if cut:
-                edge = np.flatnonzero(np.r_[True, (done[:3, 1:] != done[:3, :-1]).any(axis=0)])
-                for i, j in zip(edge, [*edge[1:], cut], strict=True):
-                    yield found(done[:, i:j])
-        if rest is not None and rest.shape[1]:
-            yield found(rest)
-
-    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long").distinct()
+def _near(c: dict[str, np.ndarray], x: slice) -> np.ndarray:
+    """Which lines may be near by length and signature."""
+    size = c["size"]
+    low = np.minimum(size[x, None], size)
+    edits = 1 + sum((low >= s).astype(np.int64) for s in STEPS)
+    bits = np.bitwise_count(c["p1"][x, None] ^ c["p1"]).astype(np.int64) + np.bitwise_count(c["p2"][x, None] ^ c["p2"])
+    return (np.abs(size[x, None] - size) <= edits) & (bits <= 4 * edits)
 
 
 def dropped_lines(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:
@@ -410,8 +270,8 @@ def dropped_lines(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFr
     seen = staged(occurrences(docs), "lines")
     kinds = seen.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     kinds = staged(kinds.withColumn("num", F.monotonically_increasing_id()), "line-kinds")  # fixed once written
-    buckets = min(max(64, kinds.count() * 24 // BUCKET), 1 << 22)
-    found = staged(candidates(docs, buckets, hot), "line-candidates")
+    entries = postings.packed(docs.select(F.col("text").cast("string")), _entries, postings.buckets_for(kinds.count() * 24))
+    found = staged(postings.candidates(entries, hot), "line-candidates")
     pairs = found.where("role = 0").select("a", "b").distinct()
     members = found.where("role > 0").select("key", "a", "role")
     ids = found.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
@@ -421,7 +281,10 @@ def dropped_lines(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFr
     links = _verified(pairs, texts, "h1")
     part = components(links, "line-cc")
     if not members.isEmpty():
-        rest = _rest(members, texts, part, block)
+        nodes = texts.join(part.withColumnRenamed("u", "num"), "num", "left").withColumn("part", F.coalesce("component", "num"))
+        rows = members.join(nodes.select(F.col("h1").alias("a"), "num", "part", "size", "p1", "p2"), "a")
+        rows = rows.groupBy("key", "num").agg(F.min("role").alias("role"), *(F.first(c).alias(c) for c in ("part", "size", "p1", "p2")))
+        rest = postings.apart(rows, _near, block)
         links = links.unionByName(_verified(rest, texts, "num"))
         part = components(links, "line-cc")
     linked = kinds.join(part.withColumnRenamed("u", "num"), "num", "left").withColumn("component", F.coalesce("component", "num"))

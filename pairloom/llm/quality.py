@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .common import columns, staged, unused
+from .common import WordHashes, columns, staged, unused
 
 SAMPLE = 4000
 BITS = 20
@@ -40,18 +40,13 @@ _KIND = np.arange(256, dtype=np.uint8)
 _KIND[97:123], _KIND[65:91], _KIND[128:], _KIND[48:58] = 97, 65, 97, 48
 
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15
-
-
 class Indicators:
     """The distinct hashed n-grams of a text, found without sorting them."""
 
     def __init__(self, bits: int = BITS):
         self.bits = bits
         self.stamp = np.zeros(1 << bits, dtype=np.int32)
-        self.power = self.inverse = np.zeros(0, dtype=np.uint64)
+        self.words = WordHashes()
 
     def _grams(self, a: np.ndarray, orders: tuple[int, ...], salt: int) -> Iterator[np.ndarray]:
         a = a.astype(np.uint32)
@@ -64,26 +59,12 @@ class Indicators:
                     h ^= h >> np.uint32(15)
                 yield (h * _MULTIPLIERS[-1]) >> np.uint32(32 - self.bits)
 
-    def _words(self, a: np.ndarray) -> np.ndarray:
-        """A 32-bit hash of each word: differences of prefix sums of a polynomial, moved to the front."""
-        if len(self.power) <= len(a):
-            n = 2 * len(a) + 64
-            self.power = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE, np.uint64)], dtype=np.uint64)
-            self.inverse = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)], dtype=np.uint64)
-        space = _SPACE[a]
-        edge = np.flatnonzero(np.diff(np.r_[True, space, True]))
-        start, end = edge[::2], edge[1::2]
-        total = np.r_[np.uint64(0), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * self.power[: len(a)], dtype=np.uint64)]
-        h = (total[end] - total[start]) * self.inverse[start]
-        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        return (h >> np.uint64(32)).astype(np.uint32)
-
     def __call__(self, raw: bytes) -> np.ndarray:
         a = np.frombuffer(raw, dtype=np.uint8)
         kind = _KIND[a]
         if len(kind):
             kind = kind[np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] != 97)]]
-        own = self._words(a)
+        own = (self.words(a) >> np.uint64(32)).astype(np.uint32)
         parts = [*self._grams(own, WORDS, 200), *self._grams(own[1:] == own[:-1], REPEATS, 300), *self._grams(a, BYTES, 0), *self._grams(kind, SHAPES, 100)]
         if not parts:
             return np.zeros(0, dtype=np.uint32)

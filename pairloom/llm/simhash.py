@@ -20,9 +20,10 @@ differ in some ten bits, and no root of the index is both selective and safe at
 link there as above or if their sets of five-word shingles have a similarity of at least 0.8, by an exact
 set join: of a set of n shingle hashes the first n - ceil(0.8 n) + 1 are its keys, and two similar sets
 share one, whatever the order, if it is the same for all. Shingles that are common in a sample come last in
-it; the sample sets the work and not the result. Equal sets are one node. First all sets of a key meet its smallest one; then those that share a
-key, have sizes and ranks that allow the similarity and are not connected yet meet each other. All of
-them are verified on the whole sets.
+it; the sample sets the work and not the result. Equal sets are one node. Sets that share a key are candidates, at hot
+keys first with the key's smallest set alone; those that are left apart meet in blocks (postings.py). Sizes, and
+the parity of 1024 bits to which shingles hash (two sets differ in no fewer shingles than their parities in bits), leave
+almost only true pairs, which are verified on the whole sets.
 
 Nulls: a null text is an empty one, with fingerprint zero, which links like any other. A row with a null
 doc_id gets its fingerprint and its component's smallest known doc_id (null if there is none). Repeated
@@ -31,18 +32,21 @@ rows come back repeated. An empty table gives an empty result. Other columns are
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, staged
+from . import postings
+from .common import WordHashes, columns, components, staged, unused
 
 WORDS, SEED, DISTANCE, GROUP = 3, 42, 2, 1024
 CHUNK = 1 << 15
 #: Of near_copies: words of a shingle, and the least Jaccard similarity as a fraction.
 SHINGLE, SIMILAR = 5, (4, 5)
+#: Sets of a key that make all pairs, members of a block, longs of the parity.
+SHARED, BLOCK, PARITY = 16, 512, 16
 #: The order of its shingles: documents that are counted, how many of them make a shingle common, most shingles that are put last.
 COUNTED, COMMON, LAST = 20_000, 3, 200_000
 PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
@@ -79,12 +83,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def shingle_set(raw: bytes, words: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+_words = WordHashes()
+
+
+def shingle_set(raw: bytes, words: int = SHINGLE) -> np.ndarray:
     """The hashes of the shingles of a UTF-8 text, sorted, each once."""
-    from xxhash import xxh64_intdigest
+    w = _words(np.frombuffer(raw.lower(), dtype=np.uint8))
+    n = min(words, len(w))
+    if not n:
+        return w
+    h = np.full(len(w) - n + 1, n, dtype=np.uint64)
+    for k in range(n):
+        h = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - n + 1 + k]
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique((h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB))
 
-    w = raw.lower().split()
-    return np.unique(np.array([xxh64_intdigest(s, seed) for s in set(_shingles(w, words))] if w else [], dtype=np.uint64))
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """64 * PARITY bits: whether an odd number of the set's hashes falls on each."""
+    bits = np.bincount((s >> np.uint64(8) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def set_id(s: np.ndarray) -> int:
@@ -201,7 +219,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> Dat
 
 
 def _common(docs: DataFrame) -> np.ndarray:
-    """Shingles that stand in several of at most about COUNTED documents, sorted."""
+    """Shingles that stand in several of at most about COUNTED documents, sorted; at most LAST."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,39 +227,79 @@ def _common(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t).view(np.int64))], names=["key"])
 
     every = max(1, docs.count() // COUNTED)
-    rows = docs.where("length(text) > 0").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select(F.col("text").cast("string").cast("binary"))
-    top = rows.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(LAST)
-    return np.sort(np.array([x.key for x in top.select("key").collect()], dtype=np.int64).view(np.uint64))
+    rows = docs.where("length(text) > 0").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select(F.col("text").cast("string").alias("t")).distinct()
+    keys = rows.select(F.col("t").cast("binary")).mapInArrow(run, "key long").groupBy("key").count()
+    top = keys.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(LAST)
+    return np.sort(top.select("key").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """(d, k1, k2, text): a null doc_id comes last; two hashes of doc_id and text tell documents apart."""
+    d, t = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(F.coalesce(d, F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(d, t).alias("k1"), F.xxhash64(t, d, F.lit("copy")).alias("k2"), t.cast("binary").alias("t"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, fp, id, n, keys): the fingerprint, and of the set of shingles its id, size and keys."""
+    """(d, k1, k2, fp, id, n, keys, parity): the fingerprint, and of the set of shingles its id, size, keys and parity."""
     num, den = SIMILAR
-    common = _common(docs)
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs))  # LAST numbers at most
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary(), pa.binary()]
+    names = ["d", "k1", "k2", "fp", "id", "n", "keys", "parity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = common.value
         for b in batches:
-            fp, ids, sizes, keys = [], [], [], []
-            for t in b.column(2).to_pylist():
+            cols: list[list] = [[] for _ in range(5)]
+            for t in b.column(3).to_pylist():
                 s = shingle_set(t or b"")
-                n = len(s)
-                fp.append(fingerprint(t) if t else 0)
-                ids.append(set_id(s))
-                sizes.append(n)
-                late = np.isin(s, common)
-                keys.append(np.r_[s[~late], s[late]][: n + num * n // -den + 1 if n else 0].view(np.int64))
-            cols = [b.column(0), b.column(1), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "at", "fp", "id", "n", "keys"])
+                n, fp = len(s), fingerprint(t) if t else 0
+                late = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s if len(known) else np.zeros(n, bool)
+                first = np.r_[s[~late], s[late]][: n + num * n // -den + 1 if n else 0]
+                for c, v in zip(cols, (fp - (1 << 64) if fp >> 63 else fp, set_id(s), n, first.tobytes(), parity(s).tobytes()), strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, k) for c, k in zip(cols, kinds[3:], strict=True))], names=names)
+
+    return _placed(docs).mapInArrow(run, "d long, k1 long, k2 long, fp long, id long, n int, keys binary, parity binary")
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[postings.Entries, postings.Entries]]:
+    for b in batches:
+        keys = [np.frombuffer(k, dtype=np.uint64) for k in b.column(1).to_pylist()]
+        ids = np.repeat(b.column(0).to_numpy(), [len(k) for k in keys])
+        yield (np.concatenate([*keys, np.zeros(0, np.uint64)]), ids), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _may(n: np.ndarray, m: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles whose parities differ in so many bits may be similar."""
+    num, den = SIMILAR
+    return (den * np.minimum(n, m) >= num * np.maximum(n, m)) & ((den + num) * bits <= (den - num) * (n + m))
 
-    rows = docs.select(F.col("doc_id").cast("long"), _place(), F.col("text").cast("string").cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, at long, fp long, id long, n int, keys array<long>")
 
+def _near(c: dict[str, np.ndarray], x: slice) -> np.ndarray:
+    bits = sum(np.bitwise_count(c[f"p{k}"][x, None] ^ c[f"p{k}"]).astype(np.int64) for k in range(PARITY))
+    return _may(c["n"][x, None], c["n"], bits)
 
-def _verified(docs: DataFrame, seen: DataFrame, pairs: DataFrame) -> DataFrame:
+
+def _likely(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of set ids whose sizes and parities allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint64).reshape(-1, PARITY) for k in (4, 5))
+            n, m = (b.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+            ok = pa.array(_may(n, m, np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["u", "v"])
+
+    one, two = (kinds.select(F.col("id").alias(c), F.col("n").alias("n" + c), F.col("parity").alias("p" + c)) for c in "ab")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "pa", "pb")
+    return staged(both.mapInArrow(run, "u long, v long"), "simhash-likely")
+
+
+def _verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) of set ids whose sets are similar."""
     num, den = SIMILAR
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    wanted = seen.groupBy("id").agg(F.min("at").alias("at")).join(ids, "id").select("at")
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    wanted = kinds.join(ids, "id").select("at.k1", "at.k2")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -253,51 +311,42 @@ def _verified(docs: DataFrame, seen: DataFrame, pairs: DataFrame) -> DataFrame:
             ok = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 a, c = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(a) + len(c) - len(np.unique(np.concatenate([a, c])))
+                both = np.sort(np.concatenate([a, c]), kind="stable")
+                both = int((both[1:] == both[:-1]).sum())
                 ok.append(den * both >= num * (len(a) + len(c) - both))
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["u", "v"])
 
-    rows = docs.select(_place(), F.col("text").cast("string").cast("binary").alias("t")).join(wanted, "at").select("t")
+    rows = _placed(docs).join(wanted, ["k1", "k2"]).select("t")
     of = staged(rows.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]), "simhash-sets")
     both = pairs.join(of.select(F.col("id").alias("u"), "s"), "u").join(of.select(F.col("id").alias("v"), F.col("s").alias("r")), "v")
     return staged(both.select("u", "v", "s", "r").mapInArrow(similar, "u long, v long"), "simhash-similar")
 
 
-def _place() -> Column:
-    """What tells texts apart: a hash of doc_id and text."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("at")
-
-
-def similar_sets(docs: DataFrame, seen: DataFrame) -> DataFrame:
+def similar_sets(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     """Links (u, v) of set ids that connect exactly what similar sets connect."""
-    num, den = SIMILAR
-    kinds = seen.groupBy("id").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    rows = kinds.select("id", "n", F.posexplode("keys").alias("rank", "key"))
-    least = rows.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("count")).where("count > 1").select("key", "low")
-    rows = staged(rows.join(least, "key"), "simhash-keys")  # most keys belong to one set and go here
-    stars = staged(rows.where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct(), "simhash-stars")
-    found = _verified(docs, seen, stars)
-    part = components(found, "simhash-near").withColumnRenamed("u", "id")
-    rows = rows.join(part, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component", "low")
-    mixed = rows.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key")
-    rows = staged(rows.join(mixed, "key"), "simhash-mixed")
-    other = rows.select("key", F.col("id").alias("v"), F.col("n").alias("m"), F.col("rank").alias("place"), F.col("part").alias("other"))
-    pairs = rows.join(other, "key").where("id < v and part <> other")
-    # The first key that two sets share leaves at most the rest of each to share.
-    pairs = pairs.where(f"{num + den} * least(n - rank, m - place) >= {num} * (n + m)").select(F.col("id").alias("u"), "v").distinct()
-    return found.unionByName(_verified(docs, seen, staged(pairs, "simhash-rest")))
+    entries = (kinds.agg(F.sum("n")).first()[0] or 0) // SIMILAR[1]
+    found = staged(postings.candidates(postings.packed(kinds.select("id", "keys"), _entries, postings.buckets_for(entries)), SHARED), "simhash-candidates")
+    links = _verified(docs, kinds, _likely(found.where("role = 0").select("a", "b").distinct(), kinds))
+    members = found.where("role > 0").select("key", F.col("a").alias("id"), "role")
+    if members.isEmpty():
+        return links
+    part = components(links, "simhash-near").withColumnRenamed("u", "id")
+    bits = [F.conv(F.hex(F.reverse(F.substring("parity", 8 * k + 1, 8))), 16, -10).cast("long").alias(f"p{k}") for k in range(PARITY)]
+    nodes = kinds.join(part, "id", "left").select("id", F.col("id").alias("num"), F.coalesce("component", "id").alias("part"), "n", *bits)
+    rest = postings.apart(members.join(nodes, "id").drop("id"), _near, BLOCK).toDF("u", "v")
+    return links.unionByName(_verified(docs, kinds, staged(rest, "simhash-rest")))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of each document, of links by fingerprints and by similar sets."""
+    """(d, k1, k2, component) of each document, of links by fingerprints and by similar sets."""
     seen = staged(_keyed(docs), "simhash-seen")
     nodes = seen.select("fp").distinct()
-    edges = links(nodes).unionByName(similar_sets(docs, seen)).unionByName(seen.select(F.col("fp").alias("u"), F.col("id").alias("v")))
+    kinds = seen.groupBy("id").agg(F.min("n").alias("n"), F.min(F.struct("k1", "k2")).alias("at"), F.first("keys").alias("keys"), F.first("parity").alias("parity"))
+    kinds = staged(kinds, "simhash-kinds")
+    edges = links(nodes).unionByName(similar_sets(docs, kinds)).unionByName(seen.select(F.col("fp").alias("u"), F.col("id").alias("v")))
     part = components(edges, "simhash-cc").withColumnRenamed("u", "fp")
-    out = seen.select("doc_id", "fp").join(part, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = out.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return out.join(least, "component").select("doc_id", "component_id")
+    return seen.select("d", "k1", "k2", "fp").join(part, "fp", "left").select("d", "k1", "k2", F.coalesce("component", "fp").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
@@ -312,13 +361,17 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, group: int = GROU
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, near: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """The documents whose doc_id is the smallest of their component, with all their columns, once each.
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each component of near_copies(), with all its columns: that of the smallest doc_id, then hashes.
 
-    A row without a doc_id stands in with a hash of its text, after all doc_ids. ``near`` finds the components.
+    A row without a doc_id comes after all others. Of rows with equal doc_id and text one stays.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62))
-    rows = docs.withColumn("_simhash_key", key)
-    parts = near(rows.select(F.col("_simhash_key").alias("doc_id"), "text"))
-    kept = parts.where("doc_id = component_id").select(F.col("doc_id").alias("_simhash_key")).distinct()
-    return rows.join(kept, "_simhash_key").dropDuplicates(["_simhash_key"]).select(*docs.columns)
+    k1, k2, row = unused(docs, "k1", "k2", "row")
+    stays = near_copies(docs).groupBy("component").agg(F.min(F.struct("d", "k1", "k2")).alias("first"))
+    stays = stays.select(F.col("first.k1").alias(k1), F.col("first.k2").alias(k2))
+    d, t = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rows = docs.withColumn(k1, F.xxhash64(d, t)).withColumn(k2, F.xxhash64(t, d, F.lit("copy"))).join(stays, [k1, k2], "left_semi")
+    order = F.xxhash64(F.to_json(F.struct(*columns(docs))))
+    rows = rows.withColumn(row, order)
+    again = rows.groupBy(k1, k2).agg(F.min(row).alias(row))
+    return rows.join(again, [k1, k2, row], "left_semi").dropDuplicates([k1, k2, row]).select(*columns(docs))
