@@ -53,7 +53,7 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.findings(table(spark, sf_dir, "documents"))
+    return pii.findings(table(spark, sf_dir, "documents"), pii.key_of(spark))
 
 
 QUERIES = {f.__name__: f for f in (
