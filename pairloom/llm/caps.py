@@ -16,13 +16,16 @@ Counting links exactly: a bucket is cut into blocks of at most BLOCK vectors by
 are compared by one matrix product each, wherever the bucket is large. A linked pair counts in the first
 filter that its two vectors share. Only counts and local components (stars) leave a task, never the pairs.
 
-Nulls: vectors that are null, empty, zero, of another dimension than most, or that hold a null or non-finite component link with nothing, as
-do rows with a null label or vec_id; they come back with n_links 0 and component_id = vec_id. Repeated rows are
-equal vectors of one vec_id and count as separate vectors. An empty table gives an empty result.
+Nulls: vectors that are null, empty, zero, or that hold a null or non-finite component link with nothing, as
+do rows with a null label or vec_id; they come back with n_links 0 and component_id = vec_id. Vectors of several dimensions
+are compared within each dimension. Repeated rows are equal vectors of one vec_id and count as separate vectors; of a
+component the smallest vec_id is kept. Very long vectors are padded to BLOCKS parts like any other. An empty table gives an
+empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -201,18 +204,17 @@ def near_duplicates(table: DataFrame, least: float = COSINE, **how: float) -> Da
     """(vec_id, n_links, component_id, kept) of each row of table (vec_id, embedding, label)."""
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), "label")
     good = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable("v"))
-    dims = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not dims:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = dims[0][0]
-    good = good.where(F.size("v") == dim)
     # Two hashes stand for a vector, so that the vectors themselves travel once.
     same = good.withColumn("h1", F.xxhash64("v", "label")).withColumn("h2", F.xxhash64("label", "v", F.lit("cap")))
     kinds = same.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("v").alias("v"), F.first("label").alias("label"))
-    kinds = staged(kinds.withColumn("id0", F.col("id")), "caps-kinds")
-    # An id may stand for several vectors (repeated ids with other values), so nodes get an id of their own.
-    nodes = kinds.withColumn("id", F.col("h1"))
-    found = staged(links(nodes.select("id", "label", "v", "weight"), dim, least, **how), "caps-links")
+    # An id may stand for several vectors (repeated ids with other values), so nodes get numbers, fixed once written.
+    kinds = staged(kinds.withColumn("id0", F.col("id")).withColumn("num", F.monotonically_increasing_id()), "caps-kinds")
+    nodes = kinds.withColumn("id", F.col("num"))
+    dims = sorted(r.d for r in kinds.select(F.size("v").alias("d")).distinct().collect())
+    if not dims:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    each = [links(nodes.where(F.size("v") == d).select("id", "label", "v", "weight"), d, least, **how) for d in dims]
+    found = staged(functools.reduce(DataFrame.unionByName, each), "caps-links")
     count = found.groupBy("id").agg(F.sum("n").alias("n"))
     part = components(found.select(F.col("id").alias("u"), F.col("low").alias("v")), "caps-cc").withColumnRenamed("u", "id")
     nodes = nodes.select("h1", "h2", "id", "id0", "weight").join(count, "id", "left").join(part, "id", "left")
@@ -220,6 +222,6 @@ def near_duplicates(table: DataFrame, least: float = COSINE, **how: float) -> Da
     first = nodes.groupBy("component").agg(F.min("id0").alias("component_id"))
     nodes = nodes.join(first, "component").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
     out = same.select("vec_id", "h1", "h2").join(nodes, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
-    rest = rows.where(F.col("vec_id").isNull() | F.col("label").isNull() | ~F.coalesce(usable("v"), F.lit(False)) | (F.coalesce(F.size("v"), F.lit(-1)) != dim))
+    rest = rows.where(F.col("vec_id").isNull() | F.col("label").isNull() | ~F.coalesce(usable("v"), F.lit(False)))
     out = out.unionByName(rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

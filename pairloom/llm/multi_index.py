@@ -14,13 +14,15 @@ QUERIES queries; only its best ``k`` for each query leave it.
 
 The fraction is what random vectors in 64 dimensions need for a recall over 0.9 (the tests measure it).
 
-Nulls: vectors that are null, empty, zero, of another dimension than most, or that hold a null or non-finite component take no part, nor do
-rows with a null vec_id. Rows that repeat the query's vec_id are its own. Ties go to the smaller vec_id; equal
-rows with one vec_id each take a rank. An empty table gives an empty result.
+Nulls: vectors that are null, empty, zero, or that hold a null or non-finite component take no part, nor do
+rows with a null vec_id. Vectors of several dimensions are searched within each dimension. Rows that repeat the query's vec_id are its own. Ties go to the smaller vec_id; equal
+rows with one vec_id each take a rank. An empty table gives an empty result. Very long
+vectors are halved like any other. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 
@@ -85,11 +87,15 @@ def search(table: DataFrame, every: int = 20, k: int = 20, half: int = HALF, fra
     spark = table.sparkSession
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable("v"))
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    dims = sorted(r.d for r in rows.select(F.size("v").alias("d")).distinct().collect())
     if not dims:
         return spark.createDataFrame([], SHAPE)
-    dim = dims[0][0]
-    rows = rows.where(F.size("v") == dim)
+    each = [_search(rows.where(F.size("v") == d), d, every, k, half, fraction, least) for d in dims]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+def _search(rows: DataFrame, dim: int, every: int, k: int, half: int, fraction: float, least: int) -> DataFrame:
+    """search() among usable vectors (vec_id, v) of one dimension."""
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     top = rows.agg(F.max(square)).first()[0]
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()

@@ -20,7 +20,8 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings()))
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(docs, tokenizer_path("word_bpe_49k.json")))
 
 
 def op2_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
