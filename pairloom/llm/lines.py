@@ -13,7 +13,7 @@ corpus stays (by doc_id, then line), with the document around it.
 A key that more than HOT different lines share (near copies of one page) does not make all pairs. All its lines meet
 its smallest one first; after the components of these links, lines of different components of a key meet in
 blocks of BLOCK, where lengths and the parity of hashed character pairs (an edit changes four bits at most) leave
-almost only true pairs. Work is linear but for lines that share a segment and are not linked.
+almost only true pairs; those that nothing connects yet are verified, and only links leave the block. Work is linear but for lines that share a segment and are not linked.
 
 Results: the documents with their other columns; the text without the dropped lines; and, from
 ``deduplicated``, n_lines and n_dropped (with an underscore where docs has such columns). Nulls: a null text stays null
@@ -36,7 +36,7 @@ from .common import columns, components, quoted, staged, unused
 SHORTEST, MIN_CHARS, STEPS = 8, 24, (64, 128)
 HOT, BLOCK = 32, 1024
 #: Characters that a task hashes at a time, lines that it remembers.
-CHARS, KNOWN = 1 << 20, 1 << 20
+CHARS, KNOWN = 1 << 18, 1 << 19
 MOST = 1 + len(STEPS)
 _M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -242,20 +242,24 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "num long, h1 long, s string, size int, p1 long, p2 long").dropDuplicates(["num"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, by: str) -> DataFrame:
-    """(u, v): numbers of the lines that pairs (a, b) names by the column ``by`` and that are near enough."""
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v): numbers of the lines that pairs (a, b) names by h1 and that are near enough."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = pa.array([within(x, y, allowed(min(len(x), len(y)))) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+            ok = pa.array([_linked(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["u", "v"])
 
-    one = texts.select(F.col(by).alias("a"), F.col("num").alias("u"), F.col("s").alias("x"))
-    two = texts.select(F.col(by).alias("b"), F.col("num").alias("v"), F.col("s").alias("y"))
+    one = texts.select(F.col("h1").alias("a"), F.col("num").alias("u"), F.col("s").alias("x"))
+    two = texts.select(F.col("h1").alias("b"), F.col("num").alias("v"), F.col("s").alias("y"))
     both = pairs.join(one, "a").join(two, "b").select("u", "v", "x", "y")
     return staged(both.mapInArrow(verify, "u long, v long"), "line-links")
 
 
+def _linked(x: str, y: str) -> bool:
+    return within(x, y, allowed(min(len(x), len(y))))
+
+
 def _near(c: dict[str, np.ndarray], x: slice) -> np.ndarray:
     """Which lines may be near by length and signature."""
     size = c["size"]
@@ -278,14 +282,14 @@ def dropped_lines(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFr
     places = kinds.select("h1", "num", "first").join(ids, "h1")
     wanted = places.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_list(F.struct("first.line", "num")).alias("lines"))
     texts = staged(_texts(docs, wanted), "line-texts")
-    links = _verified(pairs, texts, "h1")
+    links = _verified(pairs, texts)
     part = components(links, "line-cc")
     if not members.isEmpty():
         nodes = texts.join(part.withColumnRenamed("u", "num"), "num", "left").withColumn("part", F.coalesce("component", "num"))
-        rows = members.join(nodes.select(F.col("h1").alias("a"), "num", "part", "size", "p1", "p2"), "a")
-        rows = rows.groupBy("key", "num").agg(F.min("role").alias("role"), *(F.first(c).alias(c) for c in ("part", "size", "p1", "p2")))
-        rest = postings.apart(rows, _near, block)
-        links = links.unionByName(_verified(rest, texts, "num"))
+        rows = members.join(nodes.select(F.col("h1").alias("a"), "num", "part", "size", "p1", "p2", "s"), "a")
+        rows = rows.groupBy("key", "num").agg(F.min("role").alias("role"), *(F.first(c).alias(c) for c in ("part", "size", "p1", "p2", "s")))
+        rest = postings.apart(rows.select("key", "num", "part", "role", F.col("size").alias("bytes"), "size", "p1", "p2", "s"), _near, _linked, block)
+        links = links.unionByName(staged(rest, "line-rest"))
         part = components(links, "line-cc")
     linked = kinds.join(part.withColumnRenamed("u", "num"), "num", "left").withColumn("component", F.coalesce("component", "num"))
     first = linked.groupBy("component").agg(F.min("first").alias("stays"))

@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Entries that a task holds, entries of a bucket.
-HELD, BUCKET = 1 << 21, 1 << 19
+#: Entries that a task holds, entries of a bucket, and bytes of payload in a block.
+HELD, BUCKET, BYTES = 1 << 19, 1 << 18, 1 << 24
 KEY_BYTES = 5
 OWN, PROBE = 0, 1
 Entries = tuple[np.ndarray, np.ndarray]
@@ -121,47 +121,63 @@ def candidates(entries: DataFrame, hot: int) -> DataFrame:
     return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "role byte, key long, a long, b long")
 
 
-def apart(members: DataFrame, near: Callable[[dict[str, np.ndarray], slice], np.ndarray], block: int) -> DataFrame:
-    """(a, b): pairs of num among members (key, num, part, role, and other longs) that share a key but not a part.
+def apart(members: DataFrame, near: Callable[[dict[str, np.ndarray], slice], np.ndarray], same: Callable[[object, object], bool], block: int) -> DataFrame:
+    """(u, v): verified links between members of a key that have different parts.
 
-    A key's members are cut into blocks; each pair of blocks is compared in one task, where ``near`` says which
-    of the rows of a slice may be near to which of all rows.
+    members: key, num, part, role, bytes and other longs, and last their payload. A key's members are cut into blocks of at
+    most ``block`` rows and about BYTES of payload; each pair of blocks is compared in one task. There ``near`` says which of the rows of a slice
+    may be near to which of all rows, and ``same`` decides on the payloads of those that nothing connects yet. Only
+    links that connect leave the task, so there are fewer of them than rows.
     """
-    mixed = members.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("how_many")).where("x <> y").select("key", "how_many")
+    mixed = members.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("rows"), F.sum("bytes").alias("weight"))
+    mixed = mixed.where("x <> y").select("key", F.ceil(F.greatest(F.col("rows") / block, F.col("weight") / BYTES)).cast("int").alias("parts"))
     rows = members.join(mixed, "key")
-    parts = F.ceil(F.col("how_many") / block).cast("int")
+    parts = F.col("parts")
     own = F.pmod(F.xxhash64("num"), parts).cast("int")
     pair = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.struct(F.least(own, x).alias("p"), F.greatest(own, x).alias("q")))
-    names = ["p", "q", "o", *(c for c in members.columns)]
+    names = ["p", "q", "o", *members.columns[:-1]]
     rows = rows.withColumn("o", own).withColumn("x", F.explode(pair)).select("x.p", "x.q", "o", *members.columns)
     group = [names.index(c) for c in ("key", "p", "q")]
 
+    def found(g: np.ndarray, payload: list) -> tuple[list[int], list[int]]:
+        c = dict(zip(names, g, strict=True))
+        num, root = c["num"], list(range(g.shape[1]))
+        first: dict[int, int] = {}
+        for k, x in enumerate(c["part"].tolist()):
+            root[k] = first.setdefault(x, k)
+
+        def top(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        left, right = [], []
+        for i in range(0, len(num), 256):
+            x = slice(i, i + 256)
+            fine = (c["part"][x, None] != c["part"]) & (num[x, None] < num) & ((c["role"][x, None] == 1) | (c["role"] == 1))
+            fine &= (c["o"][x, None] != c["o"]) | (c["p"] == c["q"])  # of two blocks pairs across, of one block all
+            a, b = np.nonzero(fine & near(c, x))
+            for m, n in zip((a + i).tolist(), b.tolist(), strict=True):
+                y, z = top(m), top(n)
+                if y != z and same(payload[m], payload[n]):
+                    root[max(y, z)] = min(y, z)
+                    left.append(int(num[m]))
+                    right.append(int(num[n]))
+        return left, right
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(g: np.ndarray) -> pa.RecordBatch:
-            c = dict(zip(names, g, strict=True))
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i in range(0, g.shape[1], 256):
-                x = slice(i, i + 256)
-                fine = (c["part"][x, None] != c["part"]) & (c["num"][x, None] < c["num"]) & ((c["role"][x, None] == 1) | (c["role"] == 1))
-                fine &= (c["o"][x, None] != c["o"]) | (c["p"] == c["q"])  # of two blocks pairs across, of one block all
-                a, b = np.nonzero(fine & near(c, x))
-                left.append(c["num"][x][a])
-                right.append(c["num"][b])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
-
-        rest: np.ndarray | None = None
-        for b in batches:
-            g = np.array([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
-            g = g if rest is None else np.concatenate([rest, g], axis=1)
+        g, payload = np.zeros((len(names), 0), np.int64), []
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                g = np.concatenate([g, np.array([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns[:-1]])], axis=1)
+                payload += b.column(len(names)).to_pylist()
             if not g.shape[1]:
                 continue
-            cut = int(np.flatnonzero((g[group] == g[group, -1:][:, :1]).all(axis=0))[0])  # the last group may go on in the next batch
-            rest, done = g[:, cut:], g[:, :cut]
-            if cut:
-                edge = np.flatnonzero(np.r_[True, (done[group][:, 1:] != done[group][:, :-1]).any(axis=0)]).tolist()
-                for i, j in itertools.pairwise([*edge, cut]):
-                    yield found(done[:, i:j])
-        if rest is not None and rest.shape[1]:
-            yield found(rest)
-
-    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long").distinct()
+            edge = [*np.flatnonzero(np.r_[True, (g[group][:, 1:] != g[group][:, :-1]).any(axis=0)]).tolist(), g.shape[1]]
+            done = edge if b is None else edge[:-1]  # the last group may go on in the next batch
+            links = [found(g[:, i:j], payload[i:j]) for i, j in itertools.pairwise(done)]
+            g, payload = g[:, done[-1] :], payload[done[-1] :]
+            yield pa.RecordBatch.from_arrays([pa.array([v for x in links for v in x[k]], pa.int64()) for k in range(2)], names=["u", "v"])
+
+    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "u long, v long").distinct()

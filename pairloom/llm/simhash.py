@@ -21,7 +21,7 @@ link there as above or if their sets of five-word shingles have a similarity of
 set join: of a set of n shingle hashes the first n - ceil(0.8 n) + 1 are its keys, and two similar sets
 share one, whatever the order, if it is the same for all. Shingles that are common in a sample come last in
 it; the sample sets the work and not the result. Equal sets are one node. Sets that share a key are candidates, at hot
-keys first with the key's smallest set alone; those that are left apart meet in blocks (postings.py). Sizes, and
+keys first with the key's smallest set alone; those that are left apart meet in blocks, out of which only links come (postings.py). Sizes, and
 the parity of 1024 bits to which shingles hash (two sets differ in no fewer shingles than their parities in bits), leave
 almost only true pairs, which are verified on the whole sets.
 
@@ -295,32 +295,37 @@ def _likely(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
     return staged(both.mapInArrow(run, "u long, v long"), "simhash-likely")
 
 
-def _verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) of set ids whose sets are similar."""
-    num, den = SIMILAR
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    wanted = kinds.join(ids, "id").select("at.k1", "at.k2")
+def _sets(docs: DataFrame, kinds: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, s): the whole sets, as bytes, of the wanted ids (id)."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = [shingle_set(t or b"") for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], names=["id", "s"])
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    wanted = kinds.join(ids.distinct(), "id").select("at.k1", "at.k2")
+    rows = _placed(docs).join(wanted, ["k1", "k2"]).select("t")
+    return staged(rows.mapInArrow(run, "id long, s binary").dropDuplicates(["id"]), "simhash-sets")
+
+
+def _similar(x: bytes, y: bytes) -> bool:
+    num, den = SIMILAR
+    both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]), kind="stable")
+    n = int((both[1:] == both[:-1]).sum())
+    return den * n >= num * (len(both) - n)
+
+
+def _verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) of set ids whose sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                a, c = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([a, c]), kind="stable")
-                both = int((both[1:] == both[:-1]).sum())
-                ok.append(den * both >= num * (len(a) + len(c) - both))
-            ok = pa.array(ok, pa.bool_())
+            ok = pa.array([_similar(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["u", "v"])
 
-    rows = _placed(docs).join(wanted, ["k1", "k2"]).select("t")
-    of = staged(rows.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]), "simhash-sets")
+    of = _sets(docs, kinds, pairs.select(F.explode(F.array("u", "v")).alias("id")))
     both = pairs.join(of.select(F.col("id").alias("u"), "s"), "u").join(of.select(F.col("id").alias("v"), F.col("s").alias("r")), "v")
-    return staged(both.select("u", "v", "s", "r").mapInArrow(similar, "u long, v long"), "simhash-similar")
+    return staged(both.select("u", "v", "s", "r").mapInArrow(run, "u long, v long"), "simhash-similar")
 
 
 def similar_sets(docs: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -333,9 +338,13 @@ def similar_sets(docs: DataFrame, kinds: DataFrame) -> DataFrame:
         return links
     part = components(links, "simhash-near").withColumnRenamed("u", "id")
     bits = [F.conv(F.hex(F.reverse(F.substring("parity", 8 * k + 1, 8))), 16, -10).cast("long").alias(f"p{k}") for k in range(PARITY)]
-    nodes = kinds.join(part, "id", "left").select("id", F.col("id").alias("num"), F.coalesce("component", "id").alias("part"), "n", *bits)
-    rest = postings.apart(members.join(nodes, "id").drop("id"), _near, BLOCK).toDF("u", "v")
-    return links.unionByName(_verified(docs, kinds, staged(rest, "simhash-rest")))
+    nodes = kinds.join(part, "id", "left").select("id", F.coalesce("component", "id").alias("part"), "n", *bits)
+    rows = members.join(nodes.select("id", "part"), "id")
+    mixed = rows.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
+    rows = staged(rows.join(mixed, "key"), "simhash-mixed")
+    rows = rows.drop("part").join(nodes, "id").join(_sets(docs, kinds, rows.select("id")), "id")
+    rows = rows.select("key", F.col("id").alias("num"), "part", "role", F.length("s").alias("bytes"), "n", *(f"p{k}" for k in range(PARITY)), "s")
+    return links.unionByName(staged(postings.apart(rows, _near, _similar, BLOCK), "simhash-rest"))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
