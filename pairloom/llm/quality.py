@@ -94,17 +94,18 @@ def _hinge(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, c: float, epoch
     """Dual coordinate descent for the squared-norm, hinge-loss problem; the bias is one more feature."""
     w, bias = np.zeros_like(r), 0.0
     alpha = np.zeros(len(rows))
-    xs = [r[i] / np.sqrt(max(1, len(i))) for i in rows]
-    norm = np.array([float(x @ x) + 1.0 for x in xs])
+    at = lambda i: r[rows[i]] / np.sqrt(max(1, len(rows[i])))  # noqa: E731  scaled anew each time: the rows alone are kept
+    norm = np.array([float(x @ x) + 1.0 for x in map(at, range(len(rows)))])
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in order.permutation(len(rows)):
-            g = y[i] * (float(w[rows[i]] @ xs[i]) + bias) - 1
+            x = at(i)
+            g = y[i] * (float(w[rows[i]] @ x) + bias) - 1
             new = min(max(alpha[i] - g / norm[i], 0.0), c)
             step = (new - alpha[i]) * y[i]
             if step:
-                w[rows[i]] += step * xs[i]
+                w[rows[i]] += step * x
                 bias += step
                 moved = max(moved, abs(step))
                 alpha[i] = new
@@ -204,7 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
     rows = labelled(docs, labels, label, parts, part, sample).select("label", F.col("text").cast("binary").alias("t"))
     got = rows.mapInArrow(run, "label int, x binary").distinct().toArrow()
     order = sorted(zip(got.column(1).to_pylist(), got.column(0).to_pylist(), strict=True))
-    return fit([np.frombuffer(x, dtype="<u4").astype(np.int64) for x, _ in order], np.array([y for _, y in order]))
+    del got
+    return fit([np.frombuffer(x, dtype="<i4") for x, _ in order], np.array([y for _, y in order]))
 
 
 def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
