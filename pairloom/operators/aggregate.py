@@ -5,11 +5,10 @@ Windows meet edges by equi-joins on bins: a window names its rows, so no range j
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .matrix import both_ways, chromosome_range
+from .ordering import numbered
 
 
 def cells(windows: DataFrame, edges: DataFrame, regions: DataFrame, w: int, value: str = "weight", default: float = 0.0) -> DataFrame:
@@ -81,52 +80,64 @@ def meta_profile(scores: DataFrame, anchors: DataFrame, w: int) -> DataFrame:
 def saddle(edges: DataFrame, regions: DataFrame, track: DataFrame, groups: int, default: float = 1.0, least_distance: int = 0) -> DataFrame:
     """(a, b, value, n): mean O/E of cis cells between groups of bins by rank of their score; absent cells have the default.
 
-    The mean over all valid cells is (sum of present + default * absent) / all, so no dense grid is made:
-    the number of cells follows from the bins of each group, per chromosome.
+    The mean over all valid cells is (sum of present + default * absent) / all, so no dense grid is made: the
+    number of cells of two groups is the product of their sizes in each chromosome, less those of the
+    ``least_distance`` diagonals that are left out.
     """
     g = track.where("score is not null").join(regions.where("valid").select("ix", "chromosome"), "ix")
     cut = g.agg(F.percentile("score", F.array(*[F.lit(k / groups) for k in range(1, groups)])).alias("_cut"))
-    g = g.crossJoin(cut).withColumn("g", F.size(F.filter("_cut", lambda c: c < F.col("score")))).select("ix", "chromosome", "g").cache()  # one row of cut-offs
-    x, y = g.select(F.col("ix").alias("source"), F.col("chromosome").alias("_c"), F.col("g").alias("_a")), g.select(F.col("ix").alias("sink"), F.col("g").alias("_b"), F.col("chromosome").alias("_d"))
-    far = F.col("sink") - F.col("source") >= least_distance
-    pairs = x.join(y, (F.col("_c") == F.col("_d")) & (F.col("sink") >= F.col("source"))).where(far)
+    g = g.crossJoin(cut).withColumn("g", F.size(F.filter("_cut", lambda c: c < F.col("score")))).select("ix", "chromosome", "g")  # one row of cut-offs
     a, b = F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b")
-    every = pairs.groupBy(a, b).agg(F.count("*").alias("n"))
-    seen = edges.join(x, "source").join(y, "sink").where(F.col("_c") == F.col("_d")).where(far).groupBy(a, b).agg(F.sum("oe").alias("s"), F.count("*").alias("k"))
-    out = every.join(seen, ["a", "b"], "left")
+    size = g.groupBy("chromosome").agg(*[F.sum(F.when(F.col("g") == k, 1).otherwise(0)).alias(f"_{k}") for k in range(groups)])
+    both = [F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), (F.col(f"_{i}") * F.col(f"_{j}") if i != j else F.col(f"_{i}") * (F.col(f"_{i}") + 1) / 2).cast("long").alias("n")) for i in range(groups) for j in range(i + 1)]
+    every = size.select(F.explode(F.array(*both)).alias("x")).groupBy("x.a", "x.b").agg(F.sum("x.n").alias("n"))
+    if least_distance > 0:
+        x = g.select("chromosome", F.col("g").alias("_a"), F.explode(F.sequence(F.col("ix"), F.col("ix") + least_distance - 1)).alias("ix"))
+        close = x.join(g.select("chromosome", "ix", F.col("g").alias("_b")), ["chromosome", "ix"]).groupBy(a, b).agg(F.count("*").alias("_near"))
+        every = every.join(close, ["a", "b"], "left").select("a", "b", (F.col("n") - F.coalesce("_near", F.lit(0))).alias("n"))
+    x, y = (g.select(F.col("ix").alias(end), F.col("chromosome").alias(c), F.col("g").alias(k)) for end, c, k in (("source", "_c", "_a"), ("sink", "_d", "_b")))
+    seen = edges.where(F.col("sink") - F.col("source") >= least_distance).join(x, "source").join(y, "sink").where(F.col("_c") == F.col("_d"))
+    seen = seen.groupBy(a, b).agg(F.sum("oe").alias("s"), F.count("*").alias("k"))
+    out = every.where("n > 0").join(seen, ["a", "b"], "left")
     return out.select("a", "b", ((F.coalesce("s", F.lit(0.0)) + default * (F.col("n") - F.coalesce("k", F.lit(0)))) / F.col("n")).alias("value"), "n")
 
 
-def tad_strength(domains: DataFrame, edges: DataFrame, value: str = "oe", default: float = 1.0) -> DataFrame:
+def _inside(windows: DataFrame, regions: DataFrame) -> DataFrame:
+    """The windows (_a, _b) that lie in the chromosome of their middle bin, first."""
+    r = chromosome_range(regions.select("ix", "chromosome")).select(F.col("ix").alias("first"), "_first", "_size")
+    return windows.join(r, "first").where((F.col("_a") >= F.col("_first")) & (F.col("_b") < F.col("_first") + F.col("_size"))).drop("_first", "_size")
+
+
+def tad_strength(domains: DataFrame, edges: DataFrame, regions: DataFrame, value: str = "oe", default: float = 1.0) -> DataFrame:
     """(id, strength): of domains (id, first, last), log2 of the mean O/E within over that of the two flanking squares between thirds.
 
     The window is the domain with as much on either side; its middle third is compared with the blocks between the
-    middle and the outer thirds.
+    middle and the outer thirds. Windows that leave their chromosome have no strength and no row; invalid bins
+    are left out of every mean, and valid cells without an edge have the default.
     """
-    rows = domains.withColumn("_n", F.col("last") - F.col("first") + 1)
-    rows = rows.select("id", "first", "_n", F.explode(F.sequence(F.col("first") - F.col("_n"), F.col("first") + 2 * F.col("_n") - 1)).alias("source"))
-    hit = rows.join(edges.select("source", "sink", F.col(value).alias("_v")), "source").where("sink < first + 2 * _n and sink >= source")
-    hit = hit.groupBy("id", "first", "_n").agg(F.collect_list(F.struct("source", "sink", "_v")).alias("cells"))  # a window's cells
-
-    def measure(batches):  # noqa: ANN001, ANN202
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                n = int(r._3) if hasattr(r, "_3") else int(r[3])
-                m = np.full((3 * n, 3 * n), default)
-                for c in r.cells:
-                    i, j = c["source"] - r.first + n, c["sink"] - r.first + n
-                    m[i, j] = m[j, i] = c["_v"]
-                inside, flank = m[n : 2 * n, n : 2 * n].mean(), (m[:n, n : 2 * n].mean() + m[n : 2 * n, 2 * n :].mean()) / 2
-                out.append((r.id, float(np.log2(inside / flank)) if inside > 0 and flank > 0 else None))
-            yield pd.DataFrame(out, columns=["id", "strength"])
-
-    return hit.mapInPandas(measure, f"id {domains.schema['id'].dataType.simpleString()}, strength double")
+    size = F.col("last") - F.col("first") + 1
+    w = _inside(domains.select("id", "first", "last", (F.col("first") - size).alias("_a"), (F.col("last") + size).alias("_b")), regions)
+    third = lambda c: F.when(F.col(c) < F.col("first"), 0).when(F.col(c) <= F.col("last"), 1).otherwise(2)
+    bins = w.select("*", F.explode(F.sequence("_a", "_b")).alias("source")).withColumn("_s", third("source"))
+    ok = bins.join(regions.where("valid").select(F.col("ix").alias("source")), "source")
+    n = ok.groupBy("id").agg(*[F.sum(F.when(F.col("_s") == k, 1).otherwise(0)).alias(f"_n{k}") for k in range(3)])
+    valid = regions.where("valid").select("ix")
+    e = edges.join(valid.withColumnRenamed("ix", "sink"), "sink", "left_semi").select("source", "sink", F.col(value).cast("double").alias("_v")).where("_v is not null")
+    hit = ok.where("_s < 2").join(e, "source").where("sink >= source and sink <= _b").withColumn("_t", third("sink")).where("(_s = 0 and _t = 1) or (_s = 1 and _t >= 1)")
+    twice = F.when((F.col("_s") == 1) & (F.col("_t") == 1) & (F.col("source") < F.col("sink")), 2).otherwise(1)
+    block = {"_m": (1, 1), "_l": (0, 1), "_r": (1, 2)}
+    is_ = lambda k: (F.col("_s") == block[k][0]) & (F.col("_t") == block[k][1])
+    sums = hit.groupBy("id").agg(*[f(F.when(is_(k), x)).alias(f"{k}{t}") for k in block for f, x, t in ((F.sum, F.col("_v") * twice, "s"), (F.sum, twice, "k"))])
+    rows = n.join(sums, "id", "left").fillna(0)
+    cells_ = {k: F.col(f"_n{i}") * F.col(f"_n{j}") for k, (i, j) in block.items()}
+    mean = {k: (F.col(f"{k}s") + default * (c - F.col(f"{k}k"))) / F.nullif(c, F.lit(0)) for k, c in cells_.items()}
+    ratio = mean["_m"] / F.nullif((mean["_l"] + mean["_r"]) / 2, F.lit(0.0))
+    return rows.select("id", F.when(ratio > 0, F.log2(ratio)).alias("strength"))
 
 
 def rank_of(table: DataFrame, *order: str) -> DataFrame:
     """Adds id: the rank of a row in the given order, from 0."""
-    return table.withColumn("id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    return numbered(table, *order, name="id")
 
 
 def rescaled(cells: DataFrame, bin_size: int) -> DataFrame:
@@ -134,30 +145,19 @@ def rescaled(cells: DataFrame, bin_size: int) -> DataFrame:
     return cells.withColumn("value", F.col("value") * F.pow(F.abs(F.col("i") - F.col("j")) * bin_size + bin_size, F.lit(-0.25)))
 
 
-def pile_up_domains(domains: DataFrame, edges: DataFrame, pixels: int, flank: float = 1.0, value: str = "oe", default: float = 1.0) -> DataFrame:
+def pile_up_domains(domains: DataFrame, edges: DataFrame, regions: DataFrame, pixels: int, flank: float = 1.0, value: str = "oe", default: float = 1.0) -> DataFrame:
     """(i, j, value, n): mean of windows (id, first, last), each with ``flank`` times its length on either side, brought to pixels x pixels.
 
-    A pixel takes the nearest cell of its window; cells without an edge have the default.
+    A pixel takes the nearest cell of its window; cells without an edge have the default, those of invalid bins are
+    left out. Windows that leave their chromosome are skipped.
     """
     more = F.floor((F.col("last") - F.col("first") + 1) * flank)
-    w = domains.select("id", (F.col("first") - more).alias("_a"), (F.col("last") + more).alias("_b"))
-    rows = w.select("*", F.explode(F.sequence("_a", "_b")).alias("source"))
-    hit = rows.join(edges.select("source", "sink", F.col(value).cast("double").alias("_v")), "source").where("sink <= _b and sink >= source")
-    hit = hit.groupBy("id").agg(F.collect_list(F.struct("source", "sink", "_v")).alias("cells"))  # a window's cells
-    hit = w.join(hit, "id", "left").select(F.col("_a").alias("a"), F.col("_b").alias("b"), "cells")
-
-    def resample(batches):  # noqa: ANN001, ANN202
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                n = int(r.b - r.a + 1)
-                m = np.full((n, n), default)
-                for c in r.cells if r.cells is not None else ():
-                    i, j = c["source"] - r.a, c["sink"] - r.a
-                    m[i, j] = m[j, i] = c["_v"] if c["_v"] is not None else default
-                at = ((np.arange(pixels) + 0.5) * n / pixels).astype(int)
-                i, j = np.indices((pixels, pixels)).reshape(2, -1)
-                out.append(pd.DataFrame({"i": i, "j": j, "v": m[np.ix_(at, at)].ravel()}))
-            yield pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "v": []})
-
-    return hit.mapInPandas(resample, "i long, j long, v double").groupBy("i", "j").agg(F.avg("v").alias("value"), F.count("*").alias("n"))
+    w = _inside(domains.select("id", "first", (F.col("first") - more).alias("_a"), (F.col("last") + more).alias("_b")), regions)
+    bin_of = lambda k: F.col("_a") + F.floor((k + 0.5) * (F.col("_b") - F.col("_a") + 1) / pixels)
+    span = F.sequence(F.lit(0), F.lit(pixels - 1))
+    rows = w.select("*", F.explode(span).alias("i")).withColumn("bin", bin_of(F.col("i"))).select("*", F.explode(span).alias("j")).withColumn("other", bin_of(F.col("j")))
+    valid = regions.where("valid").select("ix")
+    for end in ("bin", "other"):
+        rows = rows.join(valid.withColumnRenamed("ix", end), end, "left_semi")
+    rows = rows.join(both_ways(edges, value), ["bin", "other"], "left")
+    return rows.groupBy("i", "j").agg(F.avg(F.coalesce(F.col(value).cast("double"), F.lit(default))).alias("value"), F.count("*").alias("n"))

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ordering import numbered
+
 
 def fixed_bins(chromosomes: DataFrame, size: int) -> DataFrame:
     """Regular bins of (chromosome, length); the last one of a chromosome may be short."""
@@ -94,5 +96,4 @@ def nearest(points: DataFrame, regions: DataFrame, position: str = "position") -
 
 def subset(regions: DataFrame, keep: Column) -> DataFrame:
     """The regions that keep selects, with a new dense ix; old_ix is the former one."""
-    w = Window.orderBy("ix")  # one row per region
-    return regions.where(keep).withColumn("old_ix", F.col("ix")).withColumn("ix", (F.row_number().over(w) - 1).cast("long"))
+    return numbered(regions.where(keep).withColumnRenamed("ix", "old_ix"), "old_ix", name="ix").select("ix", "old_ix", *[c for c in regions.columns if c != "ix"])

@@ -29,92 +29,126 @@ def _area(a: np.ndarray) -> np.ndarray:
     return np.pad(a.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
 
 
-def _box(s: np.ndarray, top: int, bottom: int, left: int, right: int) -> float:
-    """Sum of rows top..bottom and columns left..right (inclusive), cut at the block's borders."""
+def _box(s: np.ndarray, i: np.ndarray, j: np.ndarray, top: int, bottom: int, left: int, right: int) -> np.ndarray:
+    """Sums of rows i+top .. i+bottom and columns j+left .. j+right (inclusive), cut at the block's borders."""
     n, m = s.shape[0] - 1, s.shape[1] - 1
-    t, b, l, r = max(0, top), min(n, bottom + 1), max(0, left), min(m, right + 1)  # noqa: E741
-    return float(s[b, r] - s[t, r] - s[b, l] + s[t, l]) if b > t and r > l else 0.0
-
-
-def neighbourhoods(s: np.ndarray, i: int, j: int, p: int, w: int) -> dict[str, float]:
-    """Sums over the lower left, the horizontal and vertical bands, and the donut around (i, j)."""
-    box = lambda a, b, c, d: _box(s, i + a, i + b, j + c, j + d)
-    peak = box(-p, p, -p, p)
-    cross = box(-w, w, 0, 0) + box(0, 0, -w, w) - box(0, 0, 0, 0)
-    in_peak = box(-p, p, 0, 0) + box(0, 0, -p, p) - box(0, 0, 0, 0)
-    return {
-        "ll": box(1, w, -w, -1) - box(1, p, -p, -1),
-        "h": box(-1, 1, -w, w) - box(-1, 1, -p, p),
-        "v": box(-w, w, -1, 1) - box(-p, p, -1, 1),
-        "d": box(-w, w, -w, w) - peak - (cross - in_peak),
-    }
+    t, b = np.clip(i + top, 0, n), np.clip(i + bottom + 1, 0, n)
+    l, r = np.clip(j + left, 0, m), np.clip(j + right + 1, 0, m)  # noqa: E741
+    return np.where((b > t) & (r > l), s[b, r] - s[t, r] - s[b, l] + s[t, l], 0.0)
+
+
+def neighbourhoods(s: np.ndarray, i: np.ndarray, j: np.ndarray, p: int, w: int, kinds: tuple[str, ...] = KINDS) -> dict[str, np.ndarray]:
+    """Sums over the lower left, the horizontal and vertical bands, and the donut around the pixels (i, j)."""
+    box = lambda a, b, c, d: _box(s, i, j, a, b, c, d)
+    out = {}
+    if "ll" in kinds:
+        out["ll"] = box(1, w, -w, -1) - box(1, p, -p, -1)
+    if "h" in kinds:
+        out["h"] = box(-1, 1, -w, w) - box(-1, 1, -p, p)
+    if "v" in kinds:
+        out["v"] = box(-w, w, -1, 1) - box(-p, p, -1, 1)
+    if "d" in kinds:
+        cross = box(-w, w, 0, 0) + box(0, 0, -w, w) - box(0, 0, 0, 0)
+        in_peak = box(-p, p, 0, 0) + box(0, 0, -p, p) - box(0, 0, 0, 0)
+        out["d"] = box(-w, w, -w, w) - box(-p, p, -p, p) - (cross - in_peak)
+    return out
+
+
+def _tiles(edges: DataFrame, tile: int, halo: int) -> DataFrame:
+    """Edges in every tile (_r, _c) that sees them; those that a tile near the diagonal sees from below are mirrored."""
+    spread = lambda c: F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile))
+    rows = edges.select("chromosome", "source", "sink", F.col("weight").cast("double").alias("weight"))
+    low = rows.where(f"source < sink and sink - source <= {2 * halo}").select("chromosome", F.col("sink").alias("source"), F.col("source").alias("sink"), "weight")
+    rows = rows.unionByName(low).select("*", F.explode(spread("source")).alias("_r"), spread("sink").alias("_cs"))
+    return rows.select("chromosome", "source", "sink", "weight", "_r", F.explode("_cs").alias("_c"))
+
+
+def _dimensions(tiles: DataFrame, expected: DataFrame, regions: DataFrame, tile: int, halo: int) -> DataFrame:
+    """One row for each tile (chromosome, _r, _c): the bins of its rows and columns, and the expected values of its distances."""
+    spread = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile))).alias("_t")
+    bins = regions.where("valid").select("chromosome", "ix", F.col("bias").cast("double").alias("bias"), spread("ix"))
+    bins = bins.groupBy("chromosome", "_t").agg(F.collect_list(F.struct("ix", "bias")).alias("_bins"))  # tile + 2 halo at most
+    e = expected.where("chromosome is not null").select("chromosome", "distance", "expected")
+    side = tile + 2 * halo  # a tile's distances lie within a side of (_c - _r) * tile
+    e = e.select("*", F.explode(F.array(F.col("distance"), -F.col("distance"))).alias("d")).distinct()
+    e = e.select("chromosome", "distance", "expected", F.explode(F.sequence(F.ceil((F.col("d") - side) / tile), F.floor((F.col("d") + side) / tile))).alias("_k")).distinct()
+    e = e.groupBy("chromosome", "_k").agg(F.collect_list(F.struct("distance", "expected")).alias("_exp"))
+    rows = tiles.select("chromosome", "_r", "_c").distinct().withColumn("_k", F.col("_c") - F.col("_r"))
+    rows = rows.join(bins.withColumnsRenamed({"_t": "_r", "_bins": "_rows"}), ["chromosome", "_r"]).join(bins.withColumnsRenamed({"_t": "_c", "_bins": "_columns"}), ["chromosome", "_c"])
+    return rows.join(e, ["chromosome", "_k"]).select("chromosome", "_r", "_c", "_rows", "_columns", "_exp")
 
 
 def call(edges: DataFrame, expected: DataFrame, regions: DataFrame, p: int, w: int, most_w: int = 20, least_reads: int = 16, least_distance: int | None = None, mappable: float = 0.7, tile: int = 200) -> DataFrame:
     """(chromosome, source, sink, weight, w, e_*, oe_*, mappability_*, chunk_*) of cis pixels beyond the least distance.
 
     edges: (chromosome, source, sink, weight); expected: (chromosome, distance, expected); regions have
-    bias (1 / weight factor per bin) and valid.
+    bias (1 / weight factor per bin) and valid. A tile meets its slices of the bins and of the expected values once, and all
+    of its pixels are measured together, one neighbourhood width after the other.
     """
     far = p if least_distance is None else least_distance
     halo = most_w + 1
     kind = regions.schema["chromosome"].dataType.simpleString()
-    spread = lambda c: F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile))
-    placed = edges.select("chromosome", "source", "sink", F.col("weight").cast("double").alias("weight"), F.explode(spread("source")).alias("_r"), spread("sink").alias("_cs"))
-    placed = placed.select("chromosome", "source", "sink", "weight", "_r", F.explode("_cs").alias("_c"))
-    # Only cells above the diagonal are stored: mirror those that a tile near the diagonal sees from below.
-    low = edges.where(f"sink - source <= {2 * halo}").where("source < sink").select("chromosome", F.col("sink").alias("source"), F.col("source").alias("sink"), F.col("weight").cast("double").alias("weight"))
-    low = low.select("chromosome", "source", "sink", "weight", F.explode(spread("source")).alias("_r"), spread("sink").alias("_cs")).select("chromosome", "source", "sink", "weight", "_r", F.explode("_cs").alias("_c"))
-    placed = placed.unionByName(low)
-    by = regions.groupBy("chromosome").agg(F.array_sort(F.collect_list(F.struct("ix", "valid", F.col("bias").cast("double").alias("bias")))).alias("_bins"))
-    exp = expected.where("chromosome is not null").groupBy("chromosome").agg(F.map_from_entries(F.collect_list(F.struct("distance", "expected"))).alias("_exp"))
-    rows = placed.join(by, "chromosome").join(exp, "chromosome")
+    placed = _tiles(edges, tile, halo)
     names = ["chromosome", "source", "sink", "weight", "w", *[f"{a}_{k}" for k in KINDS for a in ("e", "oe", "mappability", "chunk")]]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bins, e_of = pdf._bins.iloc[0], dict(pdf._exp.iloc[0])
-        ix0, n = int(bins[0]["ix"]), len(bins)
-        r0, c0 = int(pdf._r.iloc[0]) * tile - halo, int(pdf._c.iloc[0]) * tile - halo
+    def run(cells: pd.DataFrame, dims: pd.DataFrame) -> pd.DataFrame:
+        if not len(cells) or not len(dims):
+            return pd.DataFrame([], columns=names)
+        r0, c0 = int(cells._r.iloc[0]) * tile - halo, int(cells._c.iloc[0]) * tile - halo
         side = tile + 2 * halo
         m = np.zeros((side, side))
-        m[pdf.source.to_numpy() - r0, pdf.sink.to_numpy() - c0] = pdf.weight.to_numpy()
-        ri, ci = np.arange(r0, r0 + side), np.arange(c0, c0 + side)
-        valid, bias = np.zeros(n, bool), np.ones(n)
-        for k, b in enumerate(bins):
-            valid[k], bias[k] = b["valid"], b["bias"] or 0.0
-        inside = lambda x: (x >= ix0) & (x < ix0 + n)
-        ok_r, ok_c = inside(ri) & valid[np.clip(ri - ix0, 0, n - 1)], inside(ci) & valid[np.clip(ci - ix0, 0, n - 1)]
-        ok = ok_r[:, None] & ok_c[None, :]
-        vec = np.array([e_of.get(d, 0.0) or 0.0 for d in range(n)])
-        ex = vec[np.clip(np.abs(ri[:, None] - ci[None, :]), 0, n - 1)] * ok
-        br, bc = bias[np.clip(ri - ix0, 0, n - 1)], bias[np.clip(ci - ix0, 0, n - 1)]
-        value = m * ok * br[:, None] * bc[None, :]
-        s_raw, s_val, s_exp, s_ok = _area(m * ok), _area(value), _area(ex), _area(ok.astype(float))
-        ones = _area(np.ones_like(m))
-        out = []
-        for i, j in zip(*np.nonzero(m[halo : halo + tile, halo : halo + tile]), strict=True):
-            i, j = int(i) + halo, int(j) + halo
-            if ci[j] - ri[i] < p + far or not ok[i, j]:
-                continue
-            width = w
-            while width <= most_w and neighbourhoods(s_raw, i, j, p, width)["ll"] < least_reads:
-                width += 1
-            if width > most_w:
-                continue
-            a, b, k, full = (neighbourhoods(s, i, j, p, width) for s in (s_val, s_exp, s_ok, ones))
-            row: list = [pdf.chromosome.iloc[0], int(ri[i]), int(ci[j]), float(value[i, j]), width]
+        m[cells.source.to_numpy() - r0, cells.sink.to_numpy() - c0] = cells.weight.to_numpy()
+        ok, bias = [], []
+        for column, at in (("_rows", r0), ("_columns", c0)):
+            valid, b = np.zeros(side, bool), np.ones(side)
+            for x in dims[column].iloc[0]:
+                if 0 <= (k := x["ix"] - at) < side:
+                    valid[k], b[k] = True, x["bias"] or 0.0
+            ok.append(valid)
+            bias.append(b)
+        apart = np.abs(np.arange(r0, r0 + side)[:, None] - np.arange(c0, c0 + side)[None, :])
+        low = int(apart.min())
+        vec = np.zeros(int(apart.max()) - low + 1)
+        for x in dims._exp.iloc[0]:
+            if 0 <= (k := x["distance"] - low) < len(vec):
+                vec[k] = x["expected"] or 0.0
+        both = ok[0][:, None] & ok[1][None, :]
+        ex, value = vec[apart - low] * both, m * both * bias[0][:, None] * bias[1][None, :]
+        s_raw, s_val, s_exp, s_ok, ones = _area(m * both), _area(value), _area(ex), _area(both.astype(float)), _area(np.ones_like(m))
+        i, j = (x + halo for x in np.nonzero(m[halo : halo + tile, halo : halo + tile]))
+        use = ((c0 + j) - (r0 + i) >= p + far) & both[i, j]
+        i, j = i[use], j[use]
+        width, open_ = np.zeros(len(i), dtype=np.int64), np.arange(len(i))
+        for k in range(w, most_w + 1):
+            enough = neighbourhoods(s_raw, i[open_], j[open_], p, k, ("ll",))["ll"] >= least_reads
+            width[open_[enough]] = k
+            open_ = open_[~enough]
+        parts = []
+        for k in np.unique(width[width > 0]):
+            x, y = i[width == k], j[width == k]
+            a, b, seen, full = (neighbourhoods(s, x, y, p, int(k)) for s in (s_val, s_exp, s_ok, ones))
+            out = {"source": r0 + x, "sink": c0 + y, "weight": value[x, y], "w": np.full(len(x), k)}
+            scale = bias[0][x] * bias[1][y]
             for name in KINDS:
-                share = k[name] / full[name] if full[name] else 0.0
-                e = a[name] / b[name] * ex[i, j] if b[name] and share >= mappable else None
-                row += [e, float(value[i, j]) / e if e else None, share, chunk(e / (br[i] * bc[j])) if e and br[i] * bc[j] else None]
-            out.append(row)
-        frame = pd.DataFrame(out, columns=names)
-        for name in KINDS:
-            frame[f"chunk_{name}"] = frame[f"chunk_{name}"].astype("Int64")
-        return frame
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    share = np.where(full[name] > 0, seen[name] / full[name], 0.0)
+                    e = np.where((b[name] != 0) & (share >= mappable), a[name] / b[name] * ex[x, y], np.nan)
+                    e_raw = e / np.where(scale != 0, scale, np.nan)
+                out |= {f"e_{name}": e, f"oe_{name}": np.where(e > 0, value[x, y] / np.where(e > 0, e, 1), np.nan), f"mappability_{name}": share}
+                out[f"chunk_{name}"] = [float(chunk(v)) if v > 0 else np.nan for v in e_raw]
+            parts.append(pd.DataFrame(out))
+        if not parts:
+            return pd.DataFrame([], columns=names)
+        frame = pd.concat(parts, ignore_index=True)
+        frame.insert(0, "chromosome", pd.Series([cells.chromosome.iloc[0]] * len(frame), dtype=object))
+        return frame[names]
 
     shape = f"chromosome {kind}, source long, sink long, weight double, w int, " + ", ".join(f"e_{k} double, oe_{k} double, mappability_{k} double, chunk_{k} long" for k in KINDS)
-    return rows.groupBy("chromosome", "_r", "_c").applyInPandas(run, shape)
+    key = ("chromosome", "_r", "_c")
+    dims = _dimensions(placed, expected, regions, tile, halo).toDF("_k0", "_k1", "_k2", "_rows", "_columns", "_exp")
+    rows = placed.groupBy(*key).cogroup(dims.groupBy("_k0", "_k1", "_k2")).applyInPandas(run, shape)
+    nan = [f"{a}_{k}" for k in KINDS for a in ("e", "oe")]
+    return rows.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in nan})
 
 
 def poisson_tail(lam: float, n: int) -> np.ndarray:
@@ -160,6 +194,58 @@ def enriched(fdr: float = 0.1) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def _each(column: str, every: float | None, **own: float | None) -> dict[str, float]:
+    """Limits by neighbourhood: its own one, or the one for all."""
+    limits = {k: own.get(k) if own.get(k) is not None else every for k in KINDS}
+    return {f"{column}_{k}": v for k, v in limits.items() if v is not None}
+
+
+def peak_filters(
+    observed: float | None = None, distance: int | None = None, fdr: float | None = None, mappability: float | None = None, enrichment: float | None = None,
+    rao: bool = False, count: str = "weight", own: dict[str, dict[str, float]] | None = None,
+) -> dict[str, Column]:
+    """Conditions that keep a peak, by filter name, for masks.apply_filters.
+
+    fdr, mappability and enrichment hold for all four neighbourhoods; ``own`` has limits of single ones, such as
+    {"fdr": {"ll": 0.05}}. rao: both of donut and lower left at 1.75 or more, not both of horizontal and vertical below
+    1.5, the lower left below 2 only under a larger donut, and every rate at most 0.1. Where a neighbourhood has no
+    expected value, a peak fails enrichment and rao.
+    """
+    own = own or {}
+    out: dict[str, Column] = {}
+    if observed is not None:
+        out["observed"] = F.col(count) >= observed
+    if distance is not None:
+        out["distance"] = F.abs(F.col("source") - F.col("sink")) >= distance
+    known = F.lit(True)
+    for k in KINDS:
+        known = known & F.coalesce(F.col(f"e_{k}") != 0, F.lit(False))
+    for name, column, limit in (("fdr", "fdr", fdr), ("mappability", "mappability", mappability), ("enrichment", "oe", enrichment)):
+        limits = _each(column, limit, **own.get(name, {}))
+        if limits:
+            ok = known if name == "enrichment" else F.lit(True)
+            for c, v in limits.items():
+                ok = ok & (F.col(c) <= v if name == "fdr" else F.col(c) >= v)
+            out[name] = F.coalesce(ok, F.lit(False))
+    if rao:
+        d, ll, h, v = (F.col(f"oe_{k}") for k in ("d", "ll", "h", "v"))
+        ok = known & ~((d <= ll) & (ll < 2.0)) & ~((h < 1.5) & (v < 1.5)) & (d >= 1.75) & (ll >= 1.75)
+        for k in KINDS:
+            ok = ok & (F.col(f"fdr_{k}") <= 0.1)
+        out["rao"] = F.coalesce(ok, F.lit(False))
+    return out
+
+
+def merged_filters(singlet_q: float | None = 0.02, q_sum: float | None = None) -> dict[str, Column]:
+    """Conditions that keep a merged peak: single pixels up to a sum of rates, and all up to another."""
+    out = {}
+    if singlet_q is not None:
+        out["singlet"] = ~((F.col("radius") == 0) & (F.col("q_sum") > singlet_q))
+    if q_sum is not None:
+        out["q_sum"] = F.col("q_sum") <= q_sum
+    return out
+
+
 def merge_peaks(peaks: DataFrame, distance: float) -> DataFrame:
     """(chromosome, x, y, radius, n, weight, q_sum): from the strongest pixel on, near pixels join its cluster.
 

@@ -9,6 +9,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ordering import numbered
+
 MASK = "mask"
 
 
@@ -46,6 +48,10 @@ def statistics(df: DataFrame, bits: Mapping[str, int]) -> DataFrame:
 
 def ranks(df: DataFrame, *order: str, within: str | None = None) -> DataFrame:
     """rank: 0, 1, .. for visible rows and -1, -2, .. for masked ones, in the given order."""
-    seen = F.col(MASK) == 0
-    w = Window.partitionBy(*([within] if within else []), seen).orderBy(*order)
-    return df.withColumn("rank", F.when(seen, F.row_number().over(w) - 1).otherwise(-F.row_number().over(w)).cast("long"))
+    rows = df.withColumn("_seen", F.col(MASK) == 0)
+    if within:
+        w = Window.partitionBy(within, "_seen").orderBy(*order)
+        rows = rows.withColumn("_n", F.row_number().over(w) - 1)
+    else:
+        rows = numbered(rows, *order, by=("_seen",), name="_n")
+    return rows.withColumn("rank", F.when(F.col("_seen"), F.col("_n")).otherwise(-F.col("_n") - 1).cast("long")).drop("_seen", "_n")

@@ -6,6 +6,8 @@ Catalyst, which broadcasts them while they are small and shuffles them when they
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -62,10 +64,25 @@ def normalised(edges: DataFrame, bias: DataFrame) -> DataFrame:
 
 
 def possible_contacts(regions: DataFrame) -> DataFrame:
-    """(chromosome, distance, possible): pairs of valid bins of a chromosome by their distance in bins."""
-    v = regions.where("valid").select("chromosome", "ix")
-    rows = v.join(v.select("chromosome", F.col("ix").alias("other")), "chromosome").where("other >= ix")
-    return rows.groupBy("chromosome", (F.col("other") - F.col("ix")).alias("distance")).agg(F.count("*").alias("possible"))
+    """(chromosome, distance, possible): pairs of valid bins of a chromosome by their distance in bins.
+
+    That is the autocorrelation of the chromosome's row of valid bins, found by Fourier transform: a task holds one
+    number for each bin of a chromosome, and its work grows a little faster than they do.
+    """
+    kind = regions.schema["chromosome"].dataType.simpleString()
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        ix = pdf.ix.to_numpy(dtype=np.int64)
+        row = np.zeros(int(ix.max() - ix.min()) + 1)
+        row[ix - ix.min()] = 1
+        size = 1 << (2 * len(row) - 1).bit_length()
+        f = np.fft.rfft(row, size)
+        n = np.rint(np.fft.irfft(f * f.conj(), size)[: len(row)]).astype(np.int64)
+        d = np.flatnonzero(n)
+        return pd.DataFrame({"chromosome": pdf.chromosome.iloc[0], "distance": d, "possible": n[d]})
+
+    rows = regions.where("valid").select("chromosome", F.col("ix").cast("long").alias("ix"))
+    return rows.groupBy("chromosome").applyInPandas(count, f"chromosome {kind}, distance long, possible long")
 
 
 def expected(edges: DataFrame, regions: DataFrame) -> DataFrame:
@@ -157,13 +174,20 @@ def rebin_split(edges: DataFrame, overlap: DataFrame) -> DataFrame:
     return rows.select("_x.*", part.alias("weight")).where("weight > 0").groupBy("source", "sink").agg(F.sum("weight").alias("weight"))
 
 
-def downsample(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
+def downsample(edges: DataFrame, n: float | DataFrame, seed: int = 0) -> DataFrame:
     """n contacts drawn without replacement: all contacts are put in the order of a hash and the first n stay.
 
-    The hash order is cut by thresholds found on counts per hash range, so no global sort is needed.
+    n below 1 is a share of all contacts; another matrix stands for its total. The hash order is cut by
+    thresholds found on counts per hash range, so no global sort is needed.
     """
+    if isinstance(n, DataFrame):
+        n = n.agg(F.sum("weight")).first()[0] or 0
+    if 0 < n < 1:
+        n = int(n * (edges.agg(F.sum("weight")).first()[0] or 0))
+    n = int(n)
     rows = edges.select("source", "sink", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int"))).alias("i"))
-    rows = rows.withColumn("h", F.pmod(F.xxhash64("source", "sink", "i", F.lit(seed)), F.lit(1 << 40)))
+    digest = F.md5(F.concat_ws("|", "source", "sink", "i", F.lit(seed)).cast("binary"))
+    rows = rows.withColumn("h", F.conv(F.substring(digest, 1, 10), 16, 10).cast("long"))
     w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # 4096 ranges
     ranges = rows.groupBy(F.shiftright("h", 28).alias("b")).count().withColumn("before", F.coalesce(F.sum("count").over(w), F.lit(0)))
     inside = rows.withColumn("b", F.shiftright("h", 28)).join(ranges.where(F.col("before") < n), "b")

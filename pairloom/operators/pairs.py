@@ -9,17 +9,58 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.sequences import cigar_matched
+from .ordering import numbered
 
 SAME, INWARD, OUTWARD = 0, 1, 2
 
 
 def join_mates(left: DataFrame, right: DataFrame, name: str = "qname") -> DataFrame:
-    """Pairs single alignments of two files by read name; names with more than one alignment on a side are left out."""
+    """Pairs single alignments of two files by read name; names with more than one alignment on a side are left out (see pair_up)."""
     one = lambda df, p: df.groupBy(name).agg(F.count("*").alias(f"{p}_n"), *[F.first(c).alias(f"{p}_{c}") for c in df.columns if c != name])
     both = one(left, "left").join(one(right, "right"), name)
     return both.where("left_n = 1 and right_n = 1").drop("left_n", "right_n")
 
 
+def longest_match(pos: Column, cigar: Column) -> Column:
+    """struct(start, end): the first of the longest M or = blocks of an alignment on the reference; null without any."""
+    ops = F.transform(F.regexp_extract_all(cigar, F.lit("([0-9]+[MIDNSHP=X])"), F.lit(1)), lambda o: F.struct(F.regexp_extract(o, "^[0-9]+", 0).cast("long").alias("n"), F.right(o, F.lit(1)).alias("op")))
+    none = F.struct(pos.cast("long").alias("at"), F.lit(None).cast("long").alias("start"), F.lit(0).cast("long").alias("size"))
+
+    def step(state: Column, o: Column) -> Column:
+        best = o.op.isin("M", "=") & (o.n > state["size"])
+        moved = state["at"] + F.when(o.op.isin("M", "D", "N", "=", "X"), o.n).otherwise(0)
+        return F.struct(moved.alias("at"), F.when(best, state["at"]).otherwise(state["start"]).alias("start"), F.when(best, o.n).otherwise(state["size"]).alias("size"))
+
+    return F.aggregate(ops, none, step, lambda s: F.when(s["start"].isNotNull(), F.struct(s["start"].alias("start"), (s["start"] + s["size"]).alias("end"))))
+
+
+def pair_up(left: DataFrame, right: DataFrame, most: int = 100, name: str = "qname") -> DataFrame:
+    """(name, kind, left, right) of all names that two files of mapped alignments share.
+
+    kind: normal (one alignment on either side), chimeric (one and two, of which one lies on the locus of the single one,
+    its longest match within ``most`` bp; the other one is its partner), else abnormal, without alignments. Each side is a struct of the
+    alignment's columns; of a chimeric pair left is the partner.
+    """
+    columns = [c for c in left.columns if c != name]
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        one = F.struct(*columns, longest_match(F.col("pos"), F.col("cigar")).alias("_match"))
+        return df.groupBy(name).agg(F.array_sort(F.slice(F.collect_list(one), 1, 3)).alias(p))  # more than two are abnormal
+
+    rows = side(left, "_x").join(side(right, "_y"), name)
+    n, m = F.size("_x"), F.size("_y")
+    two, single = F.when(n == 2, F.col("_x")).otherwise(F.col("_y")), F.when(n == 2, F.col("_y")[0]).otherwise(F.col("_x")[0])
+    near = lambda a, b: (a.rname == b.rname) & (F.least(F.abs(a["_match"].start - b["_match"].end), F.abs(a["_match"].end - b["_match"].start)) <= most)
+    apart, close = F.filter(two, lambda a: ~near(a, single)), F.filter(two, lambda a: near(a, single))
+    matched = F.forall(two, lambda a: a["_match"].isNotNull()) & single["_match"].isNotNull()
+    chimeric = (n + m == 3) & matched & (F.size(apart) == 1) & (F.size(close) == 1)
+    kind = F.when((n == 1) & (m == 1), "normal").when(chimeric, "chimeric").otherwise("abnormal")
+    plain = lambda x: F.struct(*[x[c].alias(c) for c in columns])
+    rows = rows.withColumn("kind", kind).withColumn("_a", F.when(F.col("kind") == "normal", F.col("_x")[0]).when(F.col("kind") == "chimeric", F.get(apart, 0)))
+    rows = rows.withColumn("_b", F.when(F.col("kind") == "normal", F.col("_y")[0]).when(F.col("kind") == "chimeric", single))
+    return rows.select(name, "kind", F.when(F.col("_a").isNotNull(), plain(F.col("_a"))).alias("left"), F.when(F.col("_b").isNotNull(), plain(F.col("_b"))).alias("right"))
+
+
 def gap() -> Column:
     """right fragment start - left fragment end; 0 for the same or the adjacent fragment."""
     g = F.col("right_start") - F.col("left_end")
@@ -73,9 +114,12 @@ def ligation_bias(pairs: DataFrame, sampling: int) -> DataFrame:
     """
     rows = pairs.where(is_cis() & ~is_self_ligation()).select(gap().cast("long").alias("gap"), orientation().alias("type")).where("gap > 0")
     counts = rows.groupBy("gap", "type").count()
-    w = Window.orderBy("gap", "type").rowsBetween(Window.unboundedPreceding, -1)  # one row per distinct (gap, type)
     same = F.when(F.col("type") == SAME, F.col("count")).otherwise(0)
-    counts = counts.withColumn("before", F.coalesce(F.sum(same).over(w), F.lit(0)))
+    counts = counts.withColumn("_part", F.shiftright("gap", 16))  # 65,536 gaps
+    up_to = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    parts = counts.groupBy("_part").agg(F.sum(same).alias("_same")).select("_part", F.coalesce(F.sum("_same").over(up_to), F.lit(0)).alias("_base"))
+    w = Window.partitionBy("_part").orderBy("gap", "type").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.join(parts, "_part").withColumn("before", F.col("_base") + F.coalesce(F.sum(same).over(w), F.lit(0)))
     size = sampling + 1
     # Same-strand rows number before .. before+count-1: cut them by size; others all lie after `before` of them.
     lo = F.floor(F.col("before") / size)
@@ -128,7 +172,7 @@ def pcr_duplicates(pairs: DataFrame, threshold: int, *order: str) -> DataFrame:
     return rows.repartition(*run).sortWithinPartitions(*run, "_order").mapInPandas(scan, f"{names}, duplicate boolean")
 
 
-def exact_duplicates(pairs: DataFrame, *keys: str) -> Iterator[DataFrame]:
+def exact_duplicates(pairs: DataFrame, *keys: str) -> DataFrame:
     """The first row of each key, by all columns."""
     w = Window.partitionBy(*keys).orderBy(*[c for c in pairs.columns if c not in keys])
     return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
@@ -156,3 +200,8 @@ def alignments_by_name(reads: DataFrame, name: str = "qname") -> DataFrame:
 def nth(pairs: DataFrame, n: int, *order: str) -> DataFrame:
     """The n-th pair (from 0) in an order: the first n + 1 rows are found by top-k, not by a global sort."""
     return pairs.orderBy(*order).limit(n + 1).orderBy(*[F.desc(c) for c in order]).limit(1)
+
+
+def slice_of(pairs: DataFrame, start: int, stop: int, *order: str) -> DataFrame:
+    """The pairs at places start .. stop - 1 of an order."""
+    return numbered(pairs, *order, name="_n").where((F.col("_n") >= start) & (F.col("_n") < stop)).drop("_n")

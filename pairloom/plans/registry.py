@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import sequences
 from ..operators import aggregate, balance, compare, compartments, intervals, loops, masks, matrix, pairs, tracks
+from ..operators.ordering import numbered
 from . import view
 from .view import edges, regions, sql, table
 
@@ -112,7 +113,10 @@ def ligation_bias(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.ligation_bias(view.pairs(spark, sf), 50).select("bin", "gap", r6("inward_ratio", "inward_ratio"), r6("outward_ratio", "outward_ratio"), "n")
 
 
-@query()
+@query("pairs", f""", o AS (SELECT {PAIR}, left_position AS x, right_position AS y, left_chromosome AS c, right_chromosome AS d, row_number() OVER (PARTITION BY left_chromosome, right_chromosome ORDER BY left_position, right_position, {PAIR}) AS i FROM pairs),
+    s AS (WITH RECURSIVE r(c, d, i, ax, ay, dup) AS (SELECT c, d, i, x, y, false FROM o WHERE i = 1 UNION ALL
+    SELECT o.c, o.d, o.i, CASE WHEN abs(o.x - ax) <= 2 AND abs(o.y - ay) <= 2 THEN ax ELSE x END, CASE WHEN abs(o.x - ax) <= 2 AND abs(o.y - ay) <= 2 THEN ay ELSE y END, abs(o.x - ax) <= 2 AND abs(o.y - ay) <= 2 FROM r JOIN o ON o.c = r.c AND o.d = r.d AND o.i = r.i + 1) SELECT * FROM r)
+    SELECT {PAIR}, dup AS duplicate FROM o JOIN s ON o.c = s.c AND o.d = s.d AND o.i = s.i""")
 def pcr_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     p = view.pairs(spark, sf).select(*PAIR.split(", "), "left_chromosome", "right_chromosome", "left_position", "right_position")
     return pairs.pcr_duplicates(p, 2, *PAIR.split(", ")).select(*PAIR.split(", "), "duplicate")
@@ -169,10 +173,10 @@ def binned_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.binned(_windows(spark, sf), regions(spark, sf)).select("ix", r6("score", "score"))
 
 
-@query("regions", _WIN + "SELECT w.chromosome, w.start_ AS position, (SELECT arg_min(r.ix, r.end_) FROM regions r WHERE r.chromosome = w.chromosome AND r.end_ >= w.start_ AND r.ix % 3 = 0) AS ix FROM windows w")
+@query("regions", _WIN + "SELECT w.chromosome, w.start_ AS position, (SELECT arg_min(r.ix, r.end_) FROM regions r WHERE r.chromosome = w.chromosome AND r.end_ >= w.start_) AS ix FROM windows w")
 def nearest_region(spark: SparkSession, sf: str) -> DataFrame:
     p = _windows(spark, sf).select("chromosome", F.col("start").alias("position"))
-    return intervals.nearest(p, regions(spark, sf).where("ix % 3 = 0"))
+    return intervals.nearest(p, regions(spark, sf))
 
 
 @query("", "SELECT doc_id, round(length(regexp_replace(upper(text), '[^GC]', '', 'g')) / nullif(length(text), 0), 6) AS gc FROM documents")
@@ -293,7 +297,8 @@ def union_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return p.where("sample = 'A'").unionByName(p.where("sample <> 'N'")).groupBy("sample").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("edges", """, c AS (SELECT source, sink, unnest(range(1, weight + 1)) AS i FROM edges), h AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', source, sink, i, 0)), 1, 10) AS BIGINT) AS h FROM c)
+    SELECT source, sink, count(*) AS weight FROM (SELECT * FROM h ORDER BY h, source, sink, i LIMIT 5000) GROUP BY source, sink""")
 def downsample_hash(spark: SparkSession, sf: str) -> DataFrame:
     return matrix.downsample(edges(spark, sf), 5000)
 
@@ -476,22 +481,22 @@ def _pile(spark: SparkSession, sf: str, windows: DataFrame) -> DataFrame:
     return out.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6("value", "value"), "n")
 
 
-@query("extent ends", f", q AS (SELECT ix AS id, ix AS a, ix AS b FROM regions WHERE ix % 5 = 0), w AS (SELECT q.* FROM q {_INSIDE}) " + _PILE)
+@query("extent ends", f", q AS (SELECT ix AS id, ix AS a, ix AS b FROM regions), w AS (SELECT q.* FROM q {_INSIDE}) " + _PILE)
 def aggregate_center(spark: SparkSession, sf: str) -> DataFrame:
-    w = regions(spark, sf).where("ix % 5 = 0").select(F.col("ix").alias("id"), F.col("ix").alias("row"), F.col("ix").alias("column"))
+    w = regions(spark, sf).select(F.col("ix").alias("id"), F.col("ix").alias("row"), F.col("ix").alias("column"))
     return _pile(spark, sf, w)
 
 
 def _loops(spark: SparkSession, sf: str) -> DataFrame:
-    return regions(spark, sf).where("ix % 7 = 3").select(F.col("ix").alias("id"), F.col("ix").alias("row"), (F.col("ix") + 6 + F.col("ix") % 3).alias("column"))
+    return regions(spark, sf).select(F.col("ix").alias("id"), F.col("ix").alias("row"), (F.col("ix") + 6 + F.col("ix") % 3).alias("column"))
 
 
-@query("extent ends", f", q AS (SELECT ix AS id, ix AS a, ix + 6 + ix % 3 AS b FROM regions WHERE ix % 7 = 3), w AS (SELECT q.* FROM q {_INSIDE}) " + _PILE)
+@query("extent ends", f", q AS (SELECT ix AS id, ix AS a, ix + 6 + ix % 3 AS b FROM regions), w AS (SELECT q.* FROM q {_INSIDE}) " + _PILE)
 def aggregate_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return _pile(spark, sf, _loops(spark, sf))
 
 
-@query("extent oe", f""", oe2 AS (SELECT source AS bin, sink AS other, oe FROM oe UNION ALL SELECT sink, source, oe FROM oe WHERE source <> sink), l AS (SELECT r.ix AS id, r.ix AS a, r.ix + 6 + r.ix % 3 AS b, r.chromosome AS home FROM regions r WHERE r.ix % 7 = 3),
+@query("extent oe", f""", oe2 AS (SELECT source AS bin, sink AS other, oe FROM oe UNION ALL SELECT sink, source, oe FROM oe WHERE source <> sink), l AS (SELECT r.ix AS id, r.ix AS a, r.ix + 6 + r.ix % 3 AS b, r.chromosome AS home FROM regions r),
     k AS (SELECT id, home, k, a + k * (b - a) AS a, b + k * (b - a) AS b FROM l, (SELECT unnest([-1, 0, 1]) AS k)), q AS (SELECT k.* FROM k JOIN regions g ON g.ix = k.a AND g.chromosome = k.home JOIN regions h ON h.ix = k.b AND h.chromosome = k.home), w AS (SELECT q.* FROM q {_INSIDE}),
     span AS (SELECT unnest(range(-3, 4)) AS i), v AS (SELECT w.id, w.k, avg(coalesce(o.oe, 1.0)) AS m FROM w, span s, span t, valid x, valid y LEFT JOIN oe2 o ON o.bin = w.a + s.i AND o.other = w.b + t.i WHERE x.ix = w.a + s.i AND x.valid AND y.ix = w.b + t.i AND y.valid GROUP BY w.id, w.k),
     g AS (SELECT id, max(m) FILTER (k = 0) AS m, avg(m) FILTER (k <> 0) AS c FROM v GROUP BY id) SELECT id, round(log2(m / c), 6) AS strength FROM g WHERE m > 0 AND c > 0""")
@@ -501,10 +506,16 @@ def loop_strength(spark: SparkSession, sf: str) -> DataFrame:
     return aggregate.loop_strength(_loops(spark, sf), oe, v, 3).select("id", r6("strength", "strength"))
 
 
-@query()
+_DOMAINS = ", d AS (SELECT x.ix AS id, x.ix AS a, x.ix + {0} AS b, {0} + 1 AS n, x.first_, x.size_ FROM extent x), w AS (SELECT *, a - {1} AS lo, b + {1} AS hi FROM d WHERE a - {1} >= first_ AND b + {1} < first_ + size_)"
+
+
+@query("extent oe", _DOMAINS.format("6", "7") + """, c AS (SELECT w.id, CASE WHEN x.ix < w.a THEN 0 WHEN x.ix <= w.b THEN 1 ELSE 2 END AS s, CASE WHEN y.ix < w.a THEN 0 WHEN y.ix <= w.b THEN 1 ELSE 2 END AS t, coalesce(o.oe, 1.0) AS v
+    FROM w JOIN extent x ON x.ix BETWEEN w.lo AND w.hi AND x.valid JOIN extent y ON y.ix BETWEEN w.lo AND w.hi AND y.valid LEFT JOIN oe o ON o.source = least(x.ix, y.ix) AND o.sink = greatest(x.ix, y.ix)),
+    m AS (SELECT id, avg(v) FILTER (s = 1 AND t = 1) AS m, avg(v) FILTER (s = 0 AND t = 1) AS l, avg(v) FILTER (s = 1 AND t = 2) AS r FROM c GROUP BY id) SELECT id, round(CASE WHEN m > 0 AND l + r > 0 THEN log2(m / ((l + r) / 2)) END, 6) AS strength FROM m""")
 def tad_strength(spark: SparkSession, sf: str) -> DataFrame:
-    d = regions(spark, sf).where("ix % 50 in (10, 25)").select(F.col("ix").alias("id"), F.col("ix").alias("first"), (F.col("ix") + 6).alias("last"))
-    return aggregate.tad_strength(d, matrix.observed_expected(edges(spark, sf), view.valid(spark, sf)))
+    v = view.valid(spark, sf)
+    d = regions(spark, sf).select(F.col("ix").alias("id"), F.col("ix").alias("first"), (F.col("ix") + 6).alias("last"))
+    return aggregate.tad_strength(d, matrix.observed_expected(edges(spark, sf), v), v).select("id", r6("strength", "strength"))
 
 
 @query("oe tracks valid", """, cut AS (SELECT quantile_cont(score, [0.2, 0.4, 0.6, 0.8]) AS c FROM tracks t JOIN valid v ON t.ix = v.ix WHERE valid AND score IS NOT NULL), g AS (SELECT t.ix, t.chromosome, CAST(len(list_filter(c, lambda x: x < score)) AS BIGINT) AS g FROM tracks t JOIN valid v ON t.ix = v.ix, cut WHERE valid AND score IS NOT NULL)
@@ -520,16 +531,16 @@ def virtual_4c(spark: SparkSession, sf: str) -> DataFrame:
     return aggregate.virtual_4c(edges(spark, sf), 4, 6).select("ix", r6("score", "score"))
 
 
-@query("tracks", "SELECT o AS \"offset\", round(avg(score), 6) AS score, count(score) AS n FROM (SELECT ix AS spot, chromosome AS c FROM regions WHERE ix % 9 = 4), (SELECT unnest(range(-5, 6)) AS o) JOIN tracks t ON t.ix = spot + o AND t.chromosome = c GROUP BY o")
+@query("tracks", "SELECT o AS \"offset\", round(avg(score), 6) AS score, count(score) AS n FROM (SELECT ix AS spot, chromosome AS c FROM regions), (SELECT unnest(range(-5, 6)) AS o) JOIN tracks t ON t.ix = spot + o AND t.chromosome = c GROUP BY o")
 def meta_profile(spark: SparkSession, sf: str) -> DataFrame:
-    out = aggregate.meta_profile(view.tracks(spark, sf), regions(spark, sf).where("ix % 9 = 4"), 5)
+    out = aggregate.meta_profile(view.tracks(spark, sf), regions(spark, sf), 5)
     return out.select(F.col("offset").cast("long").alias("offset"), r6("score", "score"), "n")
 
 
-@query("extent ends", """, a AS (SELECT ix, CASE WHEN ix % 8 = 0 THEN 1 ELSE -1 END AS strand FROM extent WHERE ix % 4 = 0 AND ix - 5 >= first_ AND ix + 5 < first_ + size_), c AS (SELECT a.strand, d, side, coalesce(weight, 0) AS v FROM a, (SELECT unnest(range(1, 6)) AS d), (SELECT unnest([-1, 1]) AS side) LEFT JOIN ends e ON e.bin = a.ix AND e.other = a.ix + side * d)
+@query("extent ends", """, a AS (SELECT ix, CASE WHEN ix % 2 = 0 THEN 1 ELSE -1 END AS strand FROM extent WHERE ix - 5 >= first_ AND ix + 5 < first_ + size_), c AS (SELECT a.strand, d, side, coalesce(weight, 0) AS v FROM a, (SELECT unnest(range(1, 6)) AS d), (SELECT unnest([-1, 1]) AS side) LEFT JOIN ends e ON e.bin = a.ix AND e.other = a.ix + side * d)
     SELECT CAST(strand AS BIGINT) AS strand, d AS distance, round(avg(v) FILTER (side * strand > 0) / nullif(avg(v) FILTER (side * strand < 0), 0), 6) AS ratio FROM c GROUP BY strand, d""")
 def directionality_bias(spark: SparkSession, sf: str) -> DataFrame:
-    a = regions(spark, sf).where("ix % 4 = 0").select(F.col("ix").alias("id"), "ix", F.when(F.col("ix") % 8 == 0, 1).otherwise(-1).alias("strand"))
+    a = regions(spark, sf).select(F.col("ix").alias("id"), "ix", F.when(F.col("ix") % 2 == 0, 1).otherwise(-1).alias("strand"))
     out = aggregate.directionality_bias(a, edges(spark, sf), regions(spark, sf), 5)
     return out.select(F.col("strand").cast("long").alias("strand"), F.col("distance").cast("long").alias("distance"), r6("ratio", "ratio"))
 
@@ -551,13 +562,15 @@ def fdr_table(spark: SparkSession, sf: str) -> DataFrame:
 @query("oe", "SELECT chromosome, source, sink, weight FROM oe WHERE weight >= 2 AND distance >= 3 AND oe >= 1.2")
 def peak_filters(spark: SparkSession, sf: str) -> DataFrame:
     oe = matrix.observed_expected(edges(spark, sf), view.valid(spark, sf))
-    return oe.where("weight >= 2 and distance >= 3 and oe >= 1.2").select("chromosome", "source", "sink", "weight")
+    flat = {f"{a}_{k}": F.col(c) for k in loops.KINDS for a, c in (("e", "expected"), ("oe", "oe"))}
+    rows, _ = masks.apply_filters(oe.withColumns(flat), loops.peak_filters(observed=2, distance=3, enrichment=1.2))
+    return masks.visible(rows).select("chromosome", "source", "sink", "weight")
 
 
 @query()
 def enriched_peaks(spark: SparkSession, sf: str) -> DataFrame:
     p = loop_candidates(spark, sf)
-    return loops.with_fdr(p, loops.fdr_table(p)).where(loops.enriched(1.0)).select("chromosome", "source", "sink", "weight", *[f"fdr_{k}" for k in loops.KINDS])
+    return loops.with_fdr(p, loops.fdr_table(p)).where(loops.enriched()).select("chromosome", "source", "sink", "weight", *[f"fdr_{k}" for k in loops.KINDS])
 
 
 def _strong(spark: SparkSession, sf: str) -> DataFrame:
@@ -601,9 +614,13 @@ def insulation_geometric(spark: SparkSession, sf: str) -> DataFrame:
     return tracks.insulation(edges(spark, sf), view.valid(spark, sf), 3, geometric=True).select("ix", r6("score", "score"))
 
 
-@query()
+@query("expected", """, p AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY chromosome) AS n, sum(total) OVER w AS t, sum(possible) OVER w AS p FROM expected WINDOW w AS (PARTITION BY chromosome ORDER BY distance ROWS UNBOUNDED PRECEDING)),
+    k AS (SELECT chromosome, distance, i, n, unnest(range(n)) AS k FROM p), e AS (SELECT k.chromosome, k.distance, k.k, k.i - k.k <= 0 AND k.i + k.k + 1 >= k.n AS whole, z.t - coalesce(a.t, 0) AS t, z.p - coalesce(a.p, 0) AS p
+    FROM k JOIN p z ON z.chromosome = k.chromosome AND z.i = least(k.n - 1, k.i + k.k) LEFT JOIN p a ON a.chromosome = k.chromosome AND a.i = greatest(0, k.i - k.k) - 1)
+    SELECT chromosome, distance, round(arg_min(t / p, k), 6) AS expected FROM e WHERE t >= 400 OR whole GROUP BY chromosome, distance""")
 def smoothed_expected(spark: SparkSession, sf: str) -> DataFrame:
-    return tracks.smoothed_expected(matrix.expected(edges(spark, sf), view.valid(spark, sf)).where("chromosome is not null"), 400)
+    out = tracks.smoothed_expected(matrix.expected(edges(spark, sf), view.valid(spark, sf)).where("chromosome is not null"), 400)
+    return out.withColumn("expected", F.round("expected", 6))
 
 
 @query("edges", "SELECT 0 AS level, source, sink, weight FROM edges UNION ALL SELECT 1, source // 2, sink // 2, CAST(sum(weight) AS BIGINT) FROM edges GROUP BY ALL UNION ALL SELECT 2, source // 4, sink // 4, CAST(sum(weight) AS BIGINT) FROM edges GROUP BY ALL")
@@ -616,17 +633,20 @@ def background_ligation_filter(spark: SparkSession, sf: str) -> DataFrame:
     return matrix.above_background(edges(spark, sf), view.valid(spark, sf), 1.5)
 
 
-@query("extent ends", f", q AS (SELECT ix AS id, ix AS a, ix AS b FROM regions WHERE ix % 5 = 0), w AS (SELECT q.* FROM q {_INSIDE}) " + _PILE.replace("round(avg(v), 6)", "round(avg(v) * pow(abs(i - j) * 1000 + 1000, -0.25), 6)"))
+@query("extent ends", f", q AS (SELECT ix AS id, ix AS a, ix AS b FROM regions), w AS (SELECT q.* FROM q {_INSIDE}) " + _PILE.replace("round(avg(v), 6)", "round(avg(v) * pow(abs(i - j) * 1000 + 1000, -0.25), 6)"))
 def aggregate_rescaled(spark: SparkSession, sf: str) -> DataFrame:
-    w = regions(spark, sf).where("ix % 5 = 0").select(F.col("ix").alias("id"), F.col("ix").alias("row"), F.col("ix").alias("column"))
+    w = regions(spark, sf).select(F.col("ix").alias("id"), F.col("ix").alias("row"), F.col("ix").alias("column"))
     out = aggregate.rescaled(aggregate.pile_up(w, edges(spark, sf), view.valid(spark, sf), 3), 1000)
     return out.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6("value", "value"), "n")
 
 
-@query()
+@query("extent oe", _DOMAINS.format("(4 + x.ix % 4)", "n") + """, g AS (SELECT w.id, i, j, lo + CAST(floor((i + 0.5) * (hi - lo + 1) / 15) AS BIGINT) AS x, lo + CAST(floor((j + 0.5) * (hi - lo + 1) / 15) AS BIGINT) AS y FROM w, (SELECT unnest(range(15)) AS i), (SELECT unnest(range(15)) AS j))
+    SELECT i, j, round(avg(coalesce(o.oe, 1.0)), 6) AS value, count(*) AS n FROM g JOIN valid p ON p.ix = g.x AND p.valid JOIN valid q ON q.ix = g.y AND q.valid LEFT JOIN oe o ON o.source = least(g.x, g.y) AND o.sink = greatest(g.x, g.y) GROUP BY i, j""")
 def aggregate_domains(spark: SparkSession, sf: str) -> DataFrame:
-    d = regions(spark, sf).where("ix % 50 in (12, 27)").select(F.col("ix").alias("id"), F.col("ix").alias("first"), (F.col("ix") + 4 + F.col("ix") % 4).alias("last"))
-    return aggregate.pile_up_domains(d, matrix.observed_expected(edges(spark, sf), view.valid(spark, sf)), 15)
+    v = view.valid(spark, sf)
+    d = regions(spark, sf).select(F.col("ix").alias("id"), F.col("ix").alias("first"), (F.col("ix") + 4 + F.col("ix") % 4).alias("last"))
+    out = aggregate.pile_up_domains(d, matrix.observed_expected(edges(spark, sf), v), v, 15)
+    return out.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6("value", "value"), "n")
 
 
 @query("oe tracks valid", ORACLES["saddle"][ORACLES["saddle"].index(", cut AS"):].replace("SELECT greatest(x.g", ", s AS (SELECT greatest(x.g").replace("round(avg(coalesce(oe, 1.0)), 6)", "avg(coalesce(oe, 1.0))").replace("    , s AS", ", s AS") + """) SELECT round(ln(max(value) FILTER (a = 4 AND b = 4) * max(value) FILTER (a = 0 AND b = 0) / pow(max(value) FILTER (a = 4 AND b = 0), 2)), 6) AS strength FROM s""")
@@ -642,10 +662,10 @@ def nth_pair(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Ordering, statistics, streaming -------------------------------------------------------------------
-@query("", "SELECT p_name, row_number() OVER (ORDER BY p_partkey) AS n FROM part WHERE p_partkey <= 200")
+@query("", "SELECT p_brand, p_partkey, row_number() OVER (ORDER BY CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT), p_partkey) - 1 AS n FROM part")
 def natural_sort(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "part").where("p_partkey <= 200").withColumn("_k", sequences.natural_key(F.concat(F.lit("part"), F.col("p_partkey").cast("string"))))
-    return t.select("p_name", F.row_number().over(Window.orderBy("_k")).cast("long").alias("n"))
+    t = table(spark, sf, "part").select("p_brand", "p_partkey", sequences.natural_key(F.col("p_brand")).alias("_k"))
+    return numbered(t, "_k", "p_partkey").drop("_k")
 
 
 @query("geometry", "SELECT round(quantile_cont(re, 0.5), 6) AS median, round(quantile_cont(re, 0.95), 6) AS p95 FROM geometry")

@@ -129,7 +129,7 @@ def test_eigenvector_splits_two_blocks(spark):
 def test_domains_of_other_sizes_are_brought_to_one(spark):
     e = spark.createDataFrame([(i, j, 3.0) for a, b in ((10, 13), (30, 37)) for i in range(a, b + 1) for j in range(i, b + 1)], "source long, sink long, oe double")
     d = spark.createDataFrame([(1, 10, 13), (2, 30, 37)], "id long, first long, last long")
-    got = {(x.i, x.j): x.value for x in aggregate.pile_up_domains(d, e, 12).collect()}
+    got = {(x.i, x.j): x.value for x in aggregate.pile_up_domains(d, e, bins(spark, 60), 12).collect()}
     assert got == {(i, j): 3.0 if 4 <= i < 8 and 4 <= j < 8 else 1.0 for i in range(12) for j in range(12)}
 
 
