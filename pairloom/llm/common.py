@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -97,6 +98,12 @@ class WordHashes:
         return (h ^ h >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets the driver collect what nothing refers to: shuffle files of finished plans go with their objects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of edges (u long, v long) by alternating large-star and small-star.
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import postings
-from .common import WordHashes, columns, components, staged, unused
+from .common import WordHashes, columns, components, dropped, released, staged, unused
 
 WORDS, SEED, DISTANCE, GROUP = 3, 42, 2, 1024
 CHUNK = 1 << 15
@@ -325,14 +325,26 @@ def _verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame) -> DataFrame:
 
     of = _sets(docs, kinds, pairs.select(F.explode(F.array("u", "v")).alias("id")))
     both = pairs.join(of.select(F.col("id").alias("u"), "s"), "u").join(of.select(F.col("id").alias("v"), F.col("s").alias("r")), "v")
-    return staged(both.select("u", "v", "s", "r").mapInArrow(run, "u long, v long"), "simhash-similar")
+    links = staged(both.select("u", "v", "s", "r").mapInArrow(run, "u long, v long"), "simhash-similar")
+    dropped(of)
+    del both, of
+    released(docs.sparkSession)
+    return links
 
 
 def similar_sets(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     """Links (u, v) of set ids that connect exactly what similar sets connect."""
     entries = (kinds.agg(F.sum("n")).first()[0] or 0) // SIMILAR[1]
     found = staged(postings.candidates(postings.packed(kinds.select("id", "keys"), _entries, postings.buckets_for(entries)), SHARED), "simhash-candidates")
-    links = _verified(docs, kinds, _likely(found.where("role = 0").select("a", "b").distinct(), kinds))
+    # Whole sets travel with pairs, so each set meets its smallest partner first; then those pairs that this leaves apart.
+    likely = _likely(found.where("role = 0").select("a", "b").distinct(), kinds)
+    first = staged(likely.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "simhash-first")
+    links = _verified(docs, kinds, first)
+    part = components(links, "simhash-near")
+    rest = likely.join(first, ["u", "v"], "left_anti")
+    for end, c in (("u", "x"), ("v", "y")):
+        rest = rest.join(part.select(F.col("u").alias(end), F.col("component").alias(c)), end, "left").withColumn(c, F.coalesce(c, end))
+    links = links.unionByName(_verified(docs, kinds, staged(rest.where("x <> y").select("u", "v"), "simhash-others")))
     members = found.where("role > 0").select("key", F.col("a").alias("id"), "role")
     if members.isEmpty():
         return links
