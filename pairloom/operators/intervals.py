@@ -5,6 +5,8 @@ Range conditions become equi-joins on (chromosome, bucket), so no plan falls bac
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ordering import numbered
@@ -20,9 +22,28 @@ def fixed_bins(chromosomes: DataFrame, size: int) -> DataFrame:
     return rows.join(before, "chromosome").select((F.col("_first") + F.floor((F.col("start") - 1) / size)).cast("long").alias("ix"), "chromosome", "start", "end")
 
 
-def cut_sites(sequences: DataFrame, site: str, offset: int = 0) -> DataFrame:
-    """(name, position): 0-based starts of a site (N stands for any letter), overlapping ones included, plus an offset."""
-    cut = "(?i)(?=" + site.upper().replace("N", "[ACGTN]") + ")"
+#: Letters that stand for several ones in a site (fixed values).
+AMBIGUOUS = {"N": "ACGTN", "R": "AG", "Y": "CT", "W": "AT", "S": "CG", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG"}
+_OPPOSITE = str.maketrans("ACGTRYKMBDHV", "TGCAYRMKVHDB")
+
+
+def site_pattern(site: str, ambiguous: bool = True) -> str:
+    """A regular expression of a site; letters for several ones are character classes."""
+    return "".join(f"[{AMBIGUOUS[c]}]" if ambiguous and c in AMBIGUOUS else c for c in site.upper())
+
+
+def cut_sites(sequences: DataFrame, site: str, offset: int = 0, ambiguous: tuple[str, ...] | bool = ("N",), both_strands: bool = False) -> DataFrame:
+    """(name, position): 0-based starts of a site, overlapping ones included, plus an offset.
+
+    ambiguous: letters of the site that stand for several ones (True: all of AMBIGUOUS). With both_strands also where the other
+    strand has the site, cut at the same distance from its end.
+    """
+    if both_strands:
+        other = site.upper().translate(_OPPOSITE)[::-1]
+        one = cut_sites(sequences, site, offset, ambiguous)
+        return one if other == site.upper() else one.unionByName(cut_sites(sequences, other, len(site) - offset, ambiguous)).distinct()
+    letters = set(AMBIGUOUS) if ambiguous is True else set(ambiguous or ())
+    cut = "(?i)(?=" + "".join(site_pattern(c) if c in letters else c for c in site.upper()) + ")"
     rows = sequences.select("name", F.posexplode(F.split("sequence", cut, -1)).alias("_i", "_part"))
     w = Window.partitionBy("name").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("position", F.coalesce(F.sum(F.length("_part")).over(w), F.lit(0)))
@@ -31,9 +52,11 @@ def cut_sites(sequences: DataFrame, site: str, offset: int = 0) -> DataFrame:
     return rows.select("name", (F.col("position") + offset).cast("long").alias("position"))
 
 
-def digest(sequences: DataFrame, site: str, offset: int = 0) -> DataFrame:
-    """(chromosome, start, end) of the fragments between cut sites."""
-    cuts = cut_sites(sequences, site, offset).join(sequences.select("name", F.length("sequence").cast("long").alias("_l")), "name").where("position > 0 and position < _l").select("name", "position")
+def digest(sequences: DataFrame, site: str | list[tuple[str, int]], offset: int = 0) -> DataFrame:
+    """(chromosome, start, end) of the fragments between cut sites; of several enzymes, [(site, offset)], between those of any."""
+    sites = [(site, offset)] if isinstance(site, str) else site
+    cuts = functools.reduce(DataFrame.unionByName, [cut_sites(sequences, s, o, ambiguous=True) for s, o in sites])
+    cuts = cuts.join(sequences.select("name", F.length("sequence").cast("long").alias("_l")), "name").where("position > 0 and position < _l").select("name", "position")
     ends = cuts.unionByName(sequences.select("name", F.length("sequence").cast("long").alias("position"))).where("position > 0").distinct()
     w = Window.partitionBy("name").orderBy("position")
     return ends.select(F.col("name").alias("chromosome"), (F.coalesce(F.lag("position").over(w), F.lit(0)) + 1).alias("start"), F.col("position").alias("end"))
@@ -84,6 +107,20 @@ def binned(scores: DataFrame, bins: DataFrame) -> DataFrame:
     return bins.select("ix").join(hit, "ix", "left")
 
 
+def smoothed(scores: DataFrame, w: int, fill: float | None = None) -> DataFrame:
+    """(chromosome, ix, score): sliding means of w bins on either side; nulls and NaN count as ``fill``, or not at all."""
+    clean = F.nanvl(F.col("score"), F.lit(None).cast("double"))
+    rows = scores.withColumn("score", clean if fill is None else F.coalesce(clean, F.lit(fill)))
+    frame = Window.partitionBy("chromosome").orderBy("ix").rowsBetween(-w, w)
+    return rows.select("chromosome", "ix", F.avg("score").over(frame).alias("score"))
+
+
+def share_of_new(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(old_ix, new_ix, share): for each pair of overlapping regions the share of the new one that the old one covers."""
+    hit = overlaps(old.select("ix", "chromosome", "start", "end"), new.select("ix", "chromosome", "start", "end"))
+    return hit.select(F.col("ix").alias("old_ix"), F.col("b_ix").alias("new_ix"), (F.col("overlap") / (F.col("b_end") - F.col("b_start") + 1)).alias("share"))
+
+
 def nearest(points: DataFrame, regions: DataFrame, position: str = "position") -> DataFrame:
     """As-of join: adds the ix of the first region whose end is at or after each point (null if there is none)."""
     y = regions.select("chromosome", F.col("end").alias("_p"), F.lit(1).alias("_kind"), F.col("ix").alias("_ix"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -19,9 +20,11 @@ def log2_or_null(x: Column) -> Column:
     return F.when(x > 0, F.log2(x))
 
 
-def insulation(edges: DataFrame, regions: DataFrame, w: int, offset: int = 0, normalise: bool = True, log: bool = True, sliding: int | None = None, subtract: bool = False, geometric: bool = False) -> DataFrame:
+def insulation(edges: DataFrame, regions: DataFrame, w: int, offset: int = 0, normalise: bool = True, log: bool = True, sliding: int | None = None, subtract: bool = False, geometric: bool = False, impute: DataFrame | None = None) -> DataFrame:
     """(ix, score): the mean weight of the w x w square that spans each bin, over the chromosome's mean, log2.
 
+    With impute (chromosome, distance, expected) cells with an invalid bin count with their expected value.
+
     The mean may be that of ``sliding`` bins on either side, and geometric (zeros left out); it is divided by or subtracted.
 
     An edge (s, t) is in the squares of bins k with s <= k - off, t >= k + off, s > k - off - w, t < k + off + w,
@@ -37,6 +40,15 @@ def insulation(edges: DataFrame, regions: DataFrame, w: int, offset: int = 0, no
     rows = regions.select("ix", "chromosome", "valid")
     rows = rows.withColumn("_v", F.coalesce(F.sum(bad).over(by.rowsBetween(-off - w + 1, -off)), F.lit(0))).withColumn("_h", F.coalesce(F.sum(bad).over(by.rowsBetween(off, off + w - 1)), F.lit(0)))
     rows = chromosome_range(rows).join(hits, "ix", "left")
+    if impute is not None:
+        span = F.sequence(F.lit(0), F.lit(w - 1))
+        holes = rows.where("_v > 0 or _h > 0").select("ix", "chromosome", F.explode(span).alias("_x")).select("*", F.explode(span).alias("_y"))
+        holes = holes.select("ix", "chromosome", (F.col("ix") - off - F.col("_x")).alias("_i"), (F.col("ix") + off + F.col("_y")).alias("_j"), (2 * off + F.col("_x") + F.col("_y")).alias("distance"))
+        wrong = regions.where("not valid").select("ix", F.lit(True).alias("_bad"))
+        for end in ("_i", "_j"):
+            holes = holes.join(wrong.select(F.col("ix").alias(end), F.col("_bad").alias(f"_bad{end}")), end, "left")
+        holes = holes.where("_bad_i or _bad_j").join(impute.where("chromosome is not null").select("chromosome", "distance", "expected"), ["chromosome", "distance"])
+        rows = rows.join(holes.groupBy("ix").agg(F.sum("expected").alias("_filled")), "ix", "left").withColumn("_sum", F.coalesce("_sum", F.lit(0)) + F.coalesce("_filled", F.lit(0.0))).withColumn("_v", F.lit(0)).withColumn("_h", F.lit(0))
     k, n = F.col("ix") - F.col("_first"), F.col("_size")
     na = w * F.col("_v") + w * F.col("_h") - F.col("_v") * F.col("_h")
     ends = (k - off < w - 1) | (k + off > n - w)
@@ -49,6 +61,12 @@ def insulation(edges: DataFrame, regions: DataFrame, w: int, offset: int = 0, no
     return rows.select("ix", (log2_or_null(score) if log else score).alias("score"))
 
 
+def insulation_windows(edges: DataFrame, regions: DataFrame, windows: list[int], **how: object) -> DataFrame:
+    """(w, ix, score): insulation by several window sizes."""
+    out = [insulation(edges, regions, w, **how).select(F.lit(w).alias("w"), "ix", "score") for w in windows]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 def directionality(edges: DataFrame, regions: DataFrame, w: int) -> DataFrame:
     """(ix, score): signed chi-square-like excess of downstream over upstream contacts within w bins."""
     rows = chromosome_range(regions.select("ix", "chromosome", "valid"))
@@ -115,8 +133,11 @@ def _slopes(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def call_boundaries(x: np.ndarray, w: int, maxima: bool = False) -> list[tuple[int, float]]:
-    """(index, score) of the minima (or maxima) of a track: zero crossings of its delta, scored by prominence."""
+def call_boundaries(x: np.ndarray, w: int, maxima: bool = False, least: float | None = None, sub_bin: bool = False) -> list[tuple[float, float]]:
+    """(index, score) of the minima (or maxima) of a track: zero crossings of its delta, scored by prominence.
+
+    Those below ``least`` go; with sub_bin an index is where the line between two bins crosses zero.
+    """
     x = np.asarray(x, dtype=float)
     n = len(x)
     d = np.full(n, np.nan)
@@ -125,31 +146,40 @@ def call_boundaries(x: np.ndarray, w: int, maxima: bool = False) -> list[tuple[i
         if len(a) and len(b) and np.isfinite(a).any() and np.isfinite(b).any():
             d[i] = np.nanmean(a) - np.nanmean(b)
 
-    def crossings(v: np.ndarray) -> np.ndarray:
+    def places(v: np.ndarray) -> np.ndarray:
         i = np.flatnonzero(np.isfinite(v[:-1]) & np.isfinite(v[1:]) & (np.sign(v[:-1]) * np.sign(v[1:]) < 0))
-        return np.unique(np.rint(i + v[i] / (v[i] - v[i + 1])).astype(int))
+        return i + v[i] / (v[i] - v[i + 1])
+
+    def crossings(v: np.ndarray) -> np.ndarray:
+        return np.unique(np.rint(places(v)).astype(int))
 
     filled = np.where(np.isfinite(d), d, 0.0)
     slope = _slopes(filled, w)
     extremes = crossings(slope)
     out = []
+    exact = {int(np.rint(f)): float(f) for f in places(d)[::-1]}
     for i in crossings(d):
         if (slope[i] > 0) == (not maxima):
             left, right = extremes[extremes < i], extremes[extremes > i]
             a = d[left[-1]] if len(left) else np.nan
             b = d[right[0]] if len(right) else np.nan
             if np.isfinite(a) and np.isfinite(b):
-                out.append((int(i), float(abs(a - b))))
-    return out
+                out.append((exact[int(i)] if sub_bin else int(i), float(abs(a - b))))
+    return [x for x in out if least is None or x[1] >= least]
 
 
-def boundaries(scores: DataFrame, w: int = 3, maxima: bool = False, *by: str) -> DataFrame:
-    """(.., ix, prominence) of each track; a track has one number per bin and is called in one task."""
+def boundaries(scores: DataFrame, w: int = 3, maxima: bool = False, *by: str, least: float | None = None, log: bool = False) -> DataFrame:
+    """(.., ix, prominence) of each track, on log2 scores if asked for; a track has one number per bin and is called in one task.
+
+    ``by`` may name several columns, such as a window size: each of their values is a track.
+    """
+    if log:
+        scores = scores.withColumn("score", log2_or_null(F.col("score")))
     names = "".join(f"{c} {scores.schema[c].dataType.simpleString()}, " for c in by)
 
     def call(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ix")
-        got = call_boundaries(pdf.score.to_numpy(dtype=float), w, maxima)
+        got = call_boundaries(pdf.score.to_numpy(dtype=float), w, maxima, least)
         out = pd.DataFrame({"ix": pdf.ix.to_numpy()[[i for i, _ in got]], "prominence": [s for _, s in got]})
         for k, c in enumerate(by):
             out.insert(k, c, pdf[c].iloc[0])

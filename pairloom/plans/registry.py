@@ -682,7 +682,7 @@ def distance_decay(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("pairs", "SELECT source, sink, count(*) AS weight FROM pairs GROUP BY source, sink")
 def incremental_contacts(spark: SparkSession, sf: str) -> DataFrame:
-    """The batch form of the streaming count; tests/test_streaming.py holds the stream against it."""
+    """The batch form of the streaming count; tests/test_operators.py holds the stream against it."""
     from ..streaming.contacts import incremental_edges
 
     return incremental_edges(view.pairs(spark, sf))

@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import re
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.sequences import bases, natural_key
+from ..operators import intervals
+from ..operators.matrix import with_ends
+from ..operators.ordering import numbered
+from . import binary
+
 SAM = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
 VALID_PAIRS = {"chromosome": (1, 4), "position": (2, 5), "strand": (3, 6)}
 
@@ -27,7 +38,7 @@ def read_sam(spark: SparkSession, path: str, unmapped: bool = False) -> DataFram
     kinds = {"flag": "int", "pos": "long", "mapq": "int", "pnext": "long", "tlen": "long"}
     cols = [F.get(c, i).cast(kinds.get(n, "string")).alias(n) for i, n in enumerate(SAM)]
     tags = F.transform(F.slice(c, 12, 1 << 20), lambda t: F.struct(F.substr(t, F.lit(1), F.lit(2)), F.substr(t, F.lit(6))))
-    rows = spark.read.text(path).where("not value like '@%' and value <> ''").select(*cols, F.map_from_entries(tags).alias("tags"))
+    rows = spark.read.text(path).where("not value like '@%' and value <> ''").select(*cols, F.map_from_entries(F.filter(tags, lambda t: t["col1"] != "")).alias("tags"))
     rows = rows.withColumn("strand", F.when(F.col("flag").bitwiseAND(F.lit(16)) != 0, -1).otherwise(1).cast("byte"))
     return rows if unmapped else rows.where(F.col("flag").bitwiseAND(F.lit(4)) == 0)
 
@@ -163,11 +174,124 @@ def read_matrix(spark: SparkSession, path: str, rows: tuple[int, int] | None = N
     return e.drop("source_part", "sink_part"), spark.read.parquet(f"{path}/regions")
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """Reads a file by what its name ends with."""
+#: Fields of HiC-Pro valid pairs: name, then chromosome, position and strand of both ends.
+HIC_PRO = {"chromosome": (1, 4), "position": (2, 5), "strand": (3, 6)}
+
+
+def read_hicpro_pairs(spark: SparkSession, path: str) -> DataFrame:
+    return read_pairs(spark, path, "\t", HIC_PRO)
+
+
+def read_genome(spark: SparkSession, *paths: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """(name, sequence) of FASTA files or folders of them, without the excluded names."""
+    rows = functools.reduce(DataFrame.unionByName, [read_fasta(spark, p) for p in paths])
+    return rows.where(~F.col("name").isin(*exclude)) if exclude else rows
+
+
+def genome_regions(spark: SparkSession, source: str, genome: DataFrame | None = None) -> DataFrame:
+    """Regions from a file, or of a genome: bins of a size such as ``10kb``, or fragments of a cut site such as ``GATC`` or ``A^AGCTT,GATC``."""
+    if genome is None:
+        return load(spark, source)
+    if re.fullmatch(r"[ACGTNRYWSKMBDHV^,]+", source.upper()):
+        sites = [(x.replace("^", ""), max(0, x.find("^"))) for x in source.upper().split(",")]
+        return numbered(intervals.digest(genome, sites), "chromosome", "start", name="ix")
+    return intervals.fixed_bins(genome.select(F.col("name").alias("chromosome"), F.length("sequence").alias("length")), bases(source))
+
+
+def read_regions(spark: SparkSession, path: str) -> DataFrame:
+    """Regions of a BED file with ix by chromosome and start; a unique fourth column is kept as id."""
+    rows = numbered(read_bed(spark, path), "chromosome", "start", "end", name="ix")
+    return rows.select("ix", "chromosome", "start", "end", F.col("name").alias("id"))
+
+
+def read_contacts_by_id(spark: SparkSession, path: str, regions: DataFrame, sep: str = "\t") -> DataFrame:
+    """Sparse triplets whose bins are named by the regions' id."""
+    rows = spark.read.csv(path, sep=sep, comment="#", schema="a string, b string, weight double").where("weight <> 0")
+    for c in ("a", "b"):
+        rows = rows.join(regions.select(F.col("id").alias(c), F.col("ix").alias(f"{c}_ix")), c)
+    return rows.select(F.least("a_ix", "b_ix").alias("source"), F.greatest("a_ix", "b_ix").alias("sink"), "weight")
+
+
+def write_fastq_chunks(reads: DataFrame, path: str, size: int) -> None:
+    """FASTQ files of at most ``size`` reads (name, sequence, quality), gzipped."""
+    rows = reads.select(F.concat_ws("\n", F.concat(F.lit("@"), "name"), "sequence", F.lit("+"), "quality").alias("value"))
+    rows.write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", size).text(path)
+
+
+def _sam_line() -> F.Column:
+    tags = F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.when(e["value"].rlike("^-?[0-9]+$"), ":i:").otherwise(":Z:"), e["value"]))
+    return F.concat_ws("\t", *[F.col(c).cast("string") for c in SAM], F.when(F.size("tags") > 0, F.array_join(tags, "\t")))
+
+
+def write_sam(reads: DataFrame, path: str, by_name: bool = False, size: int | None = None) -> None:
+    """Alignments of read_sam as headerless SAM text; sorted by name (natural order) and cut into files of ``size`` lines if asked for.
+
+    Several inputs are merged by uniting them first.
+    """
+    rows = reads.orderBy(natural_key(F.col("qname")), "flag") if by_name else reads
+    rows.select(F.rtrim(_sam_line()).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", size or 0).text(path)
+
+
+def dump(edges: DataFrame, regions: DataFrame, path: str, log2: bool = False, only_intra: bool = False, by_region: bool = True) -> None:
+    """Sparse text of a matrix (weights as they are, or log2), by regions or by bin numbers, of all or of cis edges."""
+    rows = with_ends(edges, regions, "chromosome", "start", "end")
+    if only_intra:
+        rows = rows.where("source_chromosome = sink_chromosome")
+    value = F.when(F.col("weight") > 0, F.log2("weight")) if log2 else F.col("weight")
+    ends = [F.col(f"{e}_{c}") for e in ("source", "sink") for c in ("chromosome", "start", "end")] if by_region else [F.col("source"), F.col("sink")]
+    _text(rows.orderBy("source", "sink"), path, *ends, value)
+
+
+def write_table(table: DataFrame, path: str) -> None:
+    """A small result (statistics, expected values, cis/trans ratios, components) as one tab-separated file with a header."""
+    table.coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+
+
+def count_lines(spark: SparkSession, path: str) -> int:
+    return spark.read.text(path).count()
+
+
+def dummy_matrix(spark: SparkSession, sizes: tuple[int, ...] = (5, 3, 4), bin_size: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(edges, regions) of a small full matrix: the weight of an edge is 1 + source + sink."""
+    rows, ix = [], 0
+    for c, n in enumerate(sizes):
+        for k in range(n):
+            rows.append((ix, f"chr{c + 1}", k * bin_size + 1, (k + 1) * bin_size, True))
+            ix += 1
+    edges = spark.range(ix).select(F.col("id").alias("source"), F.explode(F.sequence("id", F.lit(ix - 1))).alias("sink"))
+    return edges.withColumn("weight", (1 + F.col("source") + F.col("sink")).cast("double")), spark.createDataFrame(rows, "ix long, chromosome string, start long, end long, valid boolean")
+
+
+def sniff(spark: SparkSession, path: str) -> str:
+    """What a file is by its first bytes: hic, npy, bam, gzip, hdf5, fasta, fastq, sam, pairs, text or parquet."""
+    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4096).alias("h")).first()
+    b = bytes(head.h) if head else b""
+    if b[:2] == b"\x1f\x8b":
+        try:
+            b = zlib.decompressobj(31).decompress(b, 4096)
+        except zlib.error:
+            return "gzip"
+    for start, kind in ((b"HIC\0", "hic"), (b"\x93NUMPY", "npy"), (b"BAM\1", "bam"), (b"\x89HDF", "hdf5"), (b"PAR1", "parquet"), (b"@HD\t", "sam"), (b"@SQ\t", "sam"), (b"@PG\t", "sam"), (b"## pairs", "pairs"), (b">", "fasta"), (b"@", "fastq")):
+        if b.startswith(start):
+            return kind
+    return "text"
+
+
+def load(spark: SparkSession, path: str) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Reads a file by what its name ends with, or else by what it holds; .hic files (``file@resolution@norm``) and matrix folders give (edges, regions)."""
     name = path.lower().removesuffix(".gz")
-    kinds = {(".fa", ".fasta"): read_fasta, (".fq", ".fastq"): read_fastq, (".sam",): read_sam, (".bed", ".narrowpeak"): read_bed, (".gff", ".gtf", ".gff3"): read_gff, (".bedpe",): read_bedpe, (".pairs",): read_4dn_pairs, (".validpairs", ".allvalidpairs"): read_pairs, (".sizes",): read_sizes}
+    if ".hic" in name and name.split("@")[0].endswith(".hic"):
+        return binary.read_hic(spark, path)
+    kinds = {(".fa", ".fasta"): read_fasta, (".fq", ".fastq"): read_fastq, (".sam",): read_sam, (".bam",): binary.read_bam, (".npy",): binary.read_npy, (".bed", ".narrowpeak"): read_bed, (".gff", ".gtf", ".gff3"): read_gff, (".bedpe",): read_bedpe, (".pairs",): read_4dn_pairs, (".validpairs", ".allvalidpairs"): read_hicpro_pairs, (".sizes",): read_sizes}
     for ends, reader in kinds.items():
         if name.endswith(ends):
             return reader(spark, path)
-    return spark.read.parquet(path)
+    if name.endswith(".parquet"):
+        return spark.read.parquet(path)
+    if os.path.isdir(path) and os.path.isdir(os.path.join(path, "regions")):
+        return read_matrix(spark, path)
+    found = {"hic": binary.read_hic, "npy": binary.read_npy, "bam": binary.read_bam, "fasta": read_fasta, "fastq": read_fastq, "sam": read_sam, "pairs": read_4dn_pairs}
+    kind = sniff(spark, path) if "." in os.path.basename(name) else "parquet"
+    if kind in ("hdf5", "gzip"):
+        raise ValueError(f"{path}: no reader for {kind}")
+    return found.get(kind, lambda s, p: s.read.text(p) if kind == "text" else s.read.parquet(p))(spark, path)
