@@ -8,6 +8,7 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
@@ -21,8 +22,13 @@ def session(master: str = "local[*]", shuffle_partitions: int | None = None, **c
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors once per application, so that Python workers can import it."""
+    """Sends this package to the executors once per application, so that Python workers can import it.
+
+    Whole texts travel to Python in batches; where the session has the default of 10,000 rows, 2,048 keep them small.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "2048")
     if sc.applicationId not in _shipped:
         here = os.path.dirname(os.path.abspath(__file__))
         fd, path = tempfile.mkstemp(prefix="pairloom-", suffix=".zip")
