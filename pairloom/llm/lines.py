@@ -265,7 +265,8 @@ def _near(c: dict[str, np.ndarray], x: slice) -> np.ndarray:
     size = c["size"]
     low = np.minimum(size[x, None], size)
     edits = 1 + sum((low >= s).astype(np.int64) for s in STEPS)
-    bits = np.bitwise_count(c["p1"][x, None] ^ c["p1"]).astype(np.int64) + np.bitwise_count(c["p2"][x, None] ^ c["p2"])
+    p, q = c["p1"].view(np.uint64), c["p2"].view(np.uint64)  # of signed numbers the bits of the absolute value would count
+    bits = np.bitwise_count(p[x, None] ^ p).astype(np.int64) + np.bitwise_count(q[x, None] ^ q)
     return (np.abs(size[x, None] - size) <= edits) & (bits <= 4 * edits)
 
 

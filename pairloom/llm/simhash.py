@@ -276,7 +276,8 @@ def _may(n: np.ndarray, m: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def _near(c: dict[str, np.ndarray], x: slice) -> np.ndarray:
-    bits = sum(np.bitwise_count(c[f"p{k}"][x, None] ^ c[f"p{k}"]).astype(np.int64) for k in range(PARITY))
+    every = [c[f"p{k}"].view(np.uint64) for k in range(PARITY)]  # of signed numbers the bits of the absolute value would count
+    bits = sum(np.bitwise_count(p[x, None] ^ p).astype(np.int64) for p in every)
     return _may(c["n"][x, None], c["n"], bits)
 
 

@@ -203,6 +203,23 @@ def test_simhash_links_random_fingerprints(spark, group):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_a_root_beyond_the_default_group_is_exact(spark):
+    rng = np.random.default_rng(9)
+    n = simhash.GROUP + 300  # all share the lower 32 bits, so their root is searched by midpoints
+    base = rng.integers(0, 1 << 32, 150, dtype=np.uint64)
+    fp = base[rng.integers(0, len(base), 4 * n)]
+    for _ in range(3):
+        fp = fp ^ np.where(rng.random(len(fp)) < 0.6, np.uint64(1) << rng.integers(0, 32, len(fp)).astype(np.uint64), np.uint64(0))
+    fp = np.unique(fp)[:n] << np.uint64(32) | np.uint64(12345)
+    assert len(fp) > simhash.GROUP
+    own = fp.view(np.int64)
+    part = {r.u: r.component for r in components(simhash.links(spark.createDataFrame([(int(x),) for x in own], "fp long"))).collect()}
+    i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp) <= 2, 1))
+    root = simhash.local_roots(len(fp), i, j)
+    mine = np.array([part.get(int(x), int(x)) for x in own])
+    assert len(np.unique(root)) == len(np.unique(mine)) == len(np.unique(np.c_[root, np.unique(mine, return_inverse=True)[1]], axis=0))
+
+
 def test_near_copies_are_all_documents_with_similar_shingles(spark, monkeypatch):
     r = random.Random(8)
     rows = [(1000, None), (1001, ""), (1002, "one two"), (1003, "one  two"), (None, "one two")]
@@ -321,6 +338,22 @@ def test_an_edit_changes_four_bits_of_the_signature_at_most(a, t, r):
     assert sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x, y, strict=True)) <= 4 * edit(a, "".join(b))
 
 
+def test_hot_lines_at_the_default_sizes(spark):
+    r = random.Random(11)
+    base = prose(r, 30)
+    every = set()
+    while len(every) < 3 * lines.HOT:  # variants that share segments: some linked, some not
+        s = list(base)
+        for _ in range(r.choice((1, 2, 4))):
+            at = r.randrange(len(s) // 3)
+            s[at] = r.choice("xyz")
+        every.add(lines.normal("".join(s)))
+    own = sorted(every)
+    got = {x.doc_id for x in lines.deduplicated(table(spark, list(enumerate(own)))).where("n_dropped > 0").collect()}
+    root = reach(len(own), lambda i, j: lines.within(own[i], own[j], 3))
+    assert got == {i for i in range(len(own)) if root[i] != i} and 0 < len(got) < len(own) - 1
+
+
 def test_line_dedup_keeps_the_other_columns_and_repeated_rows(spark):
     rows = [(1, "a line that is long enough to count"), (1, "a line that is long enough to count"), (2, "A  line that is long enough to count\nrest"), (None, "a line that is long enough to count")]
     docs = table(spark, rows).selectExpr("*", "doc_id AS key", "1 AS h1", "2 AS component", "3 AS k1", "4 AS line", "5 AS fp", "6 AS count")
