@@ -121,9 +121,12 @@ def candidates(entries: DataFrame, hot: int) -> DataFrame:
     return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "role byte, key long, a long, b long")
 
 
-def apart(members: DataFrame, near: Callable[[dict[str, np.ndarray], slice], np.ndarray], same: Callable[[object, object], bool], block: int) -> DataFrame:
+def apart(members: DataFrame, near: Callable[[dict[str, np.ndarray], slice], np.ndarray], same: Callable[[object, object], bool] | None, block: int) -> DataFrame:
     """(u, v): verified links between members of a key that have different parts.
 
+    Without ``same`` instead (u, v) = (key, num) of the members that may be near to one of another part, so that payloads
+    need to travel for these alone.
+
     members: key, num, part, role, bytes and other longs, and last their payload. A key's members are cut into blocks of at
     most ``block`` rows and about BYTES of payload; each pair of blocks is compared in one task. There ``near`` says which of the rows of a slice
     may be near to which of all rows, and ``same`` decides on the payloads of those that nothing connects yet. Only
@@ -152,19 +155,24 @@ def apart(members: DataFrame, near: Callable[[dict[str, np.ndarray], slice], np.
                 k = root[k]
             return k
 
-        left, right = [], []
+        left, right, has = [], [], np.zeros(len(num), dtype=bool)
         for i in range(0, len(num), 256):
             x = slice(i, i + 256)
             fine = (c["part"][x, None] != c["part"]) & (num[x, None] < num) & ((c["role"][x, None] == 1) | (c["role"] == 1))
             fine &= (c["o"][x, None] != c["o"]) | (c["p"] == c["q"])  # of two blocks pairs across, of one block all
-            a, b = np.nonzero(fine & near(c, x))
+            fine &= near(c, x)
+            if same is None:
+                has[x] |= fine.any(axis=1)
+                has |= fine.any(axis=0)
+                continue
+            a, b = np.nonzero(fine)
             for m, n in zip((a + i).tolist(), b.tolist(), strict=True):
                 y, z = top(m), top(n)
                 if y != z and same(payload[m], payload[n]):
                     root[max(y, z)] = min(y, z)
                     left.append(int(num[m]))
                     right.append(int(num[n]))
-        return left, right
+        return (left, right) if same else (c["key"][has].tolist(), num[has].tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, payload = np.zeros((len(names), 0), np.int64), []

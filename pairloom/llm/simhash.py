@@ -352,11 +352,11 @@ def similar_sets(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     part = components(links, "simhash-near").withColumnRenamed("u", "id")
     bits = [F.conv(F.hex(F.reverse(F.substring("parity", 8 * k + 1, 8))), 16, -10).cast("long").alias(f"p{k}") for k in range(PARITY)]
     nodes = kinds.join(part, "id", "left").select("id", F.coalesce("component", "id").alias("part"), "n", *bits)
-    rows = members.join(nodes.select("id", "part"), "id")
-    mixed = rows.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
-    rows = staged(rows.join(mixed, "key"), "simhash-mixed")
-    rows = rows.drop("part").join(nodes, "id").join(_sets(docs, kinds, rows.select("id")), "id")
-    rows = rows.select("key", F.col("id").alias("num"), "part", "role", F.length("s").alias("bytes"), "n", *(f"p{k}" for k in range(PARITY)), "s")
+    long = ["key", F.col("id").alias("num"), "part", "role"]
+    rows = members.join(nodes, "id").select(*long, F.lit(0).cast("long").alias("bytes"), "n", *(f"p{k}" for k in range(PARITY)), F.lit(None).cast("binary").alias("s"))
+    some = staged(postings.apart(rows, _near, None, BLOCK).toDF("key", "id"), "simhash-mixed")
+    rows = members.join(some, ["key", "id"]).join(nodes, "id").join(_sets(docs, kinds, some.select("id")), "id")
+    rows = rows.select(*long, F.length("s").cast("long").alias("bytes"), "n", *(f"p{k}" for k in range(PARITY)), "s")
     return links.unionByName(staged(postings.apart(rows, _near, _similar, BLOCK), "simhash-rest"))
 
 
