@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import postings
-from .common import columns, components, quoted, staged, unused
+from .common import columns, components, dropped, quoted, released, staged, unused
 
 SHORTEST, MIN_CHARS, STEPS = 8, 24, (64, 128)
 HOT, BLOCK = 32, 1024
@@ -283,6 +283,7 @@ def dropped_lines(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFr
     places = kinds.select("h1", "num", "first").join(ids, "h1")
     wanted = places.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_list(F.struct("first.line", "num")).alias("lines"))
     texts = staged(_texts(docs, wanted), "line-texts")
+    released(docs.sparkSession)
     links = _verified(pairs, texts)
     part = components(links, "line-cc")
     if not members.isEmpty():
@@ -296,7 +297,11 @@ def dropped_lines(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFr
     first = linked.groupBy("component").agg(F.min("first").alias("stays"))
     again = linked.join(first, "component").where("n > 1 or first <> stays").select("h1", "h2", "stays")
     gone = seen.select("h1", "h2", "at").join(again, ["h1", "h2"]).where("at <> stays")
-    return gone.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(F.collect_set("at.line").alias("drop"))
+    gone = staged(gone.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(F.collect_set("at.line").alias("drop")), "line-gone")
+    for used in (seen, kinds, found, texts):
+        dropped(used)
+    released(docs.sparkSession)
+    return gone
 
 
 def deduplicated(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:

@@ -47,6 +47,8 @@ CHUNK = 1 << 15
 SHINGLE, SIMILAR = 5, (4, 5)
 #: Sets of a key that make all pairs, members of a block, longs of the parity.
 SHARED, BLOCK, PARITY = 16, 512, 16
+#: So many wanted documents (16 bytes each) are broadcast to the texts; more are joined by a shuffle.
+FEW = 1 << 17
 #: The order of its shingles: documents that are counted, how many of them make a shingle common, most shingles that are put last.
 COUNTED, COMMON, LAST = 20_000, 3, 200_000
 PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
@@ -269,6 +271,11 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[postings.Entri
         yield (np.concatenate([*keys, np.zeros(0, np.uint64)]), ids), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def _longs() -> list[Column]:
+    """The parity as PARITY longs (of reversed bytes, the same for all)."""
+    return [F.conv(F.hex(F.substring("parity", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"p{k}") for k in range(PARITY)]
+
+
 def _may(n: np.ndarray, m: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Whether sets of n and m shingles whose parities differ in so many bits may be similar."""
     num, den = SIMILAR
@@ -304,9 +311,11 @@ def _sets(docs: DataFrame, kinds: DataFrame, ids: DataFrame) -> DataFrame:
             s = [shingle_set(t or b"") for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], names=["id", "s"])
 
-    wanted = kinds.join(ids.distinct(), "id").select("at.k1", "at.k2")
-    rows = _placed(docs).join(wanted, ["k1", "k2"]).select("t")
-    return staged(rows.mapInArrow(run, "id long, s binary").dropDuplicates(["id"]), "simhash-sets")
+    wanted = staged(kinds.join(ids.distinct(), "id").select("at.k1", "at.k2"), "simhash-wanted")
+    rows = _placed(docs).join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, ["k1", "k2"]).select("t")
+    of = staged(rows.mapInArrow(run, "id long, s binary").dropDuplicates(["id"]), "simhash-sets")
+    dropped(wanted)
+    return of
 
 
 def _similar(x: bytes, y: bytes) -> bool:
@@ -337,6 +346,7 @@ def similar_sets(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     """Links (u, v) of set ids that connect exactly what similar sets connect."""
     entries = (kinds.agg(F.sum("n")).first()[0] or 0) // SIMILAR[1]
     found = staged(postings.candidates(postings.packed(kinds.select("id", "keys"), _entries, postings.buckets_for(entries)), SHARED), "simhash-candidates")
+    released(docs.sparkSession)
     # Whole sets travel with pairs, so each set meets its smallest partner first; then those pairs that this leaves apart.
     likely = _likely(found.where("role = 0").select("a", "b").distinct(), kinds)
     first = staged(likely.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "simhash-first")
@@ -346,18 +356,23 @@ def similar_sets(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     for end, c in (("u", "x"), ("v", "y")):
         rest = rest.join(part.select(F.col("u").alias(end), F.col("component").alias(c)), end, "left").withColumn(c, F.coalesce(c, end))
     links = links.unionByName(_verified(docs, kinds, staged(rest.where("x <> y").select("u", "v"), "simhash-others")))
+    dropped(likely)
+    released(docs.sparkSession)
     members = found.where("role > 0").select("key", F.col("a").alias("id"), "role")
     if members.isEmpty():
         return links
     part = components(links, "simhash-near").withColumnRenamed("u", "id")
-    bits = [F.conv(F.hex(F.reverse(F.substring("parity", 8 * k + 1, 8))), 16, -10).cast("long").alias(f"p{k}") for k in range(PARITY)]
-    nodes = kinds.join(part, "id", "left").select("id", F.coalesce("component", "id").alias("part"), "n", *bits)
+    nodes = kinds.join(part, "id", "left").select("id", F.coalesce("component", "id").alias("part"), "n", *_longs())
     long = ["key", F.col("id").alias("num"), "part", "role"]
     rows = members.join(nodes, "id").select(*long, F.lit(0).cast("long").alias("bytes"), "n", *(f"p{k}" for k in range(PARITY)), F.lit(None).cast("binary").alias("s"))
     some = staged(postings.apart(rows, _near, None, BLOCK).toDF("key", "id"), "simhash-mixed")
     rows = members.join(some, ["key", "id"]).join(nodes, "id").join(_sets(docs, kinds, some.select("id")), "id")
     rows = rows.select(*long, F.length("s").cast("long").alias("bytes"), "n", *(f"p{k}" for k in range(PARITY)), "s")
-    return links.unionByName(staged(postings.apart(rows, _near, _similar, BLOCK), "simhash-rest"))
+    links = links.unionByName(staged(postings.apart(rows, _near, _similar, BLOCK), "simhash-rest"))
+    dropped(found)
+    dropped(some)
+    released(docs.sparkSession)
+    return links
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -368,7 +383,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
     kinds = staged(kinds, "simhash-kinds")
     edges = links(nodes).unionByName(similar_sets(docs, kinds)).unionByName(seen.select(F.col("fp").alias("u"), F.col("id").alias("v")))
     part = components(edges, "simhash-cc").withColumnRenamed("u", "fp")
-    return seen.select("d", "k1", "k2", "fp").join(part, "fp", "left").select("d", "k1", "k2", F.coalesce("component", "fp").alias("component"))
+    out = staged(seen.select("d", "k1", "k2", "fp").join(part, "fp", "left").select("d", "k1", "k2", F.coalesce("component", "fp").alias("component")), "simhash-parts")
+    dropped(seen)
+    dropped(kinds)
+    released(docs.sparkSession)
+    return out
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:

@@ -248,6 +248,13 @@ def test_near_copies_are_all_documents_with_similar_shingles(spark, monkeypatch)
     assert kept == sorted(x.doc_id for x in simhash.one_of_each(table(spark, rows)).collect())
 
 
+def test_parities_survive_the_way_to_longs(spark):
+    rng = np.random.default_rng(3)
+    own = [simhash.parity(np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))) for n in (0, 5, 900, 4000)]
+    rows = spark.createDataFrame([(bytearray(p.tobytes()),) for p in own], "parity binary").select(*simhash._longs()).collect()
+    assert [[int(x) for x in r] for r in rows] == [p.view(np.int64).byteswap().tolist() for p in own]
+
+
 def test_texts_of_one_doc_id_are_documents_of_their_own(spark):
     r = random.Random(6)
     rows = [(5, prose(r, 90)), (5, prose(r, 90)), (None, prose(r, 90)), (None, prose(r, 90))]
