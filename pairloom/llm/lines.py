@@ -288,9 +288,9 @@ def dropped_lines(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFr
     part = components(links, "line-cc")
     if not members.isEmpty():
         nodes = texts.join(part.withColumnRenamed("u", "num"), "num", "left").withColumn("part", F.coalesce("component", "num"))
-        rows = members.join(nodes.select(F.col("h1").alias("a"), "num", "part", "size", "p1", "p2", "s"), "a")
-        rows = rows.groupBy("key", "num").agg(F.min("role").alias("role"), *(F.first(c).alias(c) for c in ("part", "size", "p1", "p2", "s")))
-        rest = postings.apart(rows.select("key", "num", "part", "role", F.col("size").alias("bytes"), "size", "p1", "p2", "s"), _near, _linked, block)
+        rows = members.join(nodes.select(F.col("h1").alias("a"), "num", "part", "size", "p1", "p2"), "a")
+        rows = rows.groupBy("key", "num").agg(F.min("role").alias("role"), *(F.first(c).alias(c) for c in ("part", "size", "p1", "p2")))
+        rest = postings.apart(rows.select("key", "num", "part", "role", F.col("size").alias("bytes"), "size", "p1", "p2"), _near, _linked, block, texts.select("num", "s"))
         links = links.unionByName(staged(rest, "line-rest"))
         part = components(links, "line-cc")
     linked = kinds.join(part.withColumnRenamed("u", "num"), "num", "left").withColumn("component", F.coalesce("component", "num"))

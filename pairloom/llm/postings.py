@@ -121,13 +121,14 @@ def candidates(entries: DataFrame, hot: int) -> DataFrame:
     return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "role byte, key long, a long, b long")
 
 
-def apart(members: DataFrame, near: Callable[[dict[str, np.ndarray], slice], np.ndarray], same: Callable[[object, object], bool] | None, block: int) -> DataFrame:
+def apart(members: DataFrame, near: Callable[[dict[str, np.ndarray], slice], np.ndarray], same: Callable[[object, object], bool] | None, block: int, payload: DataFrame | None = None) -> DataFrame:
     """(u, v): verified links between members of a key that have different parts.
 
     Without ``same`` instead (u, v) = (key, num) of the members that may be near to one of another part, so that payloads
     need to travel for these alone.
 
-    members: key, num, part, role, bytes and other longs, and last their payload. A key's members are cut into blocks of at
+    members: key, num, part, role, bytes (of the payload) and other longs; payload: (num, s), which joins them when they are
+    dealt out, so that it travels once. A key's members are cut into blocks of at
     most ``block`` rows and about BYTES of payload; each pair of blocks is compared in one task. There ``near`` says which of the rows of a slice
     may be near to which of all rows, and ``same`` decides on the payloads of those that nothing connects yet. Only
     links that connect leave the task, so there are fewer of them than rows.
@@ -138,8 +139,9 @@ def apart(members: DataFrame, near: Callable[[dict[str, np.ndarray], slice], np.
     parts = F.col("parts")
     own = F.pmod(F.xxhash64("num"), parts).cast("int")
     pair = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.struct(F.least(own, x).alias("p"), F.greatest(own, x).alias("q")))
-    names = ["p", "q", "o", *members.columns[:-1]]
+    names = ["p", "q", "o", *members.columns]
     rows = rows.withColumn("o", own).withColumn("x", F.explode(pair)).select("x.p", "x.q", "o", *members.columns)
+    rows = rows.withColumn("s", F.lit(None).cast("binary")) if payload is None else rows.join(payload, "num").select(*names, "s")
     group = [names.index(c) for c in ("key", "p", "q")]
 
     def found(g: np.ndarray, payload: list) -> tuple[list[int], list[int]]:

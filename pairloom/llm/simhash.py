@@ -364,15 +364,16 @@ def similar_sets(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     part = components(links, "simhash-near").withColumnRenamed("u", "id")
     nodes = kinds.join(part, "id", "left").select("id", F.coalesce("component", "id").alias("part"), "n", *_longs())
     long = ["key", F.col("id").alias("num"), "part", "role"]
-    rows = members.join(nodes, "id").select(*long, F.lit(0).cast("long").alias("bytes"), "n", *(f"p{k}" for k in range(PARITY)), F.lit(None).cast("binary").alias("s"))
+    rows = members.join(nodes, "id").select(*long, F.lit(0).cast("long").alias("bytes"), "n", *(f"p{k}" for k in range(PARITY)))
     some = staged(postings.apart(rows, _near, None, BLOCK).toDF("key", "id"), "simhash-mixed")
     # Keys of the same members would compare them again: one key stands for all with equal sums of hashes.
     sums = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in range(2)]
     alone = some.groupBy("key").agg(F.count("*").alias("size"), *sums).groupBy("size", "s0", "s1").agg(F.min("key").alias("key"))
     kept = staged(some.join(alone.select("key"), "key", "left_semi"), "simhash-keys")
-    rows = members.join(kept, ["key", "id"]).join(nodes, "id").join(_sets(docs, kinds, some.select("id")), "id")
-    rows = rows.select(*long, F.length("s").cast("long").alias("bytes"), "n", *(f"p{k}" for k in range(PARITY)), "s")
-    links = links.unionByName(staged(postings.apart(rows, _near, _similar, BLOCK), "simhash-rest"))
+    rows = members.join(kept, ["key", "id"]).join(nodes, "id")
+    rows = rows.select(*long, (8 * F.col("n")).cast("long").alias("bytes"), "n", *(f"p{k}" for k in range(PARITY)))
+    sets = _sets(docs, kinds, some.select("id")).select(F.col("id").alias("num"), "s")
+    links = links.unionByName(staged(postings.apart(rows, _near, _similar, BLOCK, sets), "simhash-rest"))
     dropped(found)
     dropped(some)
     released(docs.sparkSession)
