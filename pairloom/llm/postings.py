@@ -121,11 +121,11 @@ def candidates(entries: DataFrame, hot: int) -> DataFrame:
     return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "role byte, key long, a long, b long")
 
 
-def apart(members: DataFrame, near: Callable[[dict[str, np.ndarray], slice], np.ndarray], same: Callable[[object, object], bool] | None, block: int, payload: DataFrame | None = None) -> DataFrame:
+def apart(members: DataFrame, near: Callable[[dict[str, np.ndarray], slice], np.ndarray], same: Callable[[object, object], bool] | None, block: int, payload: DataFrame | None = None, marks: bool = False) -> DataFrame:
     """(u, v): verified links between members of a key that have different parts.
 
-    Without ``same`` instead (u, v) = (key, num) of the members that may be near to one of another part, so that payloads
-    need to travel for these alone.
+    Without ``same``, or with ``marks``, instead (u, v) = (key, num) of the members that may be near to one of another part
+    (with ``marks``: as ``same`` says of sketches), so that payloads need to travel for these alone.
 
     members: key, num, part, role, bytes (of the payload) and other longs; payload: (num, s), which joins them when they are
     dealt out, so that it travels once. A key's members are cut into blocks of at
@@ -169,12 +169,16 @@ def apart(members: DataFrame, near: Callable[[dict[str, np.ndarray], slice], np.
                 continue
             a, b = np.nonzero(fine)
             for m, n in zip((a + i).tolist(), b.tolist(), strict=True):
+                if marks:
+                    if not (has[m] and has[n]) and same(payload[m], payload[n]):
+                        has[m] = has[n] = True
+                    continue
                 y, z = top(m), top(n)
                 if y != z and same(payload[m], payload[n]):
                     root[max(y, z)] = min(y, z)
                     left.append(int(num[m]))
                     right.append(int(num[n]))
-        return (left, right) if same else (c["key"][has].tolist(), num[has].tolist())
+        return (left, right) if same and not marks else (c["key"][has].tolist(), num[has].tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, payload = np.zeros((len(names), 0), np.int64), []

@@ -22,8 +22,8 @@ set join: of a set of n shingle hashes the first n - ceil(0.8 n) + 1 are its key
 share one, whatever the order, if it is the same for all. Shingles that are common in a sample come last in
 it; the sample sets the work and not the result. Equal sets are one node. Sets that share a key are candidates, at hot
 keys first with the key's smallest set alone; those that are left apart meet in blocks, out of which only links come (postings.py). Sizes, and
-the parity of 1024 bits to which shingles hash (two sets differ in no fewer shingles than their parities in bits), leave
-almost only true pairs, which are verified on the whole sets.
+the parity of 1024 bits to which shingles hash (two sets differ in no fewer shingles than their parities in bits), for
+longer sets of at least as many bits as shingles, leave almost only true pairs, which are verified on the whole sets.
 
 Nulls: a null text is an empty one, with fingerprint zero, which links like any other. A row with a null
 doc_id gets its fingerprint and its component's smallest known doc_id (null if there is none). Repeated
@@ -101,12 +101,18 @@ def shingle_set(raw: bytes, words: int = SHINGLE) -> np.ndarray:
     return np.unique((h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB))
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """64 * PARITY bits: whether an odd number of the set's hashes falls on each."""
-    bits = np.bincount((s >> np.uint64(8) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+def parity(s: np.ndarray, size: int = 64 * PARITY) -> np.ndarray:
+    """So many bits (a power of two): whether an odd number of the set's hashes falls on each."""
+    bits = np.bincount((s >> np.uint64(8) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def wide(s: np.ndarray) -> bytes | None:
+    """Of a set with more shingles than its parity has bits: its size and a parity of at least as many bits."""
+    n = len(s)
+    return np.r_[np.int64(n), parity(s, 1 << (n - 1).bit_length())].tobytes() if n > 64 * PARITY else None
+
+
 def set_id(s: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
@@ -242,26 +248,26 @@ def _placed(docs: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(d, k1, k2, fp, id, n, keys, parity): the fingerprint, and of the set of shingles its id, size, keys and parity."""
+    """(d, k1, k2, fp, id, n, keys, parity, wide): the fingerprint, and of the set of shingles its id, size, keys and parities."""
     num, den = SIMILAR
     common = docs.sparkSession.sparkContext.broadcast(_common(docs))  # LAST numbers at most
-    kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary(), pa.binary()]
-    names = ["d", "k1", "k2", "fp", "id", "n", "keys", "parity"]
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["d", "k1", "k2", "fp", "id", "n", "keys", "parity", "wide"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = common.value
         for b in batches:
-            cols: list[list] = [[] for _ in range(5)]
+            cols: list[list] = [[] for _ in range(6)]
             for t in b.column(3).to_pylist():
                 s = shingle_set(t or b"")
                 n, fp = len(s), fingerprint(t) if t else 0
                 late = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s if len(known) else np.zeros(n, bool)
                 first = np.r_[s[~late], s[late]][: n + num * n // -den + 1 if n else 0]
-                for c, v in zip(cols, (fp - (1 << 64) if fp >> 63 else fp, set_id(s), n, first.tobytes(), parity(s).tobytes()), strict=True):
+                for c, v in zip(cols, (fp - (1 << 64) if fp >> 63 else fp, set_id(s), n, first.tobytes(), parity(s).tobytes(), wide(s)), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, k) for c, k in zip(cols, kinds[3:], strict=True))], names=names)
 
-    return _placed(docs).mapInArrow(run, "d long, k1 long, k2 long, fp long, id long, n int, keys binary, parity binary")
+    return _placed(docs).mapInArrow(run, "d long, k1 long, k2 long, fp long, id long, n int, keys binary, parity binary, wide binary")
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[postings.Entries, postings.Entries]]:
@@ -288,6 +294,15 @@ def _near(c: dict[str, np.ndarray], x: slice) -> np.ndarray:
     return _may(c["n"][x, None], c["n"], bits)
 
 
+def _may_wide(x: bytes | None, y: bytes | None) -> bool:
+    """_may() of two wide parities, the longer one folded; sets without one are left to the parity of all."""
+    if x is None or y is None:
+        return True
+    p, q = sorted((np.frombuffer(z, dtype=np.uint64) for z in (x, y)), key=len)
+    bits = np.bitwise_count(p[1:] ^ np.bitwise_xor.reduce(q[1:].reshape(-1, len(p) - 1), axis=0)).sum(dtype=np.int64)
+    return bool(_may(p[0].astype(np.int64), q[0].astype(np.int64), bits))
+
+
 def _likely(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of set ids whose sizes and parities allow the similarity."""
 
@@ -300,7 +315,17 @@ def _likely(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
 
     one, two = (kinds.select(F.col("id").alias(c), F.col("n").alias("n" + c), F.col("parity").alias("p" + c)) for c in "ab")
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "pa", "pb")
-    return staged(both.mapInArrow(run, "u long, v long"), "simhash-likely")
+    some = staged(both.mapInArrow(run, "u long, v long"), "simhash-may")
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = pa.array([_may_wide(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["u", "v"])
+
+    one, two = (kinds.select(F.col("id").alias(c), F.col("wide").alias("w" + c)) for c in "uv")
+    out = staged(some.join(one, "u").join(two, "v").select("u", "v", "wu", "wv").mapInArrow(again, "u long, v long"), "simhash-likely")
+    dropped(some)
+    return out
 
 
 def _sets(docs: DataFrame, kinds: DataFrame, ids: DataFrame) -> DataFrame:
@@ -342,6 +367,13 @@ def _verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame) -> DataFrame:
     return links
 
 
+def _once(some: DataFrame) -> DataFrame:
+    """Members (key, id) without keys that would compare the same ones again: one key stands for all with equal sums of hashes."""
+    sums = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in range(2)]
+    alone = some.groupBy("key").agg(F.count("*").alias("size"), *sums).groupBy("size", "s0", "s1").agg(F.min("key").alias("key"))
+    return staged(some.join(alone.select("key"), "key", "left_semi"), "simhash-keys")
+
+
 def similar_sets(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     """Links (u, v) of set ids that connect exactly what similar sets connect."""
     entries = (kinds.agg(F.sum("n")).first()[0] or 0) // SIMILAR[1]
@@ -366,16 +398,19 @@ def similar_sets(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     long = ["key", F.col("id").alias("num"), "part", "role"]
     rows = members.join(nodes, "id").select(*long, F.lit(0).cast("long").alias("bytes"), "n", *(f"p{k}" for k in range(PARITY)))
     some = staged(postings.apart(rows, _near, None, BLOCK).toDF("key", "id"), "simhash-mixed")
-    # Keys of the same members would compare them again: one key stands for all with equal sums of hashes.
-    sums = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in range(2)]
-    alone = some.groupBy("key").agg(F.count("*").alias("size"), *sums).groupBy("size", "s0", "s1").agg(F.min("key").alias("key"))
-    kept = staged(some.join(alone.select("key"), "key", "left_semi"), "simhash-keys")
-    rows = members.join(kept, ["key", "id"]).join(nodes, "id")
+    once = _once(some)
+    # Of long sets the short parity says nothing, so wide ones travel first and whole sets for those that they leave.
+    wides = kinds.select(F.col("id").alias("num"), F.col("wide").alias("s"))
+    rows = members.join(once, ["key", "id"]).join(nodes, "id")
+    rows = rows.select(*long, (F.col("n") / 8).cast("long").alias("bytes"), "n", *(f"p{k}" for k in range(PARITY)))
+    left = staged(postings.apart(rows, _near, _may_wide, BLOCK, wides, marks=True).toDF("key", "id"), "simhash-left")
+    last = _once(left)
+    rows = members.join(last, ["key", "id"]).join(nodes, "id")
     rows = rows.select(*long, (8 * F.col("n")).cast("long").alias("bytes"), "n", *(f"p{k}" for k in range(PARITY)))
-    sets = _sets(docs, kinds, some.select("id")).select(F.col("id").alias("num"), "s")
+    sets = _sets(docs, kinds, left.select("id")).select(F.col("id").alias("num"), "s")
     links = links.unionByName(staged(postings.apart(rows, _near, _similar, BLOCK, sets), "simhash-rest"))
-    dropped(found)
-    dropped(some)
+    for used in (found, some, once, left, last):
+        dropped(used)
     released(docs.sparkSession)
     return links
 
@@ -384,7 +419,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """(d, k1, k2, component) of each document, of links by fingerprints and by similar sets."""
     seen = staged(_keyed(docs), "simhash-seen")
     nodes = seen.select("fp").distinct()
-    kinds = seen.groupBy("id").agg(F.min("n").alias("n"), F.min(F.struct("k1", "k2")).alias("at"), F.first("keys").alias("keys"), F.first("parity").alias("parity"))
+    kinds = seen.groupBy("id").agg(F.min("n").alias("n"), F.min(F.struct("k1", "k2")).alias("at"), F.first("keys").alias("keys"), F.first("parity").alias("parity"), F.first("wide").alias("wide"))
     kinds = staged(kinds, "simhash-kinds")
     edges = links(nodes).unionByName(similar_sets(docs, kinds)).unionByName(seen.select(F.col("fp").alias("u"), F.col("id").alias("v")))
     part = components(edges, "simhash-cc").withColumnRenamed("u", "fp")

@@ -248,6 +248,26 @@ def test_near_copies_are_all_documents_with_similar_shingles(spark, monkeypatch)
     assert kept == sorted(x.doc_id for x in simhash.one_of_each(table(spark, rows)).collect())
 
 
+def test_long_sets_that_share_only_a_passage_send_no_whole_sets(spark, monkeypatch):
+    rng, r = np.random.default_rng(7), random.Random(7)
+    passage = prose(r, 60)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 10**9, 2600 + 40 * k)) + " " + passage) for k in range(20)]
+    rows.append((100, rows[3][1].replace(" ", " zinnia ", 9)))
+    wanted, sets = [], simhash._sets
+    monkeypatch.setattr(simhash, "COMMON", 10**9)  # the passage's shingles are keys
+    monkeypatch.setattr(simhash, "_sets", lambda docs, kinds, ids: wanted.append({x.id for x in ids.collect()}) or sets(docs, kinds, ids))
+    assert {x.doc_id for x in simhash.one_of_each(table(spark, rows)).collect()} == set(range(20))
+    assert len(set().union(*wanted)) == 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 9000), st.integers(0, 3000), st.integers(0, 3000), st.integers(0, 99))
+def test_wide_parities_never_deny_similar_sets(both, left, right, seed):
+    h = np.random.default_rng(seed).integers(0, 1 << 64, both + left + right, dtype=np.uint64)
+    x, y = np.unique(h[: both + left]), np.unique(np.r_[h[:both], h[both + left :]])
+    assert simhash._may_wide(simhash.wide(x), simhash.wide(y)) >= (5 * both >= 4 * len(h))
+
+
 def test_parities_survive_the_way_to_longs(spark):
     rng = np.random.default_rng(3)
     own = [simhash.parity(np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))) for n in (0, 5, 900, 4000)]
