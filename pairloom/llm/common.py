@@ -6,8 +6,10 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship
@@ -72,6 +74,8 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Edges whose components one task finds at once, for components().
+FEW_EDGES = 1 << 14
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -104,13 +108,38 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def components(edges: DataFrame, name: str = "cc") -> DataFrame:
+def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For n nodes and links (i, j): the smallest node that each reaches."""
+    root = np.arange(n)
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return root
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, component) of all edges (u, v) at once."""
+    edges = [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*([c.to_numpy() for c in b.columns] for b in batches), strict=True)]
+    if edges:
+        nodes, at = np.unique(np.concatenate(edges), return_inverse=True)
+        root = local_roots(len(nodes), *np.split(at, 2))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["u", "component"])
+
+
+def components(edges: DataFrame, name: str = "cc", few: int = 0) -> DataFrame:
     """Connected components of edges (u long, v long) by alternating large-star and small-star.
 
     Returns (u, component): every node that has an edge, and the smallest node it reaches. Each half
     round keeps at most the edges it was given, min() is combined before the shuffle, and the joins
     are plain equi-joins, which adaptive execution can split at a hub. Rounds grow with the logarithm
-    of the diameter; each is staged in the shared folder.
+    of the diameter; each is staged in the shared folder. At most ``few`` edges are worked on in one task instead of
+    rounds, each of which makes several jobs.
     """
 
     def mark(df: DataFrame) -> tuple:
@@ -121,6 +150,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name
     )
     at = mark(e)
+    if at[0] <= few:
+        return e.coalesce(1).mapInArrow(_whole, "u long, component long")
     while at[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

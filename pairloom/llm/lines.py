@@ -277,8 +277,8 @@ def dropped_lines(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFr
     kinds = staged(kinds.withColumn("num", F.monotonically_increasing_id()), "line-kinds")  # fixed once written
     entries = postings.packed(docs.select(F.col("text").cast("string")), _entries, postings.buckets_for(kinds.count() * 24))
     found = staged(postings.candidates(entries, hot), "line-candidates")
-    pairs = found.where("role = 0").select("a", "b").distinct()
-    members = found.where("role > 0").select("key", "a", "role")
+    pairs = postings.pairs(found)
+    members = found.where("role > 0").select("key", F.col("b").alias("a"), "role")
     ids = found.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
     places = kinds.select("h1", "num", "first").join(ids, "h1")
     wanted = places.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_list(F.struct("first.line", "num")).alias("lines"))

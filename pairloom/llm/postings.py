@@ -3,8 +3,8 @@
 Tasks pack (key, id) entries by bucket, so that an entry takes KEY_BYTES + 8 bytes in the shuffle. There are own
 entries, which meet each other, and probing ones, which meet own ones alone. The low KEY_BYTES of a key tell keys of a
 bucket apart: what meets by chance is a candidate that does not verify. A key of at most ``hot`` ids makes all pairs
-of them. A hotter key makes stars to its smallest own id and lists its members, for a second search among those
-that the stars left apart (apart()).
+of them. A hotter key lists its members, each with the key's smallest own id (a star), for a second search among those
+that the stars left apart (apart()). Entries may have marks of 4 bytes, by which pairs are denied before they are made.
 """
 
 from __future__ import annotations
@@ -18,30 +18,35 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Entries that a task holds, entries of a bucket, and bytes of payload in a block.
 HELD, BUCKET, BYTES = 1 << 19, 1 << 18, 1 << 24
+#: Ids of a hot key whose pairs of marks are tried at once.
+TRIED = 1024
 KEY_BYTES = 5
 OWN, PROBE = 0, 1
-Entries = tuple[np.ndarray, np.ndarray]
+#: Keys, ids, and marks or no third.
+Entries = tuple[np.ndarray, ...]
+May = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def buckets_for(entries: int) -> int:
     return min(max(64, entries // BUCKET), 1 << 22)
 
 
-def _rows(side: int, key: np.ndarray, ids: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _rows(side: int, buckets: int, key: np.ndarray, ids: np.ndarray, marks: np.ndarray | None = None) -> pa.RecordBatch:
     key = key.astype(np.uint64)
     bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     which, first = np.unique(bucket[order], return_index=True)
     raw = np.ascontiguousarray(key[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
     ids = ids[order].astype("<i8")
+    marks = np.zeros((len(order), 0)) if marks is None else marks[order].astype("<u4")
     spans = list(itertools.pairwise([*first.tolist(), len(order)])) if len(order) else []
     cols = [pa.array(which, pa.int32()), pa.array(np.full(len(which), side), pa.int8())]
-    cols += [pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (raw, ids)]
-    return pa.RecordBatch.from_arrays(cols, names=["bucket", "side", "keys", "ids"])
+    cols += [pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (raw, ids, marks)]
+    return pa.RecordBatch.from_arrays(cols, names=["bucket", "side", "keys", "ids", "marks"])
 
 
 def packed(rows: DataFrame, entries: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[Entries, Entries]]], buckets: int) -> DataFrame:
-    """(bucket, side, keys, ids) of what ``entries`` makes of the rows: pairs of own and probing (keys, ids)."""
+    """(bucket, side, keys, ids, marks) of what ``entries`` makes of the rows: pairs of own and probing entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[Entries, Entries]] = []
@@ -50,61 +55,80 @@ def packed(rows: DataFrame, entries: Callable[[Iterator[pa.RecordBatch]], Iterat
                 held.append(some)
             if held and (some is None or sum(len(side[0]) for both in held for side in both) > HELD):
                 for side in (OWN, PROBE):
-                    yield _rows(side, *(np.concatenate([both[side][k] for both in held]) for k in range(2)), buckets)
+                    yield _rows(side, buckets, *(np.concatenate(x) for x in zip(*(both[side] for both in held), strict=True)))
                 held = []
 
-    return rows.mapInArrow(run, "bucket int, side byte, keys binary, ids binary")
+    return rows.mapInArrow(run, "bucket int, side byte, keys binary, ids binary, marks binary")
 
 
-def _distinct(key: np.ndarray, ids: np.ndarray) -> Entries:
-    order = np.lexsort((ids, key))
-    key, ids = key[order], ids[order]
+def _distinct(key: np.ndarray, ids: np.ndarray, marks: np.ndarray | None = None) -> Entries:
+    """Each (key, id) once, in order, with its smallest mark."""
+    marks = np.zeros(len(key), np.uint32) if marks is None else marks
+    order = np.lexsort((marks, ids, key))
+    key, ids, marks = key[order], ids[order], marks[order]
     new = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])] if len(key) else np.zeros(0, bool)
-    return key[new], ids[new]
+    return key[new], ids[new], marks[new]
 
 
-def matched(own: Entries, probe: Entries, bucket: int, hot: int) -> list[np.ndarray]:
-    """[role, key, a, b] of a bucket: pairs of ids (role 0), and members of hot keys (1 own, 2 probing; a is b)."""
-    k, a = _distinct(*own)
+def matched(own: Entries, probe: Entries, bucket: int, hot: int, may: May | None = None) -> list[np.ndarray]:
+    """[role, key, a, b] of a bucket: pairs of ids (role 0), and members b of hot keys (1 own, 2 probing) with the smallest own id as a.
+
+    ``may`` says which pairs of marks go on. A hot key of at most TRIED ids whose pairs it makes no more than ids is not
+    hot, and else lists those that have a pair. A member that it denies the star has itself as a.
+    """
+    k, a, mark = _distinct(*own)
     at = np.searchsorted(k, probe[0]) if len(k) else np.zeros(len(probe[0]), np.int64)
     hit = k[np.minimum(at, len(k) - 1)] == probe[0] if len(k) else np.zeros(len(probe[0]), bool)
-    pk, other_ids = _distinct(probe[0][hit], probe[1][hit])
+    pk, other_ids, other_mark = _distinct(*(x[hit] for x in probe))
     new = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
     count = np.diff(np.r_[new, len(k)])
     low, high = np.searchsorted(pk, k[new], "left"), np.searchsorted(pk, k[new], "right")
-    left, right, member, name, role = [], [], [], [], []
+    left, right, centre, member, name, role = [], [], [], [], [], []
     for g in np.flatnonzero((count > 1) | (high > low)).tolist():
-        mine, other = a[new[g] : new[g] + count[g]], other_ids[low[g] : high[g]]
-        if len(mine) + len(other) <= hot:
-            i, j = np.triu_indices(len(mine), 1)
-            left.append(np.r_[mine[i], np.repeat(mine, len(other))])
-            right.append(np.r_[mine[j], np.tile(other, len(mine))])
-        else:
-            every = np.r_[mine, other]
-            left.append(np.full(len(every), mine[0]))
-            right.append(every)
-            member.append(every)
-            name.append(np.full(len(every), int(k[new[g]]) | bucket << 8 * KEY_BYTES))
-            role.append(np.r_[np.ones(len(mine), np.int8), np.full(len(other), 2, np.int8)])
+        m, n = count[g], high[g] - low[g]
+        every = np.r_[a[new[g] : new[g] + m], other_ids[low[g] : high[g]]]
+        marks = np.r_[mark[new[g] : new[g] + m], other_mark[low[g] : high[g]]]
+        kind, few = np.repeat(np.array([1, 2], np.int8), [m, n]), m + n <= hot
+        if few or may and m + n <= TRIED:
+            i, j = np.triu_indices(m + n, 1)
+            fine = (i < m) & may(marks[i], marks[j]) if may else i < m
+            i, j = i[fine], j[fine]
+            if few or len(i) <= m + n:
+                left.append(every[i])
+                right.append(every[j])
+                continue
+            some = np.unique(np.r_[i, j])  # the first is an own one
+            every, marks, kind = every[some], marks[some], kind[some]
+        star = may(marks[:1], marks) if may else np.ones(len(every), bool)
+        centre.append(np.where(star, every[0], every))
+        member.append(every)
+        name.append(np.full(len(every), int(k[new[g]]) | bucket << 8 * KEY_BYTES))
+        role.append(kind)
     x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
     x, y = np.minimum(x, y), np.maximum(x, y)
-    x, y = _distinct(x[x != y], y[x != y])
-    m, n, r = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (member, name, role))
-    return [np.r_[np.zeros(len(x), np.int8), r.astype(np.int8)], np.r_[np.zeros(len(x), np.int64), n], np.r_[x, m], np.r_[y, m]]
+    x, y, _ = _distinct(x[x != y], y[x != y])
+    c, m, n, r = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (centre, member, name, role))
+    return [np.r_[np.zeros(len(x), np.int8), r.astype(np.int8)], np.r_[np.zeros(len(x), np.int64), n], np.r_[x, c], np.r_[y, m]]
+
+
+def pairs(found: DataFrame) -> DataFrame:
+    """(a, b), a < b, each once: the pairs of candidates() and the stars of its hot keys."""
+    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def candidates(entries: DataFrame, hot: int) -> DataFrame:
+def candidates(entries: DataFrame, hot: int, may: May | None = None) -> DataFrame:
     """(role, key, a, b) of all buckets of packed entries, see matched()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(bucket: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        def found(bucket: int, rows: list[tuple[int, bytes, bytes, bytes]]) -> pa.RecordBatch:
             sides = []
             for side in (OWN, PROBE):
-                raw = np.frombuffer(b"".join([k for s, k, _ in rows if s == side]), dtype=np.uint8).reshape(-1, KEY_BYTES)
+                k, i, m = (b"".join([x[c] for x in rows if x[0] == side]) for c in (1, 2, 3))
+                raw = np.frombuffer(k, dtype=np.uint8).reshape(-1, KEY_BYTES)
                 key = np.zeros((len(raw), 8), dtype=np.uint8)
                 key[:, :KEY_BYTES] = raw
-                sides.append((key.view("<i8").ravel(), np.frombuffer(b"".join([i for s, _, i in rows if s == side]), dtype="<i8")))
-            role, key, a, b = matched(*sides, bucket, hot)
+                sides.append((key.view("<i8").ravel(), np.frombuffer(i, dtype="<i8"), *([np.frombuffer(m, dtype="<u4")] if may else [])))
+            role, key, a, b = matched(*sides, bucket, hot, may)
             return pa.RecordBatch.from_arrays([pa.array(role, pa.int8()), pa.array(key), pa.array(a), pa.array(b)], names=["role", "key", "a", "b"])
 
         now, rows = None, []

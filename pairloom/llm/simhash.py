@@ -19,7 +19,8 @@ near_copies() is the wider setting of the pipeline's stage. At a Jaccard similar
 differ in some ten bits, and no root of the index is both selective and safe at such a distance. Documents
 link there as above or if their sets of five-word shingles have a similarity of at least 0.8, by an exact
 set join: of a set of n shingle hashes the first n - ceil(0.8 n) + 1 are its keys, and two similar sets
-share one, whatever the order, if it is the same for all. Shingles that are common in a sample come last in
+share one, whatever the order, if it is the same for all. The first that they share stands early enough in both that
+the rests can hold what the similarity asks for; entries carry size and place, so other pairs are not made. Shingles that are common in a sample come last in
 it; the sample sets the work and not the result. Equal sets are one node. Sets that share a key are candidates, at hot
 keys first with the key's smallest set alone; those that are left apart meet in blocks, out of which only links come (postings.py). Sizes, and
 the parity of 1024 bits to which shingles hash (two sets differ in no fewer shingles than their parities in bits), for
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import postings
-from .common import WordHashes, columns, components, dropped, released, staged, unused
+from .common import FEW_EDGES, WordHashes, columns, components, dropped, local_roots, released, staged, unused
 
 WORDS, SEED, DISTANCE, GROUP = 3, 42, 2, 1024
 CHUNK = 1 << 15
@@ -163,21 +164,6 @@ class GrayIndex:
         return q, node
 
 
-def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For n nodes and links (i, j): the smallest node that each reaches."""
-    root = np.arange(n)
-    while len(i):
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    return root
-
-
 def _gray_rank(fp: Column) -> Column:
     """The rank of a code word in Gray order (bits of a long)."""
     for s in (1, 2, 4, 8, 16, 32):
@@ -273,8 +259,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[postings.Entries, postings.Entries]]:
     for b in batches:
         keys = [np.frombuffer(k, dtype=np.uint64) for k in b.column(1).to_pylist()]
-        ids = np.repeat(b.column(0).to_numpy(), [len(k) for k in keys])
-        yield (np.concatenate([*keys, np.zeros(0, np.uint64)]), ids), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        count = np.array([len(k) for k in keys], dtype=np.int64)
+        ids, n = (np.repeat(b.column(c).to_numpy().astype(np.int64), count) for c in (0, 2))
+        mark = np.where(n < 1 << 16, n << 16 | np.arange(len(n)) - np.repeat(np.cumsum(count) - count, count), 0)
+        yield (np.concatenate([*keys, np.zeros(0, np.uint64)]), ids, mark.astype(np.uint32)), (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+
+def _may_meet(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether two sets may be similar whose first common key has these marks: size and place in the order (0: not known).
+
+    They have no more shingles in common than the shorter rest from that key on.
+    """
+    num, den = SIMILAR
+    n, m, i, j = (v.astype(np.int64) for v in (x >> 16, y >> 16, x & 0xFFFF, y & 0xFFFF))
+    return (n == 0) | (m == 0) | ((num + den) * np.minimum(n - i, m - j) >= num * (n + m))
 
 
 def _longs() -> list[Column]:
@@ -377,23 +375,23 @@ def _once(some: DataFrame) -> DataFrame:
 def similar_sets(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     """Links (u, v) of set ids that connect exactly what similar sets connect."""
     entries = (kinds.agg(F.sum("n")).first()[0] or 0) // SIMILAR[1]
-    found = staged(postings.candidates(postings.packed(kinds.select("id", "keys"), _entries, postings.buckets_for(entries)), SHARED), "simhash-candidates")
+    found = staged(postings.candidates(postings.packed(kinds.select("id", "keys", "n"), _entries, postings.buckets_for(entries)), SHARED, _may_meet), "simhash-candidates")
     released(docs.sparkSession)
     # Whole sets travel with pairs, so each set meets its smallest partner first; then those pairs that this leaves apart.
-    likely = _likely(found.where("role = 0").select("a", "b").distinct(), kinds)
+    likely = _likely(postings.pairs(found), kinds)
     first = staged(likely.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "simhash-first")
     links = _verified(docs, kinds, first)
-    part = components(links, "simhash-near")
+    part = components(links, "simhash-near", FEW_EDGES)
     rest = likely.join(first, ["u", "v"], "left_anti")
     for end, c in (("u", "x"), ("v", "y")):
         rest = rest.join(part.select(F.col("u").alias(end), F.col("component").alias(c)), end, "left").withColumn(c, F.coalesce(c, end))
     links = links.unionByName(_verified(docs, kinds, staged(rest.where("x <> y").select("u", "v"), "simhash-others")))
     dropped(likely)
     released(docs.sparkSession)
-    members = found.where("role > 0").select("key", F.col("a").alias("id"), "role")
+    members = found.where("role > 0").select("key", F.col("b").alias("id"), "role")
     if members.isEmpty():
         return links
-    part = components(links, "simhash-near").withColumnRenamed("u", "id")
+    part = components(links, "simhash-near", FEW_EDGES).withColumnRenamed("u", "id")
     nodes = kinds.join(part, "id", "left").select("id", F.coalesce("component", "id").alias("part"), "n", *_longs())
     long = ["key", F.col("id").alias("num"), "part", "role"]
     rows = members.join(nodes, "id").select(*long, F.lit(0).cast("long").alias("bytes"), "n", *(f"p{k}" for k in range(PARITY)))
@@ -422,7 +420,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     kinds = seen.groupBy("id").agg(F.min("n").alias("n"), F.min(F.struct("k1", "k2")).alias("at"), F.first("keys").alias("keys"), F.first("parity").alias("parity"), F.first("wide").alias("wide"))
     kinds = staged(kinds, "simhash-kinds")
     edges = links(nodes).unionByName(similar_sets(docs, kinds)).unionByName(seen.select(F.col("fp").alias("u"), F.col("id").alias("v")))
-    part = components(edges, "simhash-cc").withColumnRenamed("u", "fp")
+    part = components(edges, "simhash-cc", FEW_EDGES).withColumnRenamed("u", "fp")
     out = staged(seen.select("d", "k1", "k2", "fp").join(part, "fp", "left").select("d", "k1", "k2", F.coalesce("component", "fp").alias("component")), "simhash-parts")
     dropped(seen)
     dropped(kinds)

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 
-from pairloom.llm import lines, packing, pieces, pii, queries, secrets, simhash
+from pairloom.llm import lines, packing, pieces, pii, postings, queries, secrets, simhash
 from pairloom.llm.common import components
 
 SMALL = "/root/testdata/sf0.01"
@@ -268,6 +268,45 @@ def test_wide_parities_never_deny_similar_sets(both, left, right, seed):
     assert simhash._may_wide(simhash.wide(x), simhash.wide(y)) >= (5 * both >= 4 * len(h))
 
 
+def test_sets_that_share_late_keys_are_no_candidates(spark, monkeypatch):
+    rng, r = np.random.default_rng(5), random.Random(5)
+    passage = prose(r, 60)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 10**9, 300 + 20 * k)) + " " + passage) for k in range(60)]
+    rows.append((100, rows[3][1].replace(" ", " zinnia ", 2)))
+    made, staged = {}, simhash.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        made.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "COMMON", 10**9)  # the passage's shingles are keys
+    monkeypatch.setattr(simhash, "staged", counted)
+    assert {x.doc_id for x in simhash.one_of_each(table(spark, rows)).collect()} == set(range(60))
+    met = simhash._keyed(table(spark, rows)).select("id", "keys").collect()
+    keys = [k for x in met for k in np.frombuffer(x.keys, dtype=np.uint64).tolist()]
+    hot = sum(c for k in set(keys) if (c := keys.count(k)) > simhash.SHARED)
+    assert hot and made["simhash-candidates"] < hot  # without size and place in the order two rows for each of them
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 90), st.integers(0, 90), st.integers(0, 99))
+def test_similar_sets_meet_at_their_first_common_key(both, left, right, seed):
+    h = np.random.default_rng(seed).integers(0, 1 << 64, both + left + right, dtype=np.uint64)
+    x, y = np.unique(h[: both + left]), np.unique(np.r_[h[:both], h[both + left :]])
+    if 5 * both >= 4 * len(h):
+        i, j = (np.searchsorted(s, np.intersect1d(x, y)[0]) for s in (x, y))
+        assert i <= len(x) // 5 and j <= len(y) // 5
+        assert simhash._may_meet(*(np.array([len(s) << 16 | k], dtype=np.uint32) for s, k in ((x, i), (y, j))))[0]
+
+
+def test_few_edges_have_the_same_components(spark):
+    r = random.Random(2)
+    edges = spark.createDataFrame([(r.randrange(-90, 90), r.randrange(-90, 90)) for _ in range(80)] + [(k, k + 1) for k in range(200, 300)], "u long, v long")
+    assert set(components(edges).collect()) == set(components(edges, few=1000).collect())
+    assert components(edges.where("false"), few=1000).count() == 0
+
+
 def test_parities_survive_the_way_to_longs(spark):
     rng = np.random.default_rng(3)
     own = [simhash.parity(np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))) for n in (0, 5, 900, 4000)]
