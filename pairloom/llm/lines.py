@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import postings
-from .common import columns, components, dropped, quoted, released, staged, unused
+from .common import FEW_EDGES, columns, components, dropped, quoted, released, staged, unused
 
 SHORTEST, MIN_CHARS, STEPS = 8, 24, (64, 128)
 HOT, BLOCK = 32, 1024
@@ -279,20 +279,20 @@ def dropped_lines(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFr
     found = staged(postings.candidates(entries, hot), "line-candidates")
     pairs = postings.pairs(found)
     members = found.where("role > 0").select("key", F.col("b").alias("a"), "role")
-    ids = found.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+    ids = found.select(F.explode(F.expr("if(role = 0, array(a, b), array(b))")).alias("h1")).distinct()  # a hot key's first line is a member too
     places = kinds.select("h1", "num", "first").join(ids, "h1")
     wanted = places.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_list(F.struct("first.line", "num")).alias("lines"))
     texts = staged(_texts(docs, wanted), "line-texts")
     released(docs.sparkSession)
     links = _verified(pairs, texts)
-    part = components(links, "line-cc")
+    part = components(links, "line-cc", FEW_EDGES)
     if not members.isEmpty():
         nodes = texts.join(part.withColumnRenamed("u", "num"), "num", "left").withColumn("part", F.coalesce("component", "num"))
         rows = members.join(nodes.select(F.col("h1").alias("a"), "num", "part", "size", "p1", "p2"), "a")
         rows = rows.groupBy("key", "num").agg(F.min("role").alias("role"), *(F.first(c).alias(c) for c in ("part", "size", "p1", "p2")))
         rest = postings.apart(rows.select("key", "num", "part", "role", F.col("size").alias("bytes"), "size", "p1", "p2"), _near, _linked, block, texts.select("num", "s"))
         links = links.unionByName(staged(rest, "line-rest"))
-        part = components(links, "line-cc")
+        part = components(links, "line-cc", FEW_EDGES)
     linked = kinds.join(part.withColumnRenamed("u", "num"), "num", "left").withColumn("component", F.coalesce("component", "num"))
     first = linked.groupBy("component").agg(F.min("first").alias("stays"))
     again = linked.join(first, "component").where("n > 1 or first <> stays").select("h1", "h2", "stays")

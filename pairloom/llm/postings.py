@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Entries that a task holds, entries of a bucket, and bytes of payload in a block.
-HELD, BUCKET, BYTES = 1 << 19, 1 << 18, 1 << 24
+HELD, BUCKET, BYTES = 1 << 18, 1 << 18, 1 << 24
 #: Ids of a hot key whose pairs of marks are tried at once.
 TRIED = 1024
 KEY_BYTES = 5

@@ -323,6 +323,14 @@ def test_texts_of_one_doc_id_are_documents_of_their_own(spark):
 
 
 # Lines ---------------------------------------------------------------------------------------------
+def test_a_hot_key_makes_one_row_for_each_line():
+    key, ids, none = np.full(100, 7), np.arange(100, dtype=np.int64), np.zeros(0, np.int64)
+    role, _, a, b = postings.matched((key, ids), (none, none), 0, lines.HOT)
+    assert (role == 1).all() and (a == 0).all() and sorted(b) == list(range(100))
+    role, _, a, b = postings.matched((key[:1], ids[:1]), (key[1:], ids[1:]), 0, lines.HOT)
+    assert sorted(role) == [1] + [2] * 99 and (a == 0).all() and sorted(b) == list(range(100))
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
