@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +109,27 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def parsed_apart(spark: SparkSession) -> Iterator[None]:
+    """Within it SQL texts are parsed with caches of their own, which go after each.
+
+    Else the parser keeps all its prediction states for the rest of the application: some 40 MB of the driver's heap for the
+    nested expressions of pii.py.
+    """
+    own = {"spark.sql.parser.manageParserCaches": "true", "spark.sql.parser.parserDfaCacheFlushThreshold": "1"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For n nodes and links (i, j): the smallest node that each reaches."""
     root = np.arange(n)
