@@ -10,51 +10,65 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 
-def _correlation(pdf: pd.DataFrame, bins: int, first: int) -> np.ndarray:
-    m = np.ones((bins, bins))
-    i, j = pdf.source.to_numpy() - first, pdf.sink.to_numpy() - first
-    ok = pdf.oe.notna().to_numpy()
-    m[i[ok], j[ok]] = m[j[ok], i[ok]] = pdf.oe.to_numpy()[ok]
+def _correlation(cells: pd.DataFrame, ix: np.ndarray) -> np.ndarray:
+    m = np.ones((len(ix), len(ix)))
+    cells = cells[cells.oe.notna()]
+    i, j = (np.searchsorted(ix, cells[end].to_numpy(dtype=np.int64)) for end in ("source", "sink"))
+    m[i, j] = m[j, i] = cells.oe.to_numpy()
     with np.errstate(invalid="ignore", divide="ignore"):
-        return np.nan_to_num(np.corrcoef(m), nan=0.0)
+        return np.atleast_2d(np.corrcoef(m))
 
 
-def correlation(oe: DataFrame, regions: DataFrame) -> DataFrame:
-    """(chromosome, source, sink, r): correlation of the rows of each chromosome's O/E matrix; absent cells are 1."""
-    sizes = regions.groupBy("chromosome").agg(F.min("ix").alias("_first"), F.count("*").alias("_bins"))
+def _per_chromosome(oe: DataFrame, regions: DataFrame, run, shape: str, *columns: str) -> DataFrame:  # noqa: ANN001
+    """run(cells, bins) for each chromosome of regions, which may hold no cells; bins are in order of ix."""
     kind = regions.schema["chromosome"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, n = int(pdf._first.iloc[0]), int(pdf._bins.iloc[0])
-        r = _correlation(pdf, n, first)
-        i, j = np.triu_indices(n)
-        return pd.DataFrame({"chromosome": pdf.chromosome.iloc[0], "source": i + first, "sink": j + first, "r": r[i, j]})
+    def one(cells: pd.DataFrame, bins: pd.DataFrame) -> pd.DataFrame:
+        if not len(bins):
+            return pd.DataFrame({}, columns=["chromosome", *names])
+        out = run(cells, bins.sort_values("ix"))
+        out.insert(0, "chromosome", [bins.chromosome.iloc[0]] * len(out))
+        return out
+
+    names = [x.split()[0] for x in shape.split(", ")]
+    cells, bins = oe.select("chromosome", "source", "sink", "oe"), regions.select("chromosome", F.col("ix").cast("long").alias("ix"), *columns)
+    return cells.groupBy("chromosome").cogroup(bins.groupBy("chromosome")).applyInPandas(one, f"chromosome {kind}, {shape}")
 
-    return oe.join(sizes, "chromosome").groupBy("chromosome").applyInPandas(run, f"chromosome {kind}, source long, sink long, r double")
+
+def correlation(oe: DataFrame, regions: DataFrame) -> DataFrame:
+    """(chromosome, source, sink, r): correlation of the rows of each chromosome's O/E matrix; absent cells are 1, rows of one value give NaN."""
+
+    def run(cells: pd.DataFrame, bins: pd.DataFrame) -> pd.DataFrame:
+        ix = bins.ix.to_numpy()
+        i, j = np.triu_indices(len(ix))
+        return pd.DataFrame({"source": ix[i], "sink": ix[j], "r": _correlation(cells, ix)[i, j]})
+
+    out = _per_chromosome(oe, regions, run, "source long, sink long, r double")
+    return out.withColumn("r", F.coalesce("r", F.lit(float("nan"))))  # pandas gives NaN as null
 
 
 def eigenvector(oe: DataFrame, regions: DataFrame, k: int = 0, guide: str | None = None) -> DataFrame:
     """(chromosome, ix, score): the eigenvector of the k-th largest absolute eigenvalue of the correlation matrix.
 
     Its sign makes the mean of regions' column ``guide`` (such as GC content) larger where the score is
-    positive; without a guide the sum is not negative.
+    positive; without a guide the sum is not negative. Chromosomes without cells have none.
     """
-    sizes = regions.groupBy("chromosome").agg(F.min("ix").alias("_first"), F.count("*").alias("_bins"), *([F.array_sort(F.collect_list(F.struct("ix", F.col(guide).alias("g")))).alias("_guide")] if guide else []))
-    kind = regions.schema["chromosome"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, n = int(pdf._first.iloc[0]), int(pdf._bins.iloc[0])
-        values, vectors = np.linalg.eigh(_correlation(pdf, n, first))
-        v = vectors[:, np.argsort(-np.abs(values), kind="stable")[min(k, n - 1)]]
+    def run(cells: pd.DataFrame, bins: pd.DataFrame) -> pd.DataFrame:
+        if not len(cells):
+            return pd.DataFrame({"ix": [], "score": []})
+        ix = bins.ix.to_numpy()
+        values, vectors = np.linalg.eigh(np.nan_to_num(_correlation(cells, ix), nan=0.0))
+        v = vectors[:, np.argsort(-np.abs(values), kind="stable")[min(k, len(ix) - 1)]]
         if guide:
-            g = np.array([x["g"] if x["g"] is not None else np.nan for x in pdf._guide.iloc[0]], dtype=float)
+            g = bins[guide].to_numpy(dtype=float)
             up, down = g[v >= 0], g[v < 0]
             flip = up.size and down.size and np.nanmean(up) < np.nanmean(down)
         else:
             flip = v.sum() < 0
-        return pd.DataFrame({"chromosome": pdf.chromosome.iloc[0], "ix": np.arange(n) + first, "score": -v if flip else v})
+        return pd.DataFrame({"ix": ix, "score": -v if flip else v})
 
-    return oe.join(sizes, "chromosome").groupBy("chromosome").applyInPandas(run, f"chromosome {kind}, ix long, score double")
+    return _per_chromosome(oe, regions, run, "ix long, score double", *([guide] if guide else []))
 
 
 def compartments(track: DataFrame) -> DataFrame:

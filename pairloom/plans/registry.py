@@ -28,8 +28,15 @@ def query(needs: str = "", body: str = "") -> Callable:
     return add
 
 
+def rounded(x: F.Column | str, digits: int = 6) -> F.Column:
+    """As SQL's round of doubles: what is negative and rounds to zero is minus zero."""
+    x = F.col(x) if isinstance(x, str) else x
+    near = F.round(x, digits)
+    return F.when(near == 0, x * 0.0).otherwise(near)
+
+
 def r6(x: F.Column | str, name: str) -> F.Column:
-    return F.round(x if not isinstance(x, str) else F.col(x), 6).alias(name)
+    return rounded(x).alias(name)
 
 
 # Pairs ---------------------------------------------------------------------------------------------
@@ -234,18 +241,18 @@ def possible_contacts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("expected", "SELECT chromosome, distance, CAST(possible AS BIGINT) AS possible, CAST(total AS BIGINT) AS total, round(expected, 6) AS expected FROM expected UNION ALL SELECT NULL, distance, CAST(sum(possible) AS BIGINT), CAST(sum(total) AS BIGINT), round(sum(total) / sum(possible), 6) FROM expected GROUP BY distance")
 def expected_values(spark: SparkSession, sf: str) -> DataFrame:
-    return matrix.expected(edges(spark, sf), view.valid(spark, sf)).withColumn("expected", F.round("expected", 6))
+    return matrix.expected(edges(spark, sf), view.valid(spark, sf)).withColumn("expected", rounded("expected", 6))
 
 
 @query("edges valid", """, n AS (SELECT chromosome, count(*) AS n FROM valid WHERE valid GROUP BY chromosome) SELECT CAST(possible AS BIGINT) AS possible, CAST(total AS BIGINT) AS total, round(total / possible, 6) AS expected FROM
     (SELECT sum(a.n * b.n) AS possible FROM n a JOIN n b ON a.chromosome < b.chromosome), (SELECT sum(weight) AS total FROM edges WHERE source // 50 <> sink // 50)""")
 def expected_inter(spark: SparkSession, sf: str) -> DataFrame:
-    return matrix.expected_inter(edges(spark, sf), view.valid(spark, sf)).withColumn("expected", F.round("expected", 6))
+    return matrix.expected_inter(edges(spark, sf), view.valid(spark, sf)).withColumn("expected", rounded("expected", 6))
 
 
 @query("oe", "SELECT chromosome, source, sink, distance, weight, round(expected, 6) AS expected, round(oe, 6) AS oe FROM oe")
 def oe_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return matrix.observed_expected(edges(spark, sf), view.valid(spark, sf)).withColumns({c: F.round(c, 6) for c in ("expected", "oe")})
+    return matrix.observed_expected(edges(spark, sf), view.valid(spark, sf)).withColumns({c: rounded(c, 6) for c in ("expected", "oe")})
 
 
 @query("oe", "SELECT chromosome, source, sink, distance, weight, round(expected, 6) AS expected, round(oe, 6) AS oe FROM oe ORDER BY round(oe, 6) DESC, source, sink LIMIT 50")
@@ -255,13 +262,13 @@ def top_oe_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("edges", "SELECT CAST(cis AS BIGINT) AS cis, CAST(trans AS BIGINT) AS trans, round(cis / (cis + trans), 6) AS ratio FROM (SELECT sum(CASE WHEN source // 50 = sink // 50 THEN weight ELSE 0 END) AS cis, sum(CASE WHEN source // 50 <> sink // 50 THEN weight ELSE 0 END) AS trans FROM edges)")
 def cis_trans_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    return matrix.cis_trans(edges(spark, sf), regions(spark, sf)).withColumn("ratio", F.round("ratio", 6))
+    return matrix.cis_trans(edges(spark, sf), regions(spark, sf)).withColumn("ratio", rounded("ratio", 6))
 
 
 @query("edges valid", """, n AS (SELECT chromosome, count(*) AS n FROM valid WHERE valid GROUP BY chromosome), s AS (SELECT sum(n * (n + 1) / 2) AS pc, (sum(n) * sum(n) - sum(n * n)) / 2 AS pt FROM n)
     SELECT CAST(cis AS BIGINT) AS cis, CAST(trans AS BIGINT) AS trans, round(cis / (cis + pc / pt * trans), 6) AS ratio FROM s, (SELECT sum(CASE WHEN source // 50 = sink // 50 THEN weight ELSE 0 END) AS cis, sum(CASE WHEN source // 50 <> sink // 50 THEN weight ELSE 0 END) AS trans FROM edges)""")
 def cis_trans_normalised(spark: SparkSession, sf: str) -> DataFrame:
-    return matrix.cis_trans(edges(spark, sf), view.valid(spark, sf), normalise=True).withColumn("ratio", F.round("ratio", 6))
+    return matrix.cis_trans(edges(spark, sf), view.valid(spark, sf), normalise=True).withColumn("ratio", rounded("ratio", 6))
 
 
 @query("edges_a edges_n", "SELECT round((SELECT sum(weight) FROM edges_a) / (SELECT sum(weight) FROM edges_n), 6) AS factor")
@@ -310,18 +317,18 @@ def split_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("marginals", "SELECT ix, round(1 / marginal, 9) AS bias FROM marginals")
 def vc_norm(spark: SparkSession, sf: str) -> DataFrame:
-    return balance.vanilla(edges(spark, sf)).select("ix", F.round("bias", 9).alias("bias"))
+    return balance.vanilla(edges(spark, sf)).select("ix", rounded("bias", 9).alias("bias"))
 
 
 @query("marginals", "SELECT ix, round(1 / sqrt(marginal), 9) AS bias FROM marginals")
 def sqrt_vc_norm(spark: SparkSession, sf: str) -> DataFrame:
-    return balance.vanilla(edges(spark, sf), sqrt=True).select("ix", F.round("bias", 9).alias("bias"))
+    return balance.vanilla(edges(spark, sf), sqrt=True).select("ix", rounded("bias", 9).alias("bias"))
 
 
 @query("marginals", "SELECT e.source, e.sink, round(e.weight / sqrt(a.marginal) / sqrt(b.marginal), 9) AS weight FROM edges e JOIN marginals a ON a.ix = e.source JOIN marginals b ON b.ix = e.sink")
 def normalised_edges(spark: SparkSession, sf: str) -> DataFrame:
     e = edges(spark, sf)
-    return matrix.normalised(e, balance.vanilla(e, sqrt=True)).select("source", "sink", F.round("weight", 9).alias("weight"))
+    return matrix.normalised(e, balance.vanilla(e, sqrt=True)).select("source", "sink", rounded("weight", 9).alias("weight"))
 
 
 @query()
@@ -372,7 +379,7 @@ def sliding_mean(spark: SparkSession, sf: str) -> DataFrame:
 @query("tracks", f""", d AS (SELECT chromosome, ix, round({_DELTA}, 6) AS d FROM tracks), n AS (SELECT chromosome, row_number() OVER (PARTITION BY chromosome ORDER BY ix) - 1 AS i, d AS a, lead(d) OVER (PARTITION BY chromosome ORDER BY ix) AS b FROM d)
     SELECT DISTINCT chromosome, CAST(round_even(i + a / (a - b), 0) AS BIGINT) AS position FROM n WHERE (a < 0 AND b > 0) OR (a > 0 AND b < 0)""")
 def zero_crossings(spark: SparkSession, sf: str) -> DataFrame:
-    d = tracks.delta(view.tracks(spark, sf), 3, "chromosome").withColumn("delta", F.round("delta", 6))
+    d = tracks.delta(view.tracks(spark, sf), 3, "chromosome").withColumn("delta", rounded("delta", 6))
     return tracks.zero_crossings(d, "delta", "chromosome")
 
 
@@ -398,7 +405,7 @@ def compartment_eigenvector(spark: SparkSession, sf: str) -> DataFrame:
     SELECT a.chromosome, a.i AS source, b.i AS sink, round(corr(a.x, b.x), 5) AS r FROM dense a JOIN dense b ON a.chromosome = b.chromosome AND a.j = b.j AND b.i >= a.i GROUP BY ALL""")
 def row_correlation(spark: SparkSession, sf: str) -> DataFrame:
     v = view.valid(spark, sf)
-    return compartments.correlation(matrix.observed_expected(edges(spark, sf), v), v).withColumn("r", F.round("r", 5))
+    return compartments.correlation(matrix.observed_expected(edges(spark, sf), v), v).withColumn("r", rounded("r", 5))
 
 
 # Comparisons ---------------------------------------------------------------------------------------
@@ -407,7 +414,7 @@ _BOTH = "SELECT coalesce(a.source, b.source) AS source, coalesce(a.sink, b.sink)
 
 @query("edges_a edges_n", f"SELECT source, sink, round(log2(a / b), 6) AS weight FROM ({_BOTH}) WHERE a > 0 AND b > 0")
 def fold_change_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return compare.compare_matrices(edges(spark, sf, "A"), edges(spark, sf, "N"), log=True, ignore_zeros=True).withColumn("weight", F.round("weight", 6))
+    return compare.compare_matrices(edges(spark, sf, "A"), edges(spark, sf, "N"), log=True, ignore_zeros=True).withColumn("weight", rounded("weight", 6))
 
 
 @query("edges_a edges_n", f"SELECT source, sink, CAST(a - b AS DOUBLE) AS weight FROM ({_BOTH})")
@@ -422,7 +429,7 @@ def _sample_track(spark: SparkSession, sf: str, sample: str) -> DataFrame:
 @query("edges_a edges_n", """, ma AS (SELECT bin AS ix, sum(weight) AS m FROM (SELECT source AS bin, weight FROM edges_a UNION ALL SELECT sink, weight FROM edges_a WHERE source <> sink) GROUP BY bin),
     mb AS (SELECT bin AS ix, sum(weight) AS m FROM (SELECT source AS bin, weight FROM edges_n UNION ALL SELECT sink, weight FROM edges_n WHERE source <> sink) GROUP BY bin) SELECT ma.ix, round(log2(ma.m / mb.m), 6) AS score FROM ma JOIN mb ON ma.ix = mb.ix""")
 def compare_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return compare.compare_scores(_sample_track(spark, sf, "A"), _sample_track(spark, sf, "N"), compare.fold_change, log=True).withColumn("score", F.round("score", 6))
+    return compare.compare_scores(_sample_track(spark, sf, "A"), _sample_track(spark, sf, "N"), compare.fold_change, log=True).withColumn("score", rounded("score", 6))
 
 
 _SAMPLES = ["A", "N", "R"]
@@ -449,19 +456,19 @@ def edge_collection_filters(spark: SparkSession, sf: str) -> DataFrame:
 def top_variance_edges(spark: SparkSession, sf: str) -> DataFrame:
     c = _collection(spark, sf)
     m = (F.col("A") + F.col("N") + F.col("R")) / 3
-    var = F.round(((F.col("A") - m) * (F.col("A") - m) + (F.col("N") - m) * (F.col("N") - m) + (F.col("R") - m) * (F.col("R") - m)) / 3, 6)
+    var = rounded(((F.col("A") - m) * (F.col("A") - m) + (F.col("N") - m) * (F.col("N") - m) + (F.col("R") - m) * (F.col("R") - m)) / 3, 6)
     return c.withColumn("variance", var).orderBy(F.desc("variance"), "source", "sink").limit(100)
 
 
 @query(_WIDE[0], _WIDE[1] + "SELECT *, round(greatest(A, N, R) / nullif(least(A, N, R), 0), 6) AS fold_change FROM wide WHERE least(A, N, R) > 0 ORDER BY greatest(A, N, R) / least(A, N, R) DESC, source, sink LIMIT 100")
 def top_fold_change_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return compare.top_by_fold_change(_collection(spark, sf), _SAMPLES, 100).withColumn("fold_change", F.round("fold_change", 6))
+    return compare.top_by_fold_change(_collection(spark, sf), _SAMPLES, 100).withColumn("fold_change", rounded("fold_change", 6))
 
 
 @query(_WIDE[0], _WIDE[1] + """, c AS (SELECT A - (A + N + R) / 3 AS A, N - (A + N + R) / 3 AS N, R - (A + N + R) / 3 AS R FROM wide) SELECT a, b, round(value, 4) AS value FROM (SELECT 'A' AS a, 'A' AS b, sum(A * A) AS value FROM c UNION ALL SELECT 'A', 'N', sum(A * N) FROM c UNION ALL SELECT 'A', 'R', sum(A * R) FROM c
     UNION ALL SELECT 'N', 'N', sum(N * N) FROM c UNION ALL SELECT 'N', 'R', sum(N * R) FROM c UNION ALL SELECT 'R', 'R', sum(R * R) FROM c)""")
 def sample_gram_pca(spark: SparkSession, sf: str) -> DataFrame:
-    return compare.gram(_collection(spark, sf), _SAMPLES).withColumn("value", F.round("value", 4))
+    return compare.gram(_collection(spark, sf), _SAMPLES).withColumn("value", rounded("value", 4))
 
 
 @query()
@@ -620,7 +627,7 @@ def insulation_geometric(spark: SparkSession, sf: str) -> DataFrame:
     SELECT chromosome, distance, round(arg_min(t / p, k), 6) AS expected FROM e WHERE t >= 400 OR whole GROUP BY chromosome, distance""")
 def smoothed_expected(spark: SparkSession, sf: str) -> DataFrame:
     out = tracks.smoothed_expected(matrix.expected(edges(spark, sf), view.valid(spark, sf)).where("chromosome is not null"), 400)
-    return out.withColumn("expected", F.round("expected", 6))
+    return out.withColumn("expected", rounded("expected", 6))
 
 
 @query("edges", "SELECT 0 AS level, source, sink, weight FROM edges UNION ALL SELECT 1, source // 2, sink // 2, CAST(sum(weight) AS BIGINT) FROM edges GROUP BY ALL UNION ALL SELECT 2, source // 4, sink // 4, CAST(sum(weight) AS BIGINT) FROM edges GROUP BY ALL")

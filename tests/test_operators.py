@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import sequences
 from pairloom.operators import aggregate, balance, compartments, intervals, loops, masks, matrix, pairs, tracks
+from pairloom.plans import registry
 from pairloom.sources import files
 from pairloom.streaming import contacts
 
@@ -116,6 +117,24 @@ def test_boundaries_of_a_wave():
     assert all(min(abs(i - k) for k in (20, 40)) <= 1 for i in high) and len(high) == 2
 
 
+def test_rounding_keeps_the_sign_of_zero(spark):
+    df = spark.createDataFrame([(-4e-6,), (4e-6,), (0.0,), (-0.000016,), (None,), (math.nan,)], "r double")
+    got = [r.r for r in df.select(registry.rounded("r", 5).alias("r")).collect()]
+    assert [str(x) for x in got] == ["-0.0", "0.0", "0.0", "-2e-05", "None", "nan"]
+
+
+def test_correlation_of_chromosomes_with_gaps_single_bins_and_no_cells(spark):
+    r = spark.createDataFrame([(0, "a"), (1, "a"), (4, "a"), (5, "b"), (6, "c"), (7, "c")], "ix long, chromosome string")
+    oe = spark.createDataFrame([("a", 0, 0, 2.0), ("a", 0, 4, 3.0), ("a", 1, 4, 0.5), ("b", 5, 5, 1.5)], "chromosome string, source long, sink long, oe double")
+    got = {(x.source, x.sink): (x.chromosome, x.r) for x in compartments.correlation(oe, r).collect()}
+    want = np.corrcoef([[2.0, 1.0, 3.0], [1.0, 1.0, 0.5], [3.0, 0.5, 1.0]])
+    for i, a in enumerate((0, 1, 4)):
+        for j, b in enumerate((0, 1, 4)):
+            assert b < a or math.isclose(got[a, b][1], want[i, j])
+    assert {k: c for k, (c, v) in got.items() if math.isnan(v)} == {(5, 5): "b", (6, 6): "c", (6, 7): "c", (7, 7): "c"}
+    assert len(got) == 10
+
+
 def test_eigenvector_splits_two_blocks(spark):
     rows = [(i, j, 2.0 if (i < 5) == (j < 5) else 0.5) for i in range(10) for j in range(i, 10)]
     oe = spark.createDataFrame([("chr1", *r) for r in rows], "chromosome string, source long, sink long, oe double")
