@@ -11,10 +11,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def edges_from_pairs(pairs: DataFrame, source: str = "source", sink: str = "sink") -> DataFrame:
-    """Counts of pairs per unordered pair of bins."""
+def edges_from_pairs(pairs: DataFrame, source: str = "source", sink: str = "sink", tasks: int | None = None) -> DataFrame:
+    """Counts of pairs per unordered pair of bins, in so many partitions by both bins if ``tasks`` is given.
+
+    Nearly all pairs differ, so pairs that are dealt out first cost less than counts made on both sides of the exchange.
+    """
     s, t = F.least(source, sink).alias("source"), F.greatest(source, sink).alias("sink")
-    return pairs.groupBy(s, t).agg(F.count("*").alias("weight"))
+    pairs = pairs.select(s, t)
+    if tasks is not None:
+        pairs = pairs.repartition(tasks, "source", "sink")
+    return pairs.groupBy("source", "sink").agg(F.count("*").alias("weight"))
 
 
 def merge(*edges: DataFrame) -> DataFrame:
@@ -151,16 +157,23 @@ def low_coverage(edges: DataFrame, cutoff: float | None = None, relative: float
     return edges
 
 
-def rebin_nested(edges: DataFrame, factor: int, regions: DataFrame | None = None) -> DataFrame:
+def _summed(rows: DataFrame, tasks: int | None) -> DataFrame:
+    """Sums of weights by source and sink, in so many partitions by them if ``tasks`` is given."""
+    if tasks is not None:
+        rows = rows.repartition(tasks, "source", "sink")
+    return rows.groupBy("source", "sink").agg(F.sum("weight").alias("weight"))
+
+
+def rebin_nested(edges: DataFrame, factor: int, regions: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Larger bins of ``factor`` old ones each; with regions (ix, new_ix) the nesting is theirs."""
     if regions is not None:
         rows = with_ends(edges, regions, "new_ix").select(F.col("source_new_ix").alias("source"), F.col("sink_new_ix").alias("sink"), "weight")
     else:
         rows = edges.select(F.floor(F.col("source") / factor).alias("source"), F.floor(F.col("sink") / factor).alias("sink"), "weight")
-    return rows.groupBy("source", "sink").agg(F.sum("weight").alias("weight"))
+    return _summed(rows, tasks)
 
 
-def rebin_split(edges: DataFrame, overlap: DataFrame) -> DataFrame:
+def rebin_split(edges: DataFrame, overlap: DataFrame, tasks: int | None = None) -> DataFrame:
     """Distributes whole weights to the first and last new bin that each end overlaps.
 
     overlap: (ix, first, last). The one to four different target pairs, in order, get weight div n each, and the
@@ -171,7 +184,7 @@ def rebin_split(edges: DataFrame, overlap: DataFrame) -> DataFrame:
     targets = F.array_sort(F.array_distinct(F.array(*[pair(f"source_{x}", f"sink_{y}") for x in ("first", "last") for y in ("first", "last")])))
     rows = rows.withColumn("_t", targets).select("weight", F.size("_t").alias("_n"), F.posexplode("_t").alias("_i", "_x"))
     part = F.expr("weight div _n") + F.when(F.col("_i") < F.col("weight") % F.col("_n"), 1).otherwise(0)
-    return rows.select("_x.*", part.alias("weight")).where("weight > 0").groupBy("source", "sink").agg(F.sum("weight").alias("weight"))
+    return _summed(rows.select("_x.*", part.alias("weight")).where("weight > 0"), tasks)
 
 
 def downsample(edges: DataFrame, n: float | DataFrame, seed: int = 0) -> DataFrame:
@@ -215,12 +228,12 @@ def regions_identical(one: DataFrame, other: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def zoom_levels(edges: DataFrame, levels: int) -> DataFrame:
+def zoom_levels(edges: DataFrame, levels: int, tasks: int | None = None) -> DataFrame:
     """(level, source, sink, weight): the matrix at bins of 1, 2, 4, .. old ones, each level from the one below."""
     at = edges.select("source", "sink", "weight")
     out = at.select(F.lit(0).cast("long").alias("level"), "*")
     for k in range(1, levels):
-        at = rebin_nested(at, 2)
+        at = rebin_nested(at, 2, tasks=tasks)
         out = out.unionByName(at.select(F.lit(k).cast("long").alias("level"), "*"))
     return out
 

@@ -278,13 +278,13 @@ def scaling_factor(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("edges", "SELECT source // 5 AS source, sink // 5 AS sink, CAST(sum(weight) AS BIGINT) AS weight FROM edges GROUP BY ALL")
 def rebin_nested(spark: SparkSession, sf: str) -> DataFrame:
-    return matrix.rebin_nested(edges(spark, sf), 5)
+    return matrix.rebin_nested(edges(spark, sf), 5, tasks=view.tasks(spark, sf))
 
 
 @query("edges", """, t AS (SELECT weight, list_sort(list_distinct([{'a': least(x, y), 'b': greatest(x, y)} FOR x, y IN [1]])) AS t FROM (SELECT 1 AS weight, 1 AS x, 1 AS y)) SELECT 1""")
 def rebin_split(spark: SparkSession, sf: str) -> DataFrame:
     m = regions(spark, sf).select("ix", F.expr("ix * 10 div 7").alias("first"), F.expr("(ix * 10 + 9) div 7").alias("last"))
-    return matrix.rebin_split(edges(spark, sf), m)
+    return matrix.rebin_split(edges(spark, sf), m, view.tasks(spark, sf))
 
 
 ORACLES["rebin_split"] = sql("edges", """, m AS (SELECT *, source * 10 // 7 AS sf, (source * 10 + 9) // 7 AS sl, sink * 10 // 7 AS tf, (sink * 10 + 9) // 7 AS tl FROM edges),
@@ -439,7 +439,8 @@ _WIDE = "pairs", ", wide AS (SELECT source, sink, CAST(count(*) FILTER (sample =
 def _collection(spark: SparkSession, sf: str) -> DataFrame:
     """The three samples' edges side by side, from one scan of the pairs."""
     counts = [F.count(F.when(F.col("sample") == s, 1)).cast("double").alias(s) for s in _SAMPLES]
-    return view.pairs(spark, sf).groupBy("source", "sink").agg(*counts)
+    p = view.pairs(spark, sf).select("source", "sink", "sample").repartition(view.tasks(spark, sf), "source", "sink")
+    return p.groupBy("source", "sink").agg(*counts)
 
 
 @query(_WIDE[0], _WIDE[1] + "SELECT * FROM wide WHERE A > 0 OR N > 0 OR R > 0")
@@ -632,7 +633,7 @@ def smoothed_expected(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("edges", "SELECT 0 AS level, source, sink, weight FROM edges UNION ALL SELECT 1, source // 2, sink // 2, CAST(sum(weight) AS BIGINT) FROM edges GROUP BY ALL UNION ALL SELECT 2, source // 4, sink // 4, CAST(sum(weight) AS BIGINT) FROM edges GROUP BY ALL")
 def zoom_levels(spark: SparkSession, sf: str) -> DataFrame:
-    return matrix.zoom_levels(edges(spark, sf), 3)
+    return matrix.zoom_levels(edges(spark, sf), 3, view.tasks(spark, sf))
 
 
 @query("edges valid", """, n AS (SELECT chromosome, count(*) AS n FROM valid WHERE valid GROUP BY chromosome), c AS (SELECT 1.5 * (SELECT sum(weight) FROM edges WHERE source // 50 <> sink // 50) / (SELECT sum(a.n * b.n) FROM n a JOIN n b ON a.chromosome < b.chromosome) AS cut) SELECT source, sink, weight FROM edges, c WHERE weight >= cut""")
@@ -692,6 +693,6 @@ def incremental_contacts(spark: SparkSession, sf: str) -> DataFrame:
     """The batch form of the streaming count; tests/test_operators.py holds the stream against it."""
     from ..streaming.contacts import incremental_edges
 
-    return incremental_edges(view.pairs(spark, sf))
+    return incremental_edges(view.pairs(spark, sf), view.tasks(spark, sf))
 
 

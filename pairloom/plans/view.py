@@ -12,6 +12,8 @@ from ..operators import matrix
 from ..session import ship
 
 BIN, PER_CHROMOSOME = 1000, 50
+#: Bytes of its files for which a table gets one task more, some 230,000 line items.
+TASK_BYTES = 4 << 20
 ORDER = ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
@@ -19,12 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions for line items, pairs and edges: their number follows the files, so what a task holds does not."""
+    size = table(spark, sf_dir, "lineitem")._jdf.queryExecution().analyzed().stats().sizeInBytes()
+    return max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "lineitem")
-    rn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER))
+    t = table(spark, sf_dir, "lineitem").repartition(tasks(spark, sf_dir), "l_orderkey")
+    t = t.withColumn("rn", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER)).cast("long"))  # before its key gets another name, so that joins find it sorted
     position = F.col("l_partkey") % 500 * 100 + F.col("l_suppkey") % 100 + 1
     return t.select(
-        F.col("l_orderkey").alias("name"), rn.cast("long").alias("rn"), F.expr("l_partkey div 500").alias("chromosome"), position.alias("position"),
+        F.col("l_orderkey").alias("name"), "rn", F.expr("l_partkey div 500").alias("chromosome"), position.alias("position"),
         F.when(F.col("l_linestatus") == "O", 1).otherwise(-1).cast("long").alias("strand"), F.expr("l_partkey div 10").alias("bin"), F.col("l_quantity").alias("mapq"), F.col("l_returnflag").alias("sample"),
     )
 
@@ -50,7 +58,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str, sample: str | None = None) -> DataFrame:
     p = pairs(spark, sf_dir)
-    return matrix.edges_from_pairs(p if sample is None else p.where(F.col("sample") == sample))
+    return matrix.edges_from_pairs(p if sample is None else p.where(F.col("sample") == sample), tasks=tasks(spark, sf_dir))
 
 
 def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +68,7 @@ def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ix, chromosome, score): an integer score for each region, from the counts of its reads; null for every 13th."""
-    n = reads(spark, sf_dir).groupBy(F.col("bin").alias("ix")).agg(F.count("*").alias("n"))
+    n = table(spark, sf_dir, "lineitem").groupBy(F.expr("l_partkey div 10").alias("ix")).agg(F.count("*").alias("n"))
     rows = regions(spark, sf_dir).join(n, "ix", "left")
     return rows.select("ix", "chromosome", F.when(F.col("ix") % 13 != 0, F.coalesce("n", F.lit(0)) * 7 % 101 - 50).cast("double").alias("score"))
 

@@ -12,9 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.matrix import edges_from_pairs
 
 
-def incremental_edges(pairs: DataFrame) -> DataFrame:
+def incremental_edges(pairs: DataFrame, tasks: int | None = None) -> DataFrame:
     """Running counts of a (streaming) table of pairs (source, sink)."""
-    return edges_from_pairs(pairs)
+    return edges_from_pairs(pairs, tasks=tasks)
 
 
 def start(pairs: DataFrame, name: str, checkpoint: str) -> StreamingQuery:

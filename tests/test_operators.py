@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+import os
 
 import numpy as np
 import pytest
+from conftest import SMALL, rows_of
 from pyspark.sql import functions as F
 
 from pairloom.functions import sequences
 from pairloom.operators import aggregate, balance, compartments, intervals, loops, masks, matrix, pairs, tracks
-from pairloom.plans import registry
+from pairloom.plans import registry, view
 from pairloom.sources import files
 from pairloom.streaming import contacts
 
@@ -117,6 +119,23 @@ def test_boundaries_of_a_wave():
     assert all(min(abs(i - k) for k in (20, 40)) <= 1 for i in high) and len(high) == 2
 
 
+@pytest.mark.parametrize("name", ["pairs_to_edges", "read_pairs", "edge_collection", "merge_matrices", "rebin_nested", "rebin_split", "zoom_levels", "edge_collection_filters", "background_ligation_filter"])
+def test_tasks_grow_in_number_with_the_files_and_not_in_size(spark, monkeypatch, name):
+    monkeypatch.setattr(view, "TASK_BYTES", 1 << 15)
+    n = view.tasks(spark, SMALL)
+    size = sum(os.path.getsize(f) for f in [f"{SMALL}/lineitem.parquet"])
+    assert n == -(-size // (1 << 15)) > 30
+    df = registry.QUERIES[name](spark, SMALL)
+    assert df.rdd.getNumPartitions() >= n
+    monkeypatch.undo()
+    assert rows_of(df.columns, df.collect()) == rows_of(df.columns, registry.QUERIES[name](spark, SMALL).collect())
+
+
+def test_pairs_are_sorted_once_by_their_order(spark):
+    plan = view.pairs(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2
+
+
 def test_rounding_keeps_the_sign_of_zero(spark):
     df = spark.createDataFrame([(-4e-6,), (4e-6,), (0.0,), (-0.000016,), (None,), (math.nan,)], "r double")
     got = [r.r for r in df.select(registry.rounded("r", 5).alias("r")).collect()]
