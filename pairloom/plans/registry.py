@@ -333,12 +333,12 @@ def normalised_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ice_balance(spark: SparkSession, sf: str) -> DataFrame:
-    return balance.ice(edges(spark, sf))
+    return balance.ice(edges(spark, sf), tasks=view.tasks(spark, sf))
 
 
 @query()
 def kr_balance(spark: SparkSession, sf: str) -> DataFrame:
-    return balance.kr(edges(spark, sf))
+    return balance.kr(edges(spark, sf), tasks=view.tasks(spark, sf))
 
 
 # Tracks --------------------------------------------------------------------------------------------

@@ -48,6 +48,31 @@ def test_balanced_rows_are_even(spark, method, tolerance):
     assert method != "kr" or abs(sums.mean() - 1) < 1e-4
 
 
+@pytest.mark.parametrize("block, tasks", [(3, 5), (1 << 17, 2), (1 << 17, None)])
+def test_products_give_one_sum_for_each_bin_of_a_block(spark, monkeypatch, block, tasks):
+    monkeypatch.setattr(balance, "BLOCK", block)
+    m = dense(np.random.default_rng(3), 15, 0.5)
+    m[2, 7] = m[7, 2] = 300.5
+    m[3, 3], m[4, 4] = 60_000, 70_000
+    rows = [(7 * int(i), 7 * int(j), float(m[i, j])) for i, j in zip(*np.nonzero(np.triu(m)), strict=True)]
+    a = balance._Product(spark.createDataFrame(rows, EDGES), tasks)
+    x = np.random.default_rng(4).random(15)
+    assert a.ix.tolist() == [7 * i for i in range(15)]
+    assert np.allclose(a(x), m @ x, rtol=1e-12)
+    blocks = a.rows.toArrow()
+    sums = sum(len(r) // 4 for r in blocks.column("rows").to_pylist())
+    assert sums <= 15 + blocks.num_rows and sum(blocks.column("n").to_pylist()) == 15  # not bins times tasks
+    a.close()
+
+
+def test_balancing_an_empty_matrix_and_one_with_too_many_bins(spark, monkeypatch):
+    none = spark.createDataFrame([], EDGES)
+    assert balance.kr(none).count() == balance.ice(none).count() == 0
+    monkeypatch.setattr(balance, "MOST_BINS", 2)
+    with pytest.raises(ValueError, match="3 bins"):
+        balance.kr(spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0)], EDGES))
+
+
 def test_possible_and_expected_of_a_small_sample(spark):
     r = bins(spark, 5, 3, 4)
     rows = [(i, j, 1.0) for i in range(12) for j in range(i, 12)]
