@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -554,17 +555,25 @@ def directionality_bias(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Loops ---------------------------------------------------------------------------------------------
+def _until_gone(out: DataFrame, *parts: DataFrame) -> DataFrame:
+    """out; what it is made from stays in the cache until it goes."""
+    for x in parts:
+        weakref.finalize(out, x.unpersist).atexit = False
+    return out
+
+
 @query()
 def loop_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    v = view.valid(spark, sf).withColumn("bias", F.lit(1.0))
-    e = edges(spark, sf)
+    v = view.valid(spark, sf).withColumn("bias", F.lit(1.0)).repartition(view.tasks(spark, sf), "ix").persist()
+    e = edges(spark, sf, cis=True).persist()
     cis = matrix.with_ends(e, v, "chromosome").where("source_chromosome = sink_chromosome").select(F.col("source_chromosome").alias("chromosome"), "source", "sink", "weight")
-    return loops.call(cis, matrix.expected(e, v), v, 1, 4, least_reads=4)
+    return _until_gone(loops.call(cis, matrix.expected(e, v), v, 1, 4, least_reads=4), v, e)
 
 
 @query()
 def fdr_table(spark: SparkSession, sf: str) -> DataFrame:
-    return loops.fdr_table(loop_candidates(spark, sf))
+    p = loop_candidates(spark, sf)
+    return _until_gone(loops.fdr_table(p), p)
 
 
 @query("oe", "SELECT chromosome, source, sink, weight FROM oe WHERE weight >= 2 AND distance >= 3 AND oe >= 1.2")
@@ -577,8 +586,9 @@ def peak_filters(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def enriched_peaks(spark: SparkSession, sf: str) -> DataFrame:
-    p = loop_candidates(spark, sf)
-    return loops.with_fdr(p, loops.fdr_table(p)).where(loops.enriched()).select("chromosome", "source", "sink", "weight", *[f"fdr_{k}" for k in loops.KINDS])
+    p = loop_candidates(spark, sf).persist()  # its table and its rows come from one run
+    out = loops.with_fdr(p, loops.fdr_table(p)).where(loops.enriched()).select("chromosome", "source", "sink", "weight", *[f"fdr_{k}" for k in loops.KINDS])
+    return _until_gone(out, p)
 
 
 def _strong(spark: SparkSession, sf: str) -> DataFrame:

@@ -56,14 +56,20 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumnRenamed("left_sample", "sample").drop("right_sample")
 
 
-def edges(spark: SparkSession, sf_dir: str, sample: str | None = None) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, sample: str | None = None, cis: bool = False) -> DataFrame:
+    """Counts of all pairs, of one sample's, or of those within chromosomes."""
     p = pairs(spark, sf_dir)
-    return matrix.edges_from_pairs(p if sample is None else p.where(F.col("sample") == sample), tasks=tasks(spark, sf_dir))
+    if sample is not None:
+        p = p.where(F.col("sample") == sample)
+    if cis:
+        p = p.where("left_chromosome - right_chromosome = 0")  # plain equality would become a key of the join, which then deals its lines anew
+    return matrix.edges_from_pairs(p, tasks=tasks(spark, sf_dir))
 
 
 def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions with valid."""
-    return matrix.valid_regions(edges(spark, sf_dir), regions(spark, sf_dir))
+    """Regions with valid, which takes no counts: a bin is valid if any pair touches it."""
+    seen = pairs(spark, sf_dir).select("source", "sink", F.lit(1).alias("weight"))
+    return matrix.valid_regions(seen, regions(spark, sf_dir))
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,6 +156,38 @@ def test_tasks_grow_in_number_with_the_files_and_not_in_size(spark, monkeypatch,
     assert rows_of(df.columns, df.collect()) == rows_of(df.columns, registry.QUERIES[name](spark, SMALL).collect())
 
 
+def test_enriched_peaks_make_their_candidates_once(spark, monkeypatch):
+    runs = spark.sparkContext.accumulator(0)
+    call = loops.call
+
+    def counted(*args, **how):
+        rows = call(*args, **how)
+
+        def count(batches):
+            for b in batches:
+                runs.add(b.num_rows)
+                yield b
+
+        return rows.mapInArrow(count, rows.schema)
+
+    monkeypatch.setattr(loops, "call", counted)
+    n = registry.QUERIES["loop_candidates"](spark, SMALL).count()
+    assert runs.value == n > 0
+    df = registry.QUERIES["enriched_peaks"](spark, SMALL)
+    df.collect()
+    assert runs.value == 2 * n
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    del df
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() < cached
+
+
+def test_edges_within_chromosomes_and_valid_bins_without_counts(spark):
+    e = view.edges(spark, SMALL)
+    assert rows_of(e.columns, view.edges(spark, SMALL, cis=True).collect()) == rows_of(e.columns, e.where("source div 50 = sink div 50").collect())
+    v = view.valid(spark, SMALL)
+    assert rows_of(v.columns, v.collect()) == rows_of(v.columns, matrix.valid_regions(e, view.regions(spark, SMALL)).select(v.columns).collect())
+
+
 def test_pairs_are_sorted_once_by_their_order(spark):
     plan = view.pairs(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 2
